@@ -8,12 +8,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks import oracle
+from tillwise import schema, session
+from tillwise.operators import cascade, paging, quality, statistics, stock, users
 from tillwise.plans import reports
-from tillwise.sources.mapping import load_tables
+from tillwise.sources import mapping, staging
+from tillwise.sources.mapping import SourceTables, load_tables
 from tillwise.sources.tables import RetailTables
+from tillwise.streaming.ledger import SalesLedger
+from tillwise.streaming.live_stats import current_stats, start_live_stats
 
 Query = Callable[[SparkSession, str], DataFrame]
+
 SMOKE_FOLDER = "/root/testdata/sf0.001"
+STORE = ["store_id", "store_location"]
+ITEM = ["product_id", "store_id", "store_location"]
+AUDITED = ["inventory", "popularity", "purchase", "customer_visits", "client", "admin"]
+# Last valid transaction date of the candidate purchases.
+AS_OF = "2000-01-01"
 
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -24,11 +35,160 @@ def _on_tables(report: Callable[[RetailTables], DataFrame]) -> Query:
     return lambda spark, folder: report(load_tables(spark, folder))
 
 
+def _on_staging(table: str) -> Query:
+    return lambda spark, folder: staging.normalise(mapping.load_staging(spark, folder))[table]
+
+
+def _on_source(job: Callable[[SourceTables], DataFrame]) -> Query:
+    return lambda spark, folder: job(SourceTables(spark, folder))
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    combined = frames[0]
+    for frame in frames[1:]:
+        combined = combined.unionByName(frame)
+    return combined
+
+
+def _reasons_as_text(found: DataFrame) -> DataFrame:
+    return found.withColumn("reasons", F.concat_ws(",", "reasons"))
+
+
 def _scores_in_cents(tables: RetailTables) -> DataFrame:
     return reports.store_scores(tables).withColumn("score", F.col("score").cast("decimal(18,2)"))
 
 
+def _store_counts(spark: SparkSession, folder: str) -> DataFrame:
+    wanted = SourceTables(spark, folder)("nation").select(F.col("n_nationkey").alias("store_id"))
+    return reports.store_counts(load_tables(spark, folder), wanted)
+
+
+def _known_items(tables: RetailTables) -> DataFrame:
+    return reports.known_keys(tables.purchase.select("purchase_id", *ITEM), tables.inventory, ITEM)
+
+
+def _null_audit(spark: SparkSession, folder: str) -> DataFrame:
+    tables = staging.normalise(mapping.load_staging(spark, folder))
+    return _union([quality.report(quality.null_audit(tables[n], n), n) for n in tables.names()])
+
+
+def _orphans(tables: RetailTables) -> DataFrame:
+    found = quality.orphans(tables.purchase, [("inventory", tables.inventory, ITEM)])
+    return quality.report(found, "purchase")
+
+
+def _reference_audit(tables: RetailTables) -> DataFrame:
+    return _union([quality.report(quality.table_orphans(tables, name), name) for name in AUDITED])
+
+
+def _checked_purchases(spark: SparkSession, folder: str) -> DataFrame:
+    candidates = mapping.purchase_candidates(SourceTables(spark, folder))
+    return quality.check_purchases(candidates, load_tables(spark, folder), F.lit(AS_OF).cast("date"))
+
+
+def _purchase_rejects(spark: SparkSession, folder: str) -> DataFrame:
+    return _reasons_as_text(quality.violations(_checked_purchases(spark, folder)))
+
+
+def _without_unvisited_stores(tables: RetailTables) -> RetailTables:
+    unvisited = tables.store.select(*STORE).join(tables.popularity, STORE, "left_anti")
+    return cascade.delete(tables, "store", unvisited)
+
+
+def _cascade_delete_counts(tables: RetailTables) -> DataFrame:
+    kept = _without_unvisited_stores(tables)
+    names = ["store", "inventory", "popularity", "purchase", "customer_visits"]
+    return _union([kept[n].agg(F.count("*").alias("kept_rows")).withColumn("table_name", F.lit(n)) for n in names])
+
+
+def _cascade_update(tables: RetailTables) -> DataFrame:
+    renamed = tables.store.filter("year_opened < 2000").select(
+        *STORE,
+        (F.col("store_id") + 1000).alias("new_store_id"),
+        F.upper("store_location").alias("new_store_location"),
+    )
+    return cascade.update(tables, "store", renamed).purchase.select("purchase_id", *STORE)
+
+
+def _stock_changes(spark: SparkSession, folder: str) -> DataFrame:
+    changes = mapping.stock_changes(SourceTables(spark, folder))
+    return stock.apply_changes(load_tables(spark, folder).inventory, changes)
+
+
+def _stats_after_batch(tables: RetailTables) -> DataFrame:
+    """Statistics of the first years, then one batch with the rest merged into them."""
+    is_new = F.col("txn_date") >= F.lit("1998-01-01").cast("date")
+    before, batch = tables.purchase.filter(~is_new), tables.purchase.filter(is_new)
+    return statistics.finish(statistics.merge(statistics.parts(before), statistics.parts(batch)))
+
+
+def _stats_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """Stream the stored purchases through the live statistics."""
+    purchase = load_tables(spark, folder).purchase
+    work = session.new_folder(spark, "live-stats")
+    purchase.write.parquet(f"{work}/arrivals")
+    arrivals = spark.readStream.schema(purchase.schema).parquet(f"{work}/arrivals")
+    start_live_stats(arrivals, f"{work}/updates", f"{work}/checkpoint").awaitTermination()
+    return current_stats(spark.read.parquet(f"{work}/updates"))
+
+
+_ledgers: dict[tuple, SalesLedger] = {}
+
+
+def _ledger(spark: SparkSession, folder: str) -> SalesLedger:
+    """The ledger after all candidate purchases have been streamed through it, run once."""
+    tables = load_tables(spark, folder)
+    key = (spark.sparkContext.applicationId, id(tables))
+    if key not in _ledgers:
+        work = session.new_folder(spark, "sales")
+        candidates = mapping.purchase_candidates(SourceTables(spark, folder))
+        candidates.write.parquet(f"{work}/arrivals")
+        arrivals = spark.readStream.schema(candidates.schema).parquet(f"{work}/arrivals")
+        ledger = SalesLedger.create(spark, f"{work}/ledger", tables, F.lit(AS_OF).cast("date"))
+        ledger.start(arrivals, f"{work}/checkpoint").awaitTermination()
+        _ledgers[key] = ledger
+    return _ledgers[key]
+
+
+def _stream_admitted(spark: SparkSession, folder: str) -> DataFrame:
+    new = _ledger(spark, folder).purchases().join(load_tables(spark, folder).purchase, "purchase_id", "left_anti")
+    return new.select(
+        "purchase_id", *ITEM, "txn_date", "discount_percent", "purchased_product_price_usd"
+    )
+
+
+def _stream_refused(spark: SparkSession, folder: str) -> DataFrame:
+    return _reasons_as_text(_ledger(spark, folder).refused()).select("purchase_id", "reasons")
+
+
+def _user_load(source: SourceTables) -> DataFrame:
+    existing = mapping.names_in_debt(source)
+    return users.public_users(users.add_users(mapping.repeated_requests(source), existing, mapping.SALT_KEY).user_info)
+
+
+def _digests_as_text(user_info: DataFrame) -> DataFrame:
+    return user_info.select("username", "salt", F.hex("password_hash").alias("password_hash"))
+
+
+def _digest_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return users.check_digests(
+        mapping.digest_attempts(SourceTables(spark, folder)), load_tables(spark, folder).user_info
+    )
+
+
+def _digest_rotation(spark: SparkSession, folder: str) -> DataFrame:
+    changes = mapping.digest_changes(SourceTables(spark, folder))
+    return _digests_as_text(users.rotate_digests(load_tables(spark, folder).user_info, changes, mapping.SALT_KEY))
+
+
+def _user_rejects(spark: SparkSession, folder: str) -> DataFrame:
+    requests = mapping.faulty_requests(SourceTables(spark, folder))
+    checked = quality.check_users(requests, load_tables(spark, folder).user_info)
+    return _reasons_as_text(quality.violations(checked)).select("username", "reasons")
+
+
 _QUERIES: dict[str, Query] = {
+    # Reports.
     "store_performance": _on_tables(reports.store_performance),
     "payment_usage": _on_tables(reports.payment_usage),
     "sales_by_category_age": _on_tables(reports.sales_by_category_age),
@@ -37,16 +197,59 @@ _QUERIES: dict[str, Query] = {
     "needs_vs_wants": _on_tables(reports.needs_vs_wants),
     "gender_stats": _on_tables(reports.gender_stats),
     "gender_by_category": _on_tables(lambda tables: reports.gender_by_category(tables, "Health & Beauty")),
+    "gender_by_category_any_case": _on_tables(
+        lambda tables: reports.gender_by_category(tables, "health & beauty", collation="UTF8_LCASE")
+    ),
     "top_chain_by_age_group": _on_tables(reports.top_chain_by_age_group),
     "top_inventory": _on_tables(reports.top_inventory),
     "store_sales_stats": _on_tables(reports.store_sales_stats),
     "store_profit": _on_tables(reports.store_profit),
     "store_scores": _on_tables(_scores_in_cents),
     "chain_directory": _on_tables(reports.chain_directory),
+    "store_counts": _store_counts,
     "next_ids": _on_tables(reports.next_ids),
     "purchasable_items": _on_tables(reports.purchasable_items),
+    "purchasable_items_page": _on_tables(lambda tables: paging.page(reports.purchasable_items(tables), ITEM, 3)),
+    "store_performance_pages": _on_tables(lambda tables: paging.page_count(reports.store_performance(tables))),
     "sale_prices": _on_tables(reports.sale_prices),
     "contact_emails": _on_tables(reports.contact_emails),
+    "known_items": _on_tables(_known_items),
+    # Normalisation of the flat file.
+    **{f"normalise_{name}": _on_staging(name) for name in list(schema.TABLES)[:7]},
+    # Audits.
+    "null_audit": _null_audit,
+    "key_conflicts": _on_source(lambda source: quality.key_conflicts(mapping.raw_purchases(source), ["purchase_id"])),
+    "domain_audit": _on_source(
+        lambda source: quality.report(quality.domain_audit(mapping.raw_purchases(source), "purchase"), "purchase")
+    ),
+    "orphans": _on_tables(_orphans),
+    "reference_audit": _on_tables(_reference_audit),
+    "purchase_rejects": _purchase_rejects,
+    "cascade_delete": _on_tables(lambda tables: _without_unvisited_stores(tables).purchase.select("purchase_id", *STORE)),
+    "cascade_delete_counts": _on_tables(_cascade_delete_counts),
+    "cascade_update": _on_tables(_cascade_update),
+    # Stock and statistics.
+    "stock_admission": _on_tables(
+        lambda tables: stock.admit_sales(tables.purchase, tables.inventory).select("purchase_id", "is_admitted")
+    ),
+    "stock_after": _on_tables(
+        lambda tables: stock.stock_after_sales(tables.inventory, tables.purchase).select(*ITEM, "qty")
+    ),
+    "stock_changes": _stock_changes,
+    "stats_after_batch": _on_tables(_stats_after_batch),
+    "average_step_rounded": _on_tables(lambda tables: statistics.step_rounded_average(tables.purchase)),
+    "stats_stream": _stats_stream,
+    "stream_admitted": _stream_admitted,
+    "stream_refused": _stream_refused,
+    "stream_inventory": lambda spark, folder: _ledger(spark, folder).inventory().select(*ITEM, "qty"),
+    "stream_stats": lambda spark, folder: _ledger(spark, folder).stats(),
+    # Users.
+    "user_load": _on_source(_user_load),
+    "user_digest": _on_tables(lambda tables: _digests_as_text(tables.user_info)),
+    "user_public": _on_tables(lambda tables: users.public_users(tables.user_info)),
+    "digest_audit": _digest_audit,
+    "digest_rotation": _digest_rotation,
+    "user_rejects": _user_rejects,
 }
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tillwise import schema, session
 from tillwise.functions.digests import digest_bytes, salt, salted_digest
+from tillwise.sources import staging
 from tillwise.sources.tables import RetailTables, read_tables, write_table
 
 # Fixed values of the mapping.
@@ -26,7 +27,7 @@ CATEGORIES = {
 OTHER_CATEGORY = "Electronics"
 PAYMENTS = {0: "Cash", 1: "Credit Card", 2: "Debit Card"}
 OTHER_PAYMENT = "Mobile Payment"
-SALT_KEY = "tillwise"
+SALT_KEY = "sample"
 
 
 def _choose(value: Column, choices: dict, other: str) -> Column:
@@ -161,6 +162,87 @@ def _customer_visits(source: SourceTables) -> DataFrame:
     )
 
 
+def purchase_candidates(source: SourceTables) -> DataFrame:
+    """Every order line as a purchase entered by hand: text columns, many rules broken."""
+    stores = _store_of(source("supplier"), source("nation"))
+    return (
+        source("lineitem")
+        .join(source("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+        .join(stores, F.col("l_suppkey") == F.col("s_suppkey"))
+        .select(
+            (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("string").alias("purchase_id"),
+            F.col("l_partkey").cast("string").alias("product_id"),
+            F.col("store_id").cast("string").alias("store_id"),
+            F.col("o_custkey").cast("string").alias("customer_id"),
+            _choose(F.col("l_linenumber") % 4, PAYMENTS, OTHER_PAYMENT).alias("payment_method"),
+            (F.col("l_quantity") * 3).cast("int").cast("string").alias("discount_percent"),
+            F.col("l_shipdate").cast("date").cast("string").alias("txn_date"),
+            "store_location",
+            F.floor(F.col("l_extendedprice") / 7).cast("bigint").cast("string").alias("purchased_product_price_usd"),
+        )
+    )
+
+
+def raw_purchases(source: SourceTables) -> DataFrame:
+    """Order lines with their unreduced key and price, for the key and domain audits."""
+    stores = _store_of(source("supplier"), source("nation"))
+    return (
+        source("lineitem")
+        .join(stores, F.col("l_suppkey") == F.col("s_suppkey"))
+        .select(
+            (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("string").alias("purchase_id"),
+            F.col("l_partkey").cast("string").alias("product_id"),
+            "store_id",
+            "store_location",
+            F.round(F.col("l_discount") * 100).cast("int").alias("discount_percent"),
+            F.col("l_extendedprice").cast("decimal(12,2)").alias("purchased_product_price_usd"),
+        )
+    )
+
+
+def stock_changes(source: SourceTables) -> DataFrame:
+    """Order lines as stock changes: returned lines add their quantity, others take it."""
+    stores = _store_of(source("supplier"), source("nation"))
+    quantity = F.col("l_quantity").cast("bigint")
+    smallest = F.min(F.struct("l_partkey", "l_suppkey", "l_returnflag", "l_quantity", "l_shipdate")).alias("line")
+    lines = source("lineitem").groupBy("l_orderkey", "l_linenumber").agg(smallest)
+    return (
+        lines.select("l_orderkey", "l_linenumber", "line.*")
+        .join(stores, F.col("l_suppkey") == F.col("s_suppkey"))
+        .select(
+            F.col("l_partkey").cast("string").alias("product_id"),
+            "store_id",
+            "store_location",
+            F.col("l_shipdate").cast("date").alias("change_day"),
+            (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("change_number"),
+            F.when(F.col("l_returnflag") == "R", quantity).otherwise(-quantity).alias("qty_change"),
+        )
+    )
+
+
+def flat_rows(tables: RetailTables) -> DataFrame:
+    """Purchases with all attributes beside them, as in a flat sales file.
+
+    Each row carries one day of foot traffic: the one whose day of month is the
+    purchase number modulo 31, where the store has it.
+    """
+    day = F.dayofmonth("visit_date").alias("visit_day")
+    traffic = tables.popularity.select("store_id", "store_location", "visit_date", "foot_traffic", day)
+    purchases = tables.purchase.withColumn("visit_day", (F.col("purchase_id").cast("bigint") % 31).cast("int"))
+    item = ["product_id", "store_id", "store_location"]
+    joined = (
+        purchases.join(tables.product, "product_id")
+        .join(tables.customer, "customer_id")
+        .join(tables.store, ["store_id", "store_location"])
+        .join(tables.inventory, item, "left")
+        .join(traffic, ["store_id", "store_location", "visit_day"], "left")
+        .join(tables.customer_visits, ["customer_id", "store_id", "store_location"], "left")
+        .withColumn("purchase_date", F.col("txn_date"))
+        .withColumn("is_favorite", F.col("is_favorite").cast("int"))
+    )
+    return joined.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.STAGING.fields])
+
+
 def user_requests(source: SourceTables) -> DataFrame:
     """One sign-up request per customer; every tenth is an administrator."""
     key = F.col("c_custkey")
@@ -200,6 +282,58 @@ def _admin(source: SourceTables) -> DataFrame:
     return user_requests(source).filter("is_admin = 1").select("username", "employee_type")
 
 
+def repeated_requests(source: SourceTables) -> DataFrame:
+    """Sign-up requests whose names repeat: one name per market segment and nation."""
+    name = F.lower(F.concat_ws("_", "c_mktsegment", F.col("c_nationkey").cast("string")))
+    named = source("customer").select(F.col("c_custkey").alias("arrival"), name.alias("chosen_name"))
+    return user_requests(source).join(named, "arrival").withColumn("username", F.col("chosen_name")).drop("chosen_name")
+
+
+def names_in_debt(source: SourceTables) -> DataFrame:
+    """Names of :func:`repeated_requests` with a customer below zero balance."""
+    name = F.lower(F.concat_ws("_", "c_mktsegment", F.col("c_nationkey").cast("string")))
+    return source("customer").filter("c_acctbal < 0").select(name.alias("username")).distinct()
+
+
+def faulty_requests(source: SourceTables) -> DataFrame:
+    """Sign-up requests that break one rule or another, depending on the customer."""
+    key, nation = F.col("c_custkey"), F.col("c_nationkey")
+    text = key.cast("string")
+    phone = F.when(nation < 8, F.concat(F.lit("+1 (555) "), text)).when(nation < 16, F.concat(F.lit("tel "), text))
+    return source("customer").select(
+        F.when(key % 3 == 0, F.col("c_name"))
+        .when(key % 3 == 1, F.concat(F.lit("user_"), text))
+        .when(nation < 12, F.concat(F.lit("new user "), text))
+        .otherwise(F.concat(F.lit("new_"), text))
+        .alias("username"),
+        F.when(nation == 3, F.lit("")).otherwise(F.col("c_mktsegment")).alias("secret"),
+        (key % 10 == 0).cast("int").alias("is_admin"),
+        F.when(nation != 5, F.col("c_mktsegment")).alias("first_name"),
+        F.col("c_name").alias("last_name"),
+        F.when(nation != 7, (key % 2).cast("int")).alias("is_store_manager"),
+        phone.otherwise(F.concat(F.lit("555-555-555-555-"), text)).alias("phone_number"),
+        F.when(key % 20 == 0, "Engineer").otherwise("visitor").alias("employee_type"),
+    )
+
+
+def digest_attempts(source: SourceTables) -> DataFrame:
+    """Logins with a secret that is right for some users; every seventh name is unknown."""
+    key = F.col("c_custkey")
+    return source("customer").select(
+        F.concat(F.when(key % 7 == 0, "guest_").otherwise("user_"), key.cast("string")).alias("username"),
+        F.concat(F.lit("secret_"), (key % 89).cast("string")).alias("secret"),
+    )
+
+
+def digest_changes(source: SourceTables) -> DataFrame:
+    """New secrets by order: the latest order of a customer gives the secret."""
+    return source("orders").select(
+        F.concat(F.lit("user_"), F.col("o_custkey").cast("string")).alias("username"),
+        F.concat(F.lit("order_"), F.col("o_orderkey").cast("string")).alias("secret"),
+        F.col("o_orderkey").alias("arrival"),
+    )
+
+
 BUILDERS = {
     "store": lambda source: _store_of(source("supplier"), source("nation")),
     "product": _product,
@@ -224,7 +358,7 @@ def _plan(build, source: SourceTables, name: str):
     return lambda: schema.conform(build(source), name)
 
 
-_loaded: dict[tuple, RetailTables] = {}
+_loaded: dict[tuple, RetailTables | DataFrame] = {}
 
 
 def load_tables(spark: SparkSession, folder: str) -> RetailTables:
@@ -255,6 +389,16 @@ def _written_on_use(spark: SparkSession, tables: RetailTables) -> RetailTables:
     return RetailTables({name: write_then_read(name) for name in tables.names()})
 
 
+def load_staging(spark: SparkSession, folder: str) -> DataFrame:
+    """The flat file made from the mapped tables, written, read back and stored typed, once."""
+    key = ("staging", spark.sparkContext.applicationId, folder, _signature(folder))
+    if key not in _loaded:
+        target = session.new_folder(spark, "staging")
+        staging.write_flat(flat_rows(load_tables(spark, folder)), f"{target}/csv")
+        _loaded[key] = staging.store_staging(staging.read_staging(spark, f"{target}/csv"), f"{target}/typed")
+    return _loaded[key]
+
+
 def _signature(folder: str) -> tuple:
     """Names, sizes and times of local files, so that a replaced folder is loaded again."""
     if not os.path.isdir(folder):
