@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings. Joins carry no broadcast hints on tables that grow: Catalyst and AQE
 # broadcast a side only while its measured size is under the threshold, and AQE splits a
@@ -16,6 +16,7 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    "spark.ui.showConsoleProgress": "false",
 }
 
 
@@ -53,3 +54,15 @@ def new_folder(spark: SparkSession, purpose: str) -> str:
     if base is None:
         raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
     return f"{base}/{purpose}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    """``df`` written once to the shared folder and read back.
+
+    For an intermediate result used several times: it cuts the lineage, survives lost
+    executors and gives Catalyst a known size.
+    """
+    spark = df.sparkSession
+    path = new_folder(spark, purpose)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -46,15 +46,26 @@ class SourceTables:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
 
-def _store_of(supplier: DataFrame, nation: DataFrame) -> DataFrame:
-    key = F.col("s_suppkey")
+def _add_store(rows: DataFrame, source: SourceTables, supplier_key: str) -> DataFrame:
+    """``rows`` with the store of a supplier key.
+
+    Supplier and nation are joined to the rows as files, whose sizes Catalyst knows; a
+    derived store table would hide them and shuffle the rows.
+    """
+    key = F.col(supplier_key)
     store_id = F.floor(key / 5).cast("int")
-    return supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(
-        "s_suppkey",
-        store_id.alias("store_id"),
-        F.concat("n_name", F.lit("-"), (key % 5).cast("string")).alias("store_location"),
-        F.concat(F.lit("Chain "), (store_id % 15).cast("string")).alias("store_chain_name"),
-        (key % 30 + 1990).cast("int").alias("year_opened"),
+    suppliers = source("supplier").select(F.col("s_suppkey").alias("store_key"), "s_nationkey")
+    return (
+        rows.join(suppliers, key == F.col("store_key"))
+        .join(source("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+        .withColumns(
+            {
+                "store_id": store_id,
+                "store_location": F.concat("n_name", F.lit("-"), (key % 5).cast("string")),
+                "store_chain_name": F.concat(F.lit("Chain "), (store_id % 15).cast("string")),
+                "year_opened": (key % 30 + 1990).cast("int"),
+            }
+        )
     )
 
 
@@ -74,6 +85,10 @@ def _line_items(source: SourceTables) -> DataFrame:
     )
 
 
+def _store(source: SourceTables) -> DataFrame:
+    return _add_store(source("supplier").select("s_suppkey"), source, "s_suppkey")
+
+
 def _product(source: SourceTables) -> DataFrame:
     return source("part").select(
         F.col("p_partkey").cast("string").alias("product_id"),
@@ -93,11 +108,11 @@ def _customer(source: SourceTables) -> DataFrame:
 
 
 def _purchase(source: SourceTables) -> DataFrame:
-    stores = _store_of(source("supplier"), source("nation"))
     lines = _line_items(source).filter(F.col("l_suppkey") % 10 != 9)
+    orders = source("orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    sold = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     return (
-        lines.join(source("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(stores, F.col("l_suppkey") == F.col("s_suppkey"))
+        _add_store(sold, source, "l_suppkey")
         .select(
             (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("string").alias("purchase_id"),
             F.col("l_partkey").cast("string").alias("product_id"),
@@ -113,12 +128,10 @@ def _purchase(source: SourceTables) -> DataFrame:
 
 
 def _inventory(source: SourceTables) -> DataFrame:
-    stores = _store_of(source("supplier"), source("nation"))
     part, supplier = F.col("l_partkey"), F.col("l_suppkey")
     items = source("lineitem").select("l_partkey", "l_suppkey").filter(part % 7 != 0).distinct()
     return (
-        items.join(source("part"), part == F.col("p_partkey"))
-        .join(stores, supplier == F.col("s_suppkey"))
+        _add_store(items.join(source("part"), part == F.col("p_partkey")), source, "l_suppkey")
         .select(
             part.cast("string").alias("product_id"),
             "store_id",
@@ -132,20 +145,17 @@ def _inventory(source: SourceTables) -> DataFrame:
 
 
 def _popularity(source: SourceTables) -> DataFrame:
-    stores = _store_of(source("supplier"), source("nation")).filter(F.col("s_suppkey") % 10 != 8)
     store_total = source("supplier").agg(F.count("*")).scalar()
     visits = (
         source("events")
         .groupBy((F.col("user_id") % store_total).alias("visited"), F.col("ts").cast("date").alias("visit_date"))
         .agg(F.count("*").cast("int").alias("foot_traffic"))
     )
-    return visits.join(stores, F.col("visited") == F.col("s_suppkey")).select(
-        "store_id", "store_location", "visit_date", "foot_traffic"
-    )
+    visited = visits.filter(F.col("visited") % 10 != 8)
+    return _add_store(visited, source, "visited").select("store_id", "store_location", "visit_date", "foot_traffic")
 
 
 def _customer_visits(source: SourceTables) -> DataFrame:
-    stores = _store_of(source("supplier"), source("nation"))
     pairs = (
         source("lineitem")
         .select("l_orderkey", "l_suppkey")
@@ -154,7 +164,7 @@ def _customer_visits(source: SourceTables) -> DataFrame:
         .select("o_custkey", "l_suppkey")
         .distinct()
     )
-    return pairs.join(stores, F.col("l_suppkey") == F.col("s_suppkey")).select(
+    return _add_store(pairs, source, "l_suppkey").select(
         F.col("o_custkey").cast("int").alias("customer_id"),
         "store_id",
         "store_location",
@@ -164,11 +174,9 @@ def _customer_visits(source: SourceTables) -> DataFrame:
 
 def purchase_candidates(source: SourceTables) -> DataFrame:
     """Every order line as a purchase entered by hand: text columns, many rules broken."""
-    stores = _store_of(source("supplier"), source("nation"))
+    ordered = source("lineitem").join(source("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     return (
-        source("lineitem")
-        .join(source("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(stores, F.col("l_suppkey") == F.col("s_suppkey"))
+        _add_store(ordered, source, "l_suppkey")
         .select(
             (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("string").alias("purchase_id"),
             F.col("l_partkey").cast("string").alias("product_id"),
@@ -185,10 +193,8 @@ def purchase_candidates(source: SourceTables) -> DataFrame:
 
 def raw_purchases(source: SourceTables) -> DataFrame:
     """Order lines with their unreduced key and price, for the key and domain audits."""
-    stores = _store_of(source("supplier"), source("nation"))
     return (
-        source("lineitem")
-        .join(stores, F.col("l_suppkey") == F.col("s_suppkey"))
+        _add_store(source("lineitem"), source, "l_suppkey")
         .select(
             (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("string").alias("purchase_id"),
             F.col("l_partkey").cast("string").alias("product_id"),
@@ -202,13 +208,11 @@ def raw_purchases(source: SourceTables) -> DataFrame:
 
 def stock_changes(source: SourceTables) -> DataFrame:
     """Order lines as stock changes: returned lines add their quantity, others take it."""
-    stores = _store_of(source("supplier"), source("nation"))
     quantity = F.col("l_quantity").cast("bigint")
     smallest = F.min(F.struct("l_partkey", "l_suppkey", "l_returnflag", "l_quantity", "l_shipdate")).alias("line")
     lines = source("lineitem").groupBy("l_orderkey", "l_linenumber").agg(smallest)
     return (
-        lines.select("l_orderkey", "l_linenumber", "line.*")
-        .join(stores, F.col("l_suppkey") == F.col("s_suppkey"))
+        _add_store(lines.select("l_orderkey", "l_linenumber", "line.*"), source, "l_suppkey")
         .select(
             F.col("l_partkey").cast("string").alias("product_id"),
             "store_id",
@@ -335,7 +339,7 @@ def digest_changes(source: SourceTables) -> DataFrame:
 
 
 BUILDERS = {
-    "store": lambda source: _store_of(source("supplier"), source("nation")),
+    "store": _store,
     "product": _product,
     "customer": _customer,
     "purchase": _purchase,
