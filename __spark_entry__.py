@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from checks import oracle
 from tillwise import schema, session
 from tillwise.operators import cascade, paging, quality, statistics, stock, users
-from tillwise.plans import reports
+from tillwise.plans import reports, sql_surface
 from tillwise.sources import mapping, staging
 from tillwise.sources.mapping import SourceTables, load_tables
 from tillwise.sources.tables import RetailTables
@@ -187,6 +187,17 @@ def _user_rejects(spark: SparkSession, folder: str) -> DataFrame:
     return _reasons_as_text(quality.violations(checked)).select("username", "reasons")
 
 
+def _sql(query: str) -> Query:
+    """A query text on the registered views and functions."""
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        sql_surface.register(spark, load_tables(spark, folder))
+        mapping.digest_attempts(SourceTables(spark, folder)).createOrReplaceTempView("attempt")
+        return sql_surface.run(spark, query)
+
+    return run
+
+
 _QUERIES: dict[str, Query] = {
     # Reports.
     "store_performance": _on_tables(reports.store_performance),
@@ -250,6 +261,25 @@ _QUERIES: dict[str, Query] = {
     "digest_audit": _digest_audit,
     "digest_rotation": _digest_rotation,
     "user_rejects": _user_rejects,
+    # SQL text on the views and functions.
+    "sql_store_functions": _sql(
+        """
+        SELECT store_id, store_location, store_count(store_id) AS store_count,
+               store_id_to_store_chain(store_id) AS store_chain,
+               CAST(store_score(store_id) AS DECIMAL(18,2)) AS score
+        FROM store"""
+    ),
+    "sql_sale_prices": _sql(
+        """
+        SELECT purchase_id, get_sale_price(purchase_id, product_id, store_id, customer_id) AS sale_price
+        FROM purchase"""
+    ),
+    "sql_logins": _sql("SELECT username, secret, authenticate(username, secret) AS result FROM attempt"),
+    "sql_sales_view": _sql(
+        """
+        SELECT product_category, count(*) AS age_ranges, CAST(sum(total_sales) AS DECIMAL(20,2)) AS total_sales
+        FROM sales_summary_by_age_group GROUP BY product_category"""
+    ),
 }
 
 

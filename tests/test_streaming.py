@@ -85,6 +85,23 @@ def test_compaction_keeps_the_state(spark, ledger):
     assert state(ledger) == AFTER_BOTH
 
 
+def test_step_rounded_averages_follow_the_batches(spark, table, tmp_path):
+    ledger = SalesLedger.create(
+        spark, str(tmp_path / "ledger"), small_tables(table), F.lit("2024-01-01").cast("date"), step_rounded=True
+    )
+    discounts = iter([1, 2, 2, 50, 0])
+    expected_n, expected = 1, 0
+    for number, size in enumerate((3, 2)):
+        entered = [{"purchase_id": str(10 + 10 * number + i), "discount_percent": str(next(discounts))} for i in range(size)]
+        for change in entered:
+            d = int(change["discount_percent"]) * 100
+            expected = ((expected * expected_n + d) * 2 + expected_n + 1) // (2 * (expected_n + 1))
+            expected_n += 1
+        ledger.apply_batch(batch(spark, *entered), number)
+        row = ledger.step_rounded_averages().first()
+        assert (row.store_id, row.num_purchases, int(row.avg_discount * 100)) == (1, expected_n, expected)
+
+
 def test_stream_of_files_in_two_runs(spark, ledger, tmp_path):
     source, checkpoint = str(tmp_path / "arrivals"), str(tmp_path / "checkpoint")
     for part in (FIRST, SECOND):
