@@ -123,6 +123,9 @@ def test_repeated_ids_in_a_batch(spark, table):
     assert [r.reasons for r in copies.collect()] == [[]]
     different = check(spark, small_tables(table), {"purchase_id": "8"}, {"purchase_id": "8", "customer_id": "1"})
     assert [r.reasons for r in different.collect()] == [["purchase_id is repeated"]] * 2
+    refused = {"purchase_id": "8", "customer_id": "9"}
+    one_valid = check(spark, small_tables(table), {"purchase_id": "8"}, refused, refused)
+    assert sorted(r.reasons for r in one_valid.collect()) == [[], ["customer_id is unknown"], ["customer_id is unknown"]]
 
 
 def test_cascade_delete(table):

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillwise import schema
+from tillwise import schema, session
 from tillwise.functions.text import as_number, is_digits, is_phone, is_word, strict_date
 from tillwise.sources.tables import RetailTables
 
@@ -24,9 +24,6 @@ PRICE_LIMIT = 100_000
 MAX_DISCOUNT = 100
 PHONE_WIDTH = 20
 
-# Stands for an id that is not a number; ids have no sign.
-NO_NUMBER = -1
-
 
 def with_reasons(df: DataFrame, rules: Iterable[tuple[str, Column]]) -> DataFrame:
     """Add the names of the rules each row breaks, in rule order."""
@@ -133,13 +130,24 @@ def _number_rules(name: str, above: tuple[str, int] | None = None) -> list[tuple
 def check_purchases(candidates: DataFrame, tables: RetailTables, as_of: Column | None = None) -> DataFrame:
     """Candidate purchases, all columns as entered text, with the rules each breaks.
 
-    ``as_of`` is the last valid transaction date, today by default. Identical repeats
-    count once; different rows with one id are all refused, as a batch has no arrival order.
+    ``as_of`` is the last valid transaction date, today by default. Rows that break no
+    rule on their own are then compared with each other: identical copies count once, and
+    different rows with one id are all refused, as a batch has no arrival order. The
+    result of the first step is read three times, so it is stored.
     """
     today = F.current_date() if as_of is None else as_of
-    entered = candidates.distinct()
+    checked = session.stored(_check_each_purchase(candidates, tables, today), "checked-purchases")
+    unique = passing(checked).distinct().withColumn("purchase_no", as_number(F.trim("purchase_id")))
+    repeated = unique.groupBy("purchase_no").agg((F.count("*") > 1).alias("is_repeated"))
+    compared = unique.join(repeated, "purchase_no").withColumn(
+        REASONS, F.when(F.col("is_repeated"), F.array(F.lit("purchase_id is repeated"))).otherwise(F.col(REASONS))
+    )
+    return violations(checked).unionByName(compared.select(*checked.columns))
+
+
+def _check_each_purchase(candidates: DataFrame, tables: RetailTables, today: Column) -> DataFrame:
     numbers = {name: as_number(F.trim(name)) for name in ("purchase_id", "customer_id", "store_id", "product_id")}
-    rows = entered.withColumns(
+    rows = candidates.withColumns(
         {
             "purchase_no": numbers["purchase_id"],
             "customer_no": numbers["customer_id"],
@@ -149,11 +157,7 @@ def check_purchases(candidates: DataFrame, tables: RetailTables, as_of: Column |
             "entered_date": strict_date(F.trim("txn_date")),
         }
     )
-    # A key that is never NULL keeps both uses of ``rows`` one plan, so its shuffle is reused.
-    rows = rows.withColumn("repeat_key", F.coalesce("purchase_no", F.lit(NO_NUMBER)))
-    repeated = rows.groupBy("repeat_key").agg(F.count("*").alias("n")).filter("n > 1")
     known = {
-        "is_repeated": repeated.select("repeat_key"),
         "is_taken": tables.purchase.select(as_number(F.col("purchase_id")).alias("purchase_no")),
         "is_customer": tables.customer.select(F.col("customer_id").cast("bigint").alias("customer_no")),
         "is_store": tables.store.select(F.col("store_id").cast("bigint").alias("store_no")),
@@ -169,12 +173,11 @@ def check_purchases(candidates: DataFrame, tables: RetailTables, as_of: Column |
     for flag, keys in known.items():
         rows = rows.join(keys.distinct().withColumn(flag, F.lit(True)), keys.columns, "left")
 
-    price, discount = as_number(F.trim("purchased_product_price_usd")), as_number(F.trim("discount_percent"))
+    price, payment = as_number(F.trim("purchased_product_price_usd")), F.trim("payment_method")
     missing = {flag: F.col(flag).isNull() for flag in known}
     rules = [
         *_number_rules("purchase_id", ("purchase_id has more than 7 digits", ID_LIMIT)),
         ("purchase_id is taken", F.col("is_taken").isNotNull()),
-        ("purchase_id is repeated", F.col("purchase_no").isNotNull() & F.col("is_repeated").isNotNull()),
         *_number_rules("customer_id"),
         ("customer_id is unknown", F.col("customer_no").isNotNull() & missing["is_customer"]),
         *_number_rules("store_id"),
@@ -185,10 +188,7 @@ def check_purchases(candidates: DataFrame, tables: RetailTables, as_of: Column |
         *_number_rules("purchased_product_price_usd", ("price is 100000 or more", PRICE_LIMIT)),
         ("price does not fit decimal(6,2)", (price < PRICE_LIMIT) & price.try_cast("decimal(6,2)").isNull()),
         *_number_rules("discount_percent", ("discount_percent is over 100", MAX_DISCOUNT + 1)),
-        (
-            "payment_method is not accepted",
-            ~F.coalesce(F.trim("payment_method").isin(schema.ACCEPTED_PAYMENTS), F.lit(False)),
-        ),
+        ("payment_method is not accepted", ~F.coalesce(payment.isin(schema.ACCEPTED_PAYMENTS), F.lit(False))),
         ("txn_date is not a date", F.col("entered_date").isNull()),
         ("txn_date is in the future", F.col("entered_date") > today),
     ]

@@ -10,11 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings. Joins carry no broadcast hints on tables that grow: Catalyst and AQE
 # broadcast a side only while its measured size is under the threshold, and AQE splits a
-# skewed partition of a sort-merge join otherwise.
+# skewed partition of a sort-merge join otherwise. Generated methods beyond 8000 bytes are
+# not compiled by the JIT; Spark then splits them instead of fusing the stage.
 RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.showConsoleProgress": "false",
 }
