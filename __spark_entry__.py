@@ -17,6 +17,14 @@ from tillwise.sources.tables import RetailTables
 from tillwise.streaming.ledger import SalesLedger
 from tillwise.streaming.live_stats import current_stats, start_live_stats
 
+# The training-data operators and their pipeline are a part of their own, which may be absent.
+try:
+    import tillwise.llm.registry as llm
+except ModuleNotFoundError as missing:
+    if missing.name not in {"tillwise.llm", "tillwise.llm.registry", "corpus_pipeline"}:
+        raise
+    llm = None
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 SMOKE_FOLDER = "/root/testdata/sf0.001"
@@ -284,8 +292,8 @@ _QUERIES: dict[str, Query] = {
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return {**_QUERIES, **(llm.queries() if llm else {})}
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle.oracles()
+    return {**oracle.oracles(), **(llm.oracle_sql() if llm else {})}

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +15,7 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    "spark.sql.ansi.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -36,26 +35,19 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     return builder.getOrCreate()
 
 
-def shared_folder(spark: SparkSession) -> str | None:
-    """A folder every executor can reach, unique to this application; None if there is none.
+def shared_folder(spark: SparkSession) -> str:
+    """A folder every executor can reach, unique to this application.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only a local master, where driver and
-    executors share one machine, may fall back to the temporary folder.
+    The cluster names it in ``spark.checkpoint.dir``. Where that is unset the warehouse
+    takes its place, which Spark shares between driver and executors as well.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return f"{named.rstrip('/')}/tillwise-{spark.sparkContext.applicationId}"
-    if spark.sparkContext.master.startswith("local"):
-        return os.path.join(tempfile.gettempdir(), f"tillwise-{spark.sparkContext.applicationId}")
-    return None
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{named.rstrip('/')}/tillwise-{spark.sparkContext.applicationId}"
 
 
 def new_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh path below the shared folder."""
-    base = shared_folder(spark)
-    if base is None:
-        raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-    return f"{base}/{purpose}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{purpose}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, purpose: str) -> DataFrame:

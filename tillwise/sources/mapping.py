@@ -385,10 +385,8 @@ def load_tables(spark: SparkSession, folder: str) -> RetailTables:
     """The mapped tables, each written once per application to the shared folder.
 
     Reports then scan narrow, typed parquet with known sizes instead of repeating the
-    normalisation. Without a shared folder the tables stay lazy plans.
+    normalisation.
     """
-    if session.shared_folder(spark) is None:
-        return mapped_tables(spark, folder)
     key = (spark.sparkContext.applicationId, folder, _signature(folder))
     if key not in _loaded:
         _loaded[key] = _written_on_use(spark, mapped_tables(spark, folder))
