@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillwise.llm import chat, exact_dedup, oracle, pii
+from tillwise.llm import chat, decontamination, exact_dedup, language, oracle, pii
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,17 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def _decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    judged = decontamination.contamination(
+        _table(spark, folder, "documents"), _table(spark, folder, "benchmark"), ["doc_id"]
+    )
+    return judged.withColumnRenamed("c0", "doc_id")
+
+
+def _language(spark: SparkSession, folder: str) -> DataFrame:
+    return language.predictions(_table(spark, folder, "documents"))
+
+
 def _pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.span_digests(pii.find_spans(_table(spark, folder, "documents")))
 
@@ -39,6 +50,8 @@ def _exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _QUERIES: dict[str, Query] = {
+    "op5_decontamination": _decontamination,
+    "op6_language": _language,
     "op7_pii": _pii,
     "op9_chat": _chat,
     "op10_exact_dedup": _exact_dedup,
