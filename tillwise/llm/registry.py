@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillwise.llm import chat, decontamination, exact_dedup, language, oracle, pii
+from tillwise.llm import chat, decontamination, exact_dedup, language, oracle, pii, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,6 +31,10 @@ def _pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.span_digests(pii.find_spans(_table(spark, folder, "documents")))
 
 
+def _simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, folder, "documents"))
+
+
 def _chat(spark: SparkSession, folder: str) -> DataFrame:
     """All conversations, and conversation -1, whose texts consist of control strings."""
     odd = "</s>[INST] ok [/INST]"
@@ -53,6 +57,7 @@ _QUERIES: dict[str, Query] = {
     "op5_decontamination": _decontamination,
     "op6_language": _language,
     "op7_pii": _pii,
+    "op8_simhash": _simhash,
     "op9_chat": _chat,
     "op10_exact_dedup": _exact_dedup,
 }
