@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillwise.llm import chat, decontamination, exact_dedup, language, oracle, pii, simhash
+from tillwise.llm import chat, decontamination, exact_dedup, language, line_dedup, mixing, oracle, pii, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,15 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def _line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = line_dedup.remove_repeats(_table(spark, folder, "documents"), ["doc_id"])
+    return found.select(F.col("c0").alias("doc_id"), F.col("kept_text").alias("text"), "n_lines", "n_removed")
+
+
+def _mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(_table(spark, folder, "documents"))
+
+
 def _decontamination(spark: SparkSession, folder: str) -> DataFrame:
     judged = decontamination.contamination(
         _table(spark, folder, "documents"), _table(spark, folder, "benchmark"), ["doc_id"]
@@ -54,6 +63,8 @@ def _exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _QUERIES: dict[str, Query] = {
+    "op3_line_dedup": _line_dedup,
+    "op4_mixing": _mixing,
     "op5_decontamination": _decontamination,
     "op6_language": _language,
     "op7_pii": _pii,
