@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tillwise.llm import chat, decontamination, exact_dedup, language, line_dedup, mixing, oracle, pii, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,6 +72,7 @@ _QUERIES: dict[str, Query] = {
     "op8_simhash": _simhash,
     "op9_chat": _chat,
     "op10_exact_dedup": _exact_dedup,
+    "pipeline": corpus_pipeline.run,
 }
 
 
@@ -79,4 +81,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(oracle.SQL)
+    return {**oracle.SQL, **({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})}
