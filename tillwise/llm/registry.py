@@ -8,15 +8,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tillwise.llm import chat, decontamination, exact_dedup, language, line_dedup, mixing, oracle, pii, simhash
+from tillwise.llm import chat, decontamination, exact_dedup, language, licenses, line_dedup, mixing, oracle, pii, simhash, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+# The vocabulary of the token counts.
+VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+
+
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def _licenses(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents as files: the source and the language are their directories."""
+    path = F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))
+    return licenses.scan(_table(spark, folder, "documents").select("doc_id", path.alias("path"), "text"))
+
+
+def _token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    vocabulary = token_counts.read_vocabulary(VOCABULARY)
+    return token_counts.document_tokens(_table(spark, folder, "documents"), vocabulary)
+
+
 def _line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = line_dedup.remove_repeats(_table(spark, folder, "documents"), ["doc_id"])
     return found.select(F.col("c0").alias("doc_id"), F.col("kept_text").alias("text"), "n_lines", "n_removed")
@@ -64,6 +79,8 @@ def _exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _QUERIES: dict[str, Query] = {
+    "op1_licenses": _licenses,
+    "op2_token_counts": _token_counts,
     "op3_line_dedup": _line_dedup,
     "op4_mixing": _mixing,
     "op5_decontamination": _decontamination,
