@@ -13,7 +13,7 @@ from tillwise.operators import cascade, paging, quality, statistics, stock, user
 from tillwise.plans import reports, sql_surface
 from tillwise.sources import mapping, staging
 from tillwise.sources.mapping import SourceTables, load_tables
-from tillwise.sources.tables import RetailTables
+from tillwise.sources.tables import RetailTables, append_rows, read_tables, write_table
 from tillwise.streaming.ledger import SalesLedger
 from tillwise.streaming.live_stats import current_stats, start_live_stats
 
@@ -30,6 +30,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 SMOKE_FOLDER = "/root/testdata/sf0.001"
 STORE = ["store_id", "store_location"]
 ITEM = ["product_id", "store_id", "store_location"]
+# Width of purchase and product ids in the sample tables, whose numbers grow with the orders.
+ID_DIGITS = 18
 AUDITED = ["inventory", "popularity", "purchase", "customer_visits", "client", "admin"]
 # Last valid transaction date of the candidate purchases.
 AS_OF = "2000-01-01"
@@ -71,8 +73,13 @@ def _store_counts(spark: SparkSession, folder: str) -> DataFrame:
     return reports.store_counts(load_tables(spark, folder), wanted)
 
 
+def _listed_items(tables: RetailTables) -> DataFrame:
+    """Inventory without every seventh product, so that some sales have none."""
+    return tables.inventory.filter(F.col("product_id").cast("bigint") % 7 != 0)
+
+
 def _known_items(tables: RetailTables) -> DataFrame:
-    return reports.known_keys(tables.purchase.select("purchase_id", *ITEM), tables.inventory, ITEM)
+    return reports.known_keys(tables.purchase.select("purchase_id", *ITEM), _listed_items(tables), ITEM)
 
 
 def _null_audit(spark: SparkSession, folder: str) -> DataFrame:
@@ -81,30 +88,54 @@ def _null_audit(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _orphans(tables: RetailTables) -> DataFrame:
-    found = quality.orphans(tables.purchase, [("inventory", tables.inventory, ITEM)])
+    found = quality.orphans(tables.purchase, [("inventory", _listed_items(tables), ITEM)])
     return quality.report(found, "purchase")
 
 
 def _reference_audit(tables: RetailTables) -> DataFrame:
-    return _union([quality.report(quality.table_orphans(tables, name), name) for name in AUDITED])
+    """Orphans of all references after some parents of each kind are gone."""
+    number = F.regexp_extract("username", "[0-9]+", 0).cast("bigint")
+    left = tables.replacing(
+        store=tables.store.filter("year_opened >= 1992"),
+        product=tables.product.filter("product_category <> 'Books'"),
+        customer=tables.customer.filter("age >= 5"),
+        user_info=tables.user_info.filter(~(number % 100).isin(7, 10)),
+    )
+    return _union([quality.report(quality.table_orphans(left, name), name) for name in AUDITED])
+
+
+def _domain_audit_tables(tables: RetailTables) -> DataFrame:
+    """Audits of tables in which some values are made to break the declared rules."""
+    too_long = F.length("username") > 8
+    faulty = {
+        "customer": tables.customer.withColumns(
+            {"gender": F.when(F.col("age") % 7 == 0, "Q").otherwise(F.col("gender")), "age": F.col("age") * 2}
+        ),
+        "store": tables.store.withColumn("year_opened", F.col("year_opened") - 99),
+        "product": tables.product.withColumn("product_id", F.concat("product_id", F.lit("0000"))),
+        "admin": tables.admin.withColumn("employee_type", F.regexp_replace("employee_type", "engineer", "visitor")),
+        "client": tables.client.withColumn(
+            "phone_number", F.when(too_long, F.repeat(F.lit("5"), 21)).otherwise(F.col("phone_number"))
+        ),
+    }
+    return _union([quality.report(quality.domain_audit(table, name), name) for name, table in faulty.items()])
 
 
 def _checked_purchases(spark: SparkSession, folder: str) -> DataFrame:
     candidates = mapping.purchase_candidates(SourceTables(spark, folder))
-    return quality.check_purchases(candidates, load_tables(spark, folder), F.lit(AS_OF).cast("date"))
+    return quality.check_purchases(candidates, load_tables(spark, folder), F.lit(AS_OF).cast("date"), ID_DIGITS)
 
 
 def _purchase_rejects(spark: SparkSession, folder: str) -> DataFrame:
     return _reasons_as_text(quality.violations(_checked_purchases(spark, folder)))
 
 
-def _without_unvisited_stores(tables: RetailTables) -> RetailTables:
-    unvisited = tables.store.select(*STORE).join(tables.popularity, STORE, "left_anti")
-    return cascade.delete(tables, "store", unvisited)
+def _without_old_stores(tables: RetailTables) -> RetailTables:
+    return cascade.delete(tables, "store", tables.store.filter("year_opened < 1995").select(*STORE))
 
 
 def _cascade_delete_counts(tables: RetailTables) -> DataFrame:
-    kept = _without_unvisited_stores(tables)
+    kept = _without_old_stores(tables)
     names = ["store", "inventory", "popularity", "purchase", "customer_visits"]
     return _union([kept[n].agg(F.count("*").alias("kept_rows")).withColumn("table_name", F.lit(n)) for n in names])
 
@@ -123,20 +154,54 @@ def _stock_changes(spark: SparkSession, folder: str) -> DataFrame:
     return stock.apply_changes(load_tables(spark, folder).inventory, changes)
 
 
+def _before_and_after(purchase: DataFrame) -> tuple[DataFrame, DataFrame]:
+    is_new = F.col("txn_date") >= F.lit("1998-01-01").cast("date")
+    return purchase.filter(~is_new), purchase.filter(is_new)
+
+
 def _stats_after_batch(tables: RetailTables) -> DataFrame:
     """Statistics of the first years, then one batch with the rest merged into them."""
-    is_new = F.col("txn_date") >= F.lit("1998-01-01").cast("date")
-    before, batch = tables.purchase.filter(~is_new), tables.purchase.filter(is_new)
+    before, batch = _before_and_after(tables.purchase)
     return statistics.finish(statistics.merge(statistics.parts(before), statistics.parts(batch)))
 
 
+def _stored_stats(spark: SparkSession, folder: str) -> DataFrame:
+    """Statistics stored for the first years, refreshed from a delta, and read."""
+    before, batch = _before_and_after(load_tables(spark, folder).purchase)
+    work = session.new_folder(spark, "stored-stats")
+    statistics.write_stored(statistics.parts(before), f"{work}/first")
+    statistics.refresh_stored(spark, f"{work}/first", statistics.parts(batch), f"{work}/second")
+    return statistics.read_stored(spark, f"{work}/second")
+
+
+def _purchase_append(spark: SparkSession, folder: str) -> DataFrame:
+    before, batch = _before_and_after(load_tables(spark, folder).purchase)
+    work = session.new_folder(spark, "append")
+    write_table(before, work, "purchase")
+    append_rows(batch, work, "purchase")
+    return read_tables(spark, work, ["purchase"]).purchase.select("purchase_id", "customer_id", "txn_date")
+
+
+def _staging_coerced(spark: SparkSession, folder: str) -> DataFrame:
+    """The flat file read as a lenient load does: numbers or 0, text cut to its width."""
+    flat = mapping.load_staging(spark, folder, mysql_coerce=True)
+    columns = ["purchase_id", "customer_id", "gender", "qty"]
+    present = [F.coalesce(c, F.lit(0 if c in ("customer_id", "qty") else "")).alias(c) for c in columns]
+    return flat.filter("purchase_id IS NOT NULL").groupBy(*present).agg(F.count("*").alias("n"))
+
+
+ARRIVALS = 3
+
+
 def _stats_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """Stream the stored purchases through the live statistics."""
+    """Stream the stored purchases through the live statistics, in three runs of one stream."""
     purchase = load_tables(spark, folder).purchase
     work = session.new_folder(spark, "live-stats")
-    purchase.write.parquet(f"{work}/arrivals")
-    arrivals = spark.readStream.schema(purchase.schema).parquet(f"{work}/arrivals")
-    start_live_stats(arrivals, f"{work}/updates", f"{work}/checkpoint").awaitTermination()
+    for part in range(ARRIVALS):
+        arriving = purchase.filter(F.pmod(F.col("customer_id"), F.lit(ARRIVALS)) == part)
+        arriving.write.mode("append").parquet(f"{work}/arrivals")
+        arrivals = spark.readStream.schema(purchase.schema).parquet(f"{work}/arrivals")
+        start_live_stats(arrivals, f"{work}/updates", f"{work}/checkpoint").awaitTermination()
     return current_stats(spark.read.parquet(f"{work}/updates"))
 
 
@@ -144,16 +209,27 @@ _ledgers: dict[tuple, SalesLedger] = {}
 
 
 def _ledger(spark: SparkSession, folder: str) -> SalesLedger:
-    """The ledger after all candidate purchases have been streamed through it, run once."""
-    tables = load_tables(spark, folder)
-    key = (spark.sparkContext.applicationId, id(tables))
+    """The ledger after all candidate purchases have come in three micro-batches, run once.
+
+    Candidates with one id come in one batch; ids that are no numbers come first.
+    """
+    key = (spark.sparkContext.applicationId, folder, session.listing(spark, folder))
     if key not in _ledgers:
         work = session.new_folder(spark, "sales")
         candidates = mapping.purchase_candidates(SourceTables(spark, folder))
-        candidates.write.parquet(f"{work}/arrivals")
-        arrivals = spark.readStream.schema(candidates.schema).parquet(f"{work}/arrivals")
-        ledger = SalesLedger.create(spark, f"{work}/ledger", tables, F.lit(AS_OF).cast("date"))
-        ledger.start(arrivals, f"{work}/checkpoint").awaitTermination()
+        arrival = F.coalesce(F.floor(F.col("purchase_id").try_cast("bigint") / 1000) % ARRIVALS, F.lit(0))
+        ledger = SalesLedger.create(
+            spark,
+            f"{work}/ledger",
+            load_tables(spark, folder),
+            F.lit(AS_OF).cast("date"),
+            step_rounded=True,
+            id_digits=ID_DIGITS,
+        )
+        for part in range(ARRIVALS):
+            candidates.filter(arrival == part).write.mode("append").parquet(f"{work}/arrivals")
+            arrivals = spark.readStream.schema(candidates.schema).parquet(f"{work}/arrivals")
+            ledger.start(arrivals, f"{work}/checkpoint").awaitTermination()
         _ledgers[key] = ledger
     return _ledgers[key]
 
@@ -169,9 +245,8 @@ def _stream_refused(spark: SparkSession, folder: str) -> DataFrame:
     return _reasons_as_text(_ledger(spark, folder).refused()).select("purchase_id", "reasons")
 
 
-def _user_load(source: SourceTables) -> DataFrame:
-    existing = mapping.names_in_debt(source)
-    return users.public_users(users.add_users(mapping.repeated_requests(source), existing, mapping.SALT_KEY).user_info)
+def _loaded_users(source: SourceTables) -> RetailTables:
+    return users.add_users(mapping.repeated_requests(source), mapping.names_in_debt(source), mapping.SALT_KEY)
 
 
 def _digests_as_text(user_info: DataFrame) -> DataFrame:
@@ -229,22 +304,27 @@ _QUERIES: dict[str, Query] = {
     "next_ids": _on_tables(reports.next_ids),
     "purchasable_items": _on_tables(reports.purchasable_items),
     "purchasable_items_page": _on_tables(lambda tables: paging.page(reports.purchasable_items(tables), ITEM, 3)),
+    "sale_prices_after": _on_tables(
+        lambda tables: paging.page_after(reports.sale_prices(tables), ["purchase_id"], {"purchase_id": "5"})
+    ),
     "store_performance_pages": _on_tables(lambda tables: paging.page_count(reports.store_performance(tables))),
     "sale_prices": _on_tables(reports.sale_prices),
     "contact_emails": _on_tables(reports.contact_emails),
     "known_items": _on_tables(_known_items),
     # Normalisation of the flat file.
     **{f"normalise_{name}": _on_staging(name) for name in list(schema.TABLES)[:7]},
+    "staging_coerced": _staging_coerced,
     # Audits.
     "null_audit": _null_audit,
     "key_conflicts": _on_source(lambda source: quality.key_conflicts(mapping.raw_purchases(source), ["purchase_id"])),
     "domain_audit": _on_source(
         lambda source: quality.report(quality.domain_audit(mapping.raw_purchases(source), "purchase"), "purchase")
     ),
+    "domain_audit_tables": _on_tables(_domain_audit_tables),
     "orphans": _on_tables(_orphans),
     "reference_audit": _on_tables(_reference_audit),
     "purchase_rejects": _purchase_rejects,
-    "cascade_delete": _on_tables(lambda tables: _without_unvisited_stores(tables).purchase.select("purchase_id", *STORE)),
+    "cascade_delete": _on_tables(lambda tables: _without_old_stores(tables).purchase.select("purchase_id", *STORE)),
     "cascade_delete_counts": _on_tables(_cascade_delete_counts),
     "cascade_update": _on_tables(_cascade_update),
     # Stock and statistics.
@@ -257,13 +337,18 @@ _QUERIES: dict[str, Query] = {
     "stock_changes": _stock_changes,
     "stats_after_batch": _on_tables(_stats_after_batch),
     "average_step_rounded": _on_tables(lambda tables: statistics.step_rounded_average(tables.purchase)),
+    "stored_stats": _stored_stats,
+    "purchase_append": _purchase_append,
     "stats_stream": _stats_stream,
     "stream_admitted": _stream_admitted,
     "stream_refused": _stream_refused,
     "stream_inventory": lambda spark, folder: _ledger(spark, folder).inventory().select(*ITEM, "qty"),
+    "stream_step_averages": lambda spark, folder: _ledger(spark, folder).step_rounded_averages(),
     "stream_stats": lambda spark, folder: _ledger(spark, folder).stats(),
     # Users.
-    "user_load": _on_source(_user_load),
+    "user_load": _on_source(lambda source: users.public_users(_loaded_users(source).user_info)),
+    "user_load_clients": _on_source(lambda source: _loaded_users(source).client),
+    "user_load_admins": _on_source(lambda source: _loaded_users(source).admin),
     "user_digest": _on_tables(lambda tables: _digests_as_text(tables.user_info)),
     "user_public": _on_tables(lambda tables: users.public_users(tables.user_info)),
     "digest_audit": _digest_audit,
@@ -279,8 +364,7 @@ _QUERIES: dict[str, Query] = {
     ),
     "sql_sale_prices": _sql(
         """
-        SELECT purchase_id, get_sale_price(purchase_id, product_id, store_id, customer_id) AS sale_price
-        FROM purchase"""
+        SELECT purchase_id, sale_price(purchased_product_price_usd, discount_percent) AS sale_price FROM purchase"""
     ),
     "sql_logins": _sql("SELECT username, secret, authenticate(username, secret) AS result FROM attempt"),
     "sql_sales_view": _sql(

@@ -3,7 +3,7 @@
 import pytest
 
 import __spark_entry__ as registered
-from checks import compare
+from checks import compare, oracle
 from tests.conftest import SMALL
 
 
@@ -13,13 +13,13 @@ def connection():
 
 
 def test_every_query_has_sql():
-    assert set(registered.queries()) == set(registered.oracle_sql())
+    assert set(registered._QUERIES) == set(oracle.oracles())
 
 
 def test_entry(spark):
     assert registered.entry(spark).count() == 10
 
 
-@pytest.mark.parametrize("name", list(registered.queries()))
+@pytest.mark.parametrize("name", list(oracle.oracles()))
 def test_equal(spark, connection, name):
     assert compare.compare(spark, connection, name, SMALL) == ""

@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.conftest import SMALL
 from tillwise.operators import quality, stock
@@ -70,7 +71,7 @@ def test_category_filter_reaches_the_scan(tables):
 def test_items_are_shuffled_once_for_aggregate_and_join(tables):
     """Sales are combined before their only shuffle; the join reuses its partitioning."""
     plan = plan_of(reports.store_profit(tables))
-    by_item = re.findall(r"Exchange hashpartitioning\(product_id#\d+, store_id#\d+, store_location#\d+", plan)
+    by_item = re.findall(r"Exchange hashpartitioning\(product_id#\d+, store_id#\d+L?, store_location#\d+", plan)
     assert len(by_item) == 2  # combined sales, inventory
 
 
@@ -90,3 +91,19 @@ def test_top_items_keep_a_bounded_heap(tables):
 
 def test_best_chain_is_limited_before_the_shuffle(tables):
     assert "WindowGroupLimit" in plan_of(reports.top_chain_by_age_group(tables))
+
+
+def test_a_small_batch_does_not_shuffle_the_history(spark, table):
+    """The batch is broadcast to the known purchases, customers and items."""
+    from tests.test_quality import GOOD
+    from tillwise import schema
+
+    names = schema.TABLES["purchase"].names
+    candidates = spark.createDataFrame([tuple(GOOD[n] for n in names)], ", ".join(f"{n} string" for n in names))
+    history = load_tables(spark, SMALL)
+    checked = quality._check_each_purchase(candidates, history, F.current_date(), 18)
+    plan = plan_of(checked)
+    scans = [line for line in plan.splitlines() if "FileScan parquet [purchase_id" in line and "entered" not in line]
+    assert scans and "LeftSemi, BuildRight" in plan
+    for keys in ("try_cast(purchase_id",):
+        assert "SortMergeJoin" not in plan[: plan.index("FileScan parquet [purchase_id")] or keys not in plan

@@ -70,6 +70,7 @@ def test_domain_audit(spark, table):
     }
 
 
+NO_STORE = ["store_id is unknown", "store_location is unknown", "product_id is not sold there"]
 GOOD = {
     "purchase_id": "8",
     "product_id": "1",
@@ -99,8 +100,11 @@ def test_purchase_rules(spark, table):
         "taken": ({"purchase_id": "007"}, ["purchase_id is taken"]),
         "customer": ({"customer_id": "9"}, ["customer_id is unknown"]),
         "no customer": ({"customer_id": None}, ["customer_id is not a number"]),
-        "store": ({"store_id": "9"}, ["store_id is unknown"]),
-        "location": ({"store_location": "Z"}, ["store_location is unknown"]),
+        "endless customer": ({"customer_id": "9" * 25}, ["customer_id is unknown"]),
+        "store": ({"store_id": "9"}, NO_STORE),
+        "endless store": ({"store_id": "9" * 25}, NO_STORE),
+        "endless store elsewhere": ({"store_id": "9" * 25, "store_location": "Z"}, NO_STORE),
+        "location": ({"store_location": "Z"}, NO_STORE[1:]),
         "item": ({"product_id": "2"}, ["product_id is not sold there"]),
         "price": ({"purchased_product_price_usd": "100000"}, ["price is 100000 or more"]),
         "price width": ({"purchased_product_price_usd": "10000"}, ["price does not fit decimal(6,2)"]),

@@ -3,7 +3,10 @@ from decimal import Decimal
 
 import pytest
 
-from tillwise.operators.statistics import finish, merge, parts, step_rounded_average
+from pyspark.sql import functions as F
+
+from tillwise.functions.money import total
+from tillwise.operators.statistics import discount_outliers, finish, merge, parts, step_rounded_average
 
 
 def purchases(table, discounts, store=1, price="100.00", start=1):
@@ -37,8 +40,7 @@ def test_exact_average_differs_from_stepwise(table):
     assert exact.avg_discount == Decimal("0.14")
 
 
-@pytest.mark.parametrize("slicing", [{}, {"hot_rows": 10, "block": 50}])
-def test_stepwise_average_of_many_sales_needs_only_the_first(table, slicing):
+def test_stepwise_average_of_many_sales_needs_only_the_first(table):
     rng = random.Random(4)
     narrow = [rng.choice([3, 4]) for _ in range(500)]
     wide = [rng.randrange(0, 101) for _ in range(400)]
@@ -49,7 +51,7 @@ def test_stepwise_average_of_many_sales_needs_only_the_first(table, slicing):
         .unionByName(purchases(table, equal, 3, start=2000))
     )
     expected = {1: step_loop(narrow), 2: step_loop(wide), 3: step_loop(equal)}
-    assert average(step_rounded_average(frame, **slicing)) == expected
+    assert average(step_rounded_average(frame)) == expected
 
 
 def test_stepwise_average_continues_from_stored_statistics(spark, table):
@@ -82,6 +84,30 @@ def test_first_sale_of_a_store(table):
 def test_merged_totals_are_wider_than_one_batch(table):
     large = parts(purchases(table, [0], 1, "9999.99")).selectExpr(
         "store_id", "CAST(total_sales * 10000000000000 AS DECIMAL(20,2)) AS total_sales", "num_purchases",
-        "discount_total", "min_price", "max_price",
+        "discount_total", "discount_count", "min_price", "max_price",
     )
     assert merge(large, large, large).first().total_sales == Decimal("9999.99") * 10**13 * 3
+
+
+def test_average_of_known_discounts_only(table):
+    row = finish(parts(purchases(table, [10, None]))).first()
+    assert (row.num_purchases, row.avg_discount) == (2, Decimal("10.00"))
+    assert finish(parts(purchases(table, [None]))).first().avg_discount is None
+    merged = merge(parts(purchases(table, [10, None])), parts(purchases(table, [None, 20], start=10)))
+    assert finish(merged).first().avg_discount == Decimal("15.00")
+
+
+def test_negative_averages_round_away_from_zero(table):
+    assert finish(parts(purchases(table, [-1, -2]))).first().avg_discount == Decimal("-1.50")
+    assert finish(parts(purchases(table, [-1, 0, 0, 0, 0, 0, 0, 0]))).first().avg_discount == Decimal("-0.13")
+
+
+def test_an_outlier_does_not_enter_the_stepwise_fold(table):
+    sales = purchases(table, [10, 20, 2_000_000, None, -3])
+    assert average(step_rounded_average(sales)) == {1: (2, "15.00")}
+    assert sorted(str(r.discount_percent) for r in discount_outliers(sales).collect()) == ["-3", "2000000", "None"]
+
+
+def test_large_sales_are_summed(spark):
+    sales = spark.sql("SELECT 1L AS store_id, CAST(9999999999.99 AS DECIMAL(12,2)) AS purchased_product_price_usd, 0 AS discount_percent")
+    assert sales.agg(total(F.col("purchased_product_price_usd"))).first()[0] == Decimal("9999999999.99")

@@ -59,6 +59,39 @@ def test_replays_change_nothing(spark, ledger):
     assert state(ledger) == AFTER_BOTH
 
 
+def test_another_stream_goes_on_behind_the_first(spark, ledger):
+    ledger.apply_batch(batch(spark, *FIRST), 0, "one")
+    ledger.apply_batch(batch(spark, *SECOND), 0, "two")
+    ledger.apply_batch(batch(spark, *SECOND), 0, "two")
+    assert state(ledger) == AFTER_BOTH
+
+
+def test_a_new_checkpoint_loses_nothing(spark, ledger, tmp_path):
+    source = str(tmp_path / "source")
+    for number, entered in enumerate([FIRST, SECOND]):
+        batch(spark, *entered).coalesce(1).write.mode("append").parquet(source)
+        ledger.start(spark.readStream.schema(TEXT).parquet(source), str(tmp_path / f"checkpoint-{number}")).awaitTermination()
+    # The second stream brings the first rows again; they are refused as taken, not lost.
+    assert ledger.purchases().count() == AFTER_BOTH[3]
+    assert state(ledger)[:2] == AFTER_BOTH[:2]
+
+
+def test_an_overlong_id_is_refused_and_does_not_stop_the_stream(spark, ledger):
+    ledger.apply_batch(batch(spark, {"purchase_id": "30", "customer_id": "9" * 25}, {"purchase_id": "31"}), 0)
+    assert state(ledger)[2:] == ([("30", ("customer_id is unknown",))], 2)
+
+
+def test_compaction_by_itself(spark, ledger, monkeypatch):
+    from tillwise.streaming import ledger as module
+
+    monkeypatch.setattr(module, "COMPACT_AFTER", 2)
+    for number in range(5):
+        ledger.apply_batch(batch(spark, {"purchase_id": str(50 + number)}), number)
+    assert ledger.last_commit()["base"] == 3 and ledger.last_commit()["batch_id"] == 4
+    assert len(spark.read.parquet(f"{ledger.folder}/commits/*").inputFiles()) == 2
+    assert state(ledger)[0] == {"1": 0, "2": 5} and ledger.purchases().count() == 6
+
+
 def test_a_batch_that_fails_before_its_commit_leaves_no_trace(spark, ledger, monkeypatch):
     ledger.apply_batch(batch(spark, *FIRST), 0)
     before = state(ledger)

@@ -19,25 +19,25 @@ def sale_price(price: Column, discount_percent: Column) -> Column:
 
 
 def total(amount: Column) -> Column:
-    """Sum of an amount that fits ``decimal(8,2)``, as ``decimal(18,2)``.
+    """Sum of an amount of up to ``decimal(12,2)``, the widest declared price."""
+    return F.sum(amount.cast("decimal(12,2)"))
 
-    Up to eight digits Spark sums the unscaled long, so the aggregation buffer stays a
-    fixed-width long in the hash map; wider decimals would allocate per row.
-    """
-    return F.sum(amount.cast("decimal(8,2)"))
+
+def divided(units: Column, count: Column) -> Column:
+    """``units / count`` as a whole number, half away from zero; a zero count gives NULL."""
+    n = F.nullif(count, F.lit(0))
+    size = F.call_function("div", F.abs(units) * 2 + n, n * 2)
+    return F.when(units < 0, -size).otherwise(size)
 
 
 def exact_average(total_units: Column, count: Column, scale: int) -> Column:
-    """``total_units / count`` as ``decimal(20, scale)``, rounded half up without a double.
+    """``total_units / count`` as ``decimal(20, scale)``, half away from zero, without a double.
 
-    ``total_units`` is an integer count of ``10**-scale`` units. Both are non-negative;
-    a zero count gives NULL.
+    ``total_units`` is an integer count of ``10**-scale`` units; a zero count gives NULL.
     """
-    units = total_units.cast("decimal(28,0)")
-    n = F.nullif(count, F.lit(0)).cast("decimal(20,0)")
-    half_up = F.call_function("div", units * 2 + n, n * 2)
+    average = divided(total_units.cast("decimal(28,0)"), count.cast("decimal(20,0)"))
     unit = F.lit("0." + "0" * (scale - 1) + "1").cast(f"decimal({scale},{scale})")
-    return (half_up * unit).cast(f"decimal(20,{scale})")
+    return (average * unit).cast(f"decimal(20,{scale})")
 
 
 def whole_units(amount_sum: Column, scale: int) -> Column:

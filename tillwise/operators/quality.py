@@ -19,7 +19,7 @@ from tillwise.sources.tables import RetailTables
 REASONS = "reasons"
 
 # Limits of the purchase rules.
-ID_LIMIT = 10**7
+ID_DIGITS = 7
 PRICE_LIMIT = 100_000
 MAX_DISCOUNT = 100
 PHONE_WIDTH = 20
@@ -54,11 +54,13 @@ def null_audit(df: DataFrame, table: str) -> DataFrame:
 def key_conflicts(df: DataFrame, key: list[str]) -> DataFrame:
     """Distinct rows that share a key with a different row.
 
-    Distinct combines on the map side, so exact copies never travel; only keys are counted.
+    A key has different rows if the smallest and the largest of its rows differ, which
+    combines on the map side; only rows of such keys are compared in full.
     """
-    rows = df.distinct()
-    shared = rows.groupBy(*key).agg(F.count("*").alias("rows")).filter("rows > 1").select(*key)
-    return rows.join(shared, key, "left_semi")
+    rest = F.struct(*[c for c in df.columns if c not in key])
+    bounds = df.groupBy(*key).agg(F.min(rest).alias("least"), F.max(rest).alias("most"))
+    shared = bounds.filter(F.col("least") != F.col("most")).select(*key)
+    return df.join(shared, key, "left_semi").distinct()
 
 
 def orphans(child: DataFrame, references: Iterable[tuple[str, DataFrame, list[str]]]) -> DataFrame:
@@ -127,16 +129,19 @@ def _number_rules(name: str, above: tuple[str, int] | None = None) -> list[tuple
     return rules
 
 
-def check_purchases(candidates: DataFrame, tables: RetailTables, as_of: Column | None = None) -> DataFrame:
+def check_purchases(
+    candidates: DataFrame, tables: RetailTables, as_of: Column | None = None, id_digits: int = ID_DIGITS
+) -> DataFrame:
     """Candidate purchases, all columns as entered text, with the rules each breaks.
 
-    ``as_of`` is the last valid transaction date, today by default. Rows that break no
-    rule on their own are then compared with each other: identical copies count once, and
-    different rows with one id are all refused, as a batch has no arrival order. The
-    result of the first step is read three times, so it is stored.
+    ``as_of`` is the last valid transaction date, today by default; ``id_digits`` the width
+    of purchase and product ids. Rows that break no rule on their own are then compared with
+    each other: identical copies count once, and different rows with one id are all refused,
+    as a batch has no arrival order. The result of the first step is read three times, so
+    it is stored.
     """
     today = F.current_date() if as_of is None else as_of
-    checked = session.stored(_check_each_purchase(candidates, tables, today), "checked-purchases")
+    checked = session.stored(_check_each_purchase(candidates, tables, today, id_digits), "checked-purchases")
     unique = passing(checked).distinct().withColumn("purchase_no", as_number(F.trim("purchase_id")))
     repeated = unique.groupBy("purchase_no").agg((F.count("*") > 1).alias("is_repeated"))
     compared = unique.join(repeated, "purchase_no").withColumn(
@@ -145,7 +150,12 @@ def check_purchases(candidates: DataFrame, tables: RetailTables, as_of: Column |
     return violations(checked).unionByName(compared.select(*checked.columns))
 
 
-def _check_each_purchase(candidates: DataFrame, tables: RetailTables, today: Column) -> DataFrame:
+def _check_each_purchase(candidates: DataFrame, tables: RetailTables, today: Column, id_digits: int) -> DataFrame:
+    """Each table of known keys is first reduced to the keys the candidates name.
+
+    The candidates are stored, so Catalyst knows their size: a small batch is broadcast to
+    the history of all purchases, which is then not shuffled at all.
+    """
     numbers = {name: as_number(F.trim(name)) for name in ("purchase_id", "customer_id", "store_id", "product_id")}
     rows = candidates.withColumns(
         {
@@ -157,34 +167,37 @@ def _check_each_purchase(candidates: DataFrame, tables: RetailTables, today: Col
             "entered_date": strict_date(F.trim("txn_date")),
         }
     )
+    entered = session.stored(rows, "entered-purchases")
+    store_no = F.col("store_id").cast("bigint").alias("store_no")
+    stores = tables.store.select(store_no, F.col("store_location").alias("known_location"))
     known = {
         "is_taken": tables.purchase.select(as_number(F.col("purchase_id")).alias("purchase_no")),
         "is_customer": tables.customer.select(F.col("customer_id").cast("bigint").alias("customer_no")),
-        "is_store": tables.store.select(F.col("store_id").cast("bigint").alias("store_no")),
-        "is_location": tables.store.select(
-            F.col("store_id").cast("bigint").alias("store_no"), F.col("store_location").alias("location")
-        ),
         "is_stocked": tables.inventory.select(
-            as_number(F.col("product_id")).alias("product_no"),
-            F.col("store_id").cast("bigint").alias("store_no"),
-            F.col("store_location").alias("location"),
+            as_number(F.col("product_id")).alias("product_no"), store_no, F.col("store_location").alias("location")
         ),
     }
+    rows = entered
     for flag, keys in known.items():
-        rows = rows.join(keys.distinct().withColumn(flag, F.lit(True)), keys.columns, "left")
+        rows = rows.join(_named_by(entered, keys, keys.columns).distinct().withColumn(flag, F.lit(True)), keys.columns, "left")
+    locations = (
+        _named_by(entered, stores, ["store_no"]).groupBy("store_no").agg(F.collect_set("known_location").alias("locations"))
+    )
+    rows = rows.join(locations, "store_no", "left")
 
     price, payment = as_number(F.trim("purchased_product_price_usd")), F.trim("payment_method")
-    missing = {flag: F.col(flag).isNull() for flag in known}
+    is_located = F.coalesce(F.array_contains("locations", F.col("location")), F.lit(False))
+    digits = {name: F.coalesce(is_digits(F.trim(name)), F.lit(False)) for name in ("customer_id", "store_id")}
     rules = [
-        *_number_rules("purchase_id", ("purchase_id has more than 7 digits", ID_LIMIT)),
+        *_number_rules("purchase_id", (f"purchase_id has more than {id_digits} digits", 10**id_digits)),
         ("purchase_id is taken", F.col("is_taken").isNotNull()),
         *_number_rules("customer_id"),
-        ("customer_id is unknown", F.col("customer_no").isNotNull() & missing["is_customer"]),
+        ("customer_id is unknown", digits["customer_id"] & F.col("is_customer").isNull()),
         *_number_rules("store_id"),
-        ("store_id is unknown", F.col("store_no").isNotNull() & missing["is_store"]),
-        ("store_location is unknown", F.col("is_store").isNotNull() & missing["is_location"]),
-        *_number_rules("product_id", ("product_id has more than 7 digits", ID_LIMIT)),
-        ("product_id is not sold there", F.col("is_location").isNotNull() & missing["is_stocked"]),
+        ("store_id is unknown", digits["store_id"] & F.col("locations").isNull()),
+        ("store_location is unknown", ~is_located),
+        *_number_rules("product_id", (f"product_id has more than {id_digits} digits", 10**id_digits)),
+        ("product_id is not sold there", F.col("is_stocked").isNull()),
         *_number_rules("purchased_product_price_usd", ("price is 100000 or more", PRICE_LIMIT)),
         ("price does not fit decimal(6,2)", (price < PRICE_LIMIT) & price.try_cast("decimal(6,2)").isNull()),
         *_number_rules("discount_percent", ("discount_percent is over 100", MAX_DISCOUNT + 1)),
@@ -195,6 +208,11 @@ def _check_each_purchase(candidates: DataFrame, tables: RetailTables, today: Col
     return with_reasons(rows, rules).select(*candidates.columns, REASONS)
 
 
+def _named_by(entered: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """The known keys that some candidate names."""
+    return keys.join(entered.select(*on), on, "left_semi")
+
+
 def accepted_purchases(checked: DataFrame) -> DataFrame:
     """Passing candidates as purchase rows."""
     trimmed = passing(checked).select(*[F.trim(c).alias(c) for c in checked.columns if c != REASONS])

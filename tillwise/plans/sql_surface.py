@@ -27,13 +27,13 @@ FUNCTIONS = [
     RETURN concat(name, '{MAIL_DOMAIN}')""",
     """sale_price(price DECIMAL(12,2), discount DECIMAL(5,2)) RETURNS DECIMAL(10,2)
     RETURN CAST(price * (100 - discount) * 0.01 AS DECIMAL(10,2))""",
-    """store_count(id INT) RETURNS BIGINT
+    """store_count(id BIGINT) RETURNS BIGINT
     RETURN coalesce((SELECT max(d.store_count) FROM store_directory d WHERE d.store_id = id), 0L)""",
-    """store_id_to_store_chain(id INT) RETURNS STRING
+    """store_id_to_store_chain(id BIGINT) RETURNS STRING
     RETURN (SELECT max(d.store_chain_name) FROM store_directory d WHERE d.store_id = id)""",
-    """store_score(id INT) RETURNS DOUBLE
+    """store_score(id BIGINT) RETURNS DOUBLE
     RETURN (SELECT max(s.score) FROM store_scores s WHERE s.store_id = id)""",
-    """get_sale_price(purchase STRING, product STRING, store INT, customer INT) RETURNS DECIMAL(10,2)
+    """get_sale_price(purchase STRING, product STRING, store BIGINT, customer BIGINT) RETURNS DECIMAL(10,2)
     RETURN (SELECT max(CAST(p.purchased_product_price_usd * (100 - p.discount_percent) * 0.01 AS DECIMAL(10,2)))
             FROM purchase p WHERE p.purchase_id = purchase AND p.product_id = product
             AND p.store_id = store AND p.customer_id = customer)""",

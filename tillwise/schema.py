@@ -18,7 +18,7 @@ def _table(*fields: tuple[str, T.DataType, bool]) -> T.StructType:
 
 
 REQUIRED, OPTIONAL = False, True
-INT, TEXT, DATE, FLOAT = T.IntegerType(), T.StringType(), T.DateType(), T.FloatType()
+ID, INT, TEXT, DATE, FLOAT = T.LongType(), T.IntegerType(), T.StringType(), T.DateType(), T.FloatType()
 
 
 def money(precision: int) -> T.DecimalType:
@@ -27,13 +27,13 @@ def money(precision: int) -> T.DecimalType:
 
 # Table layouts, column types and nullability.
 STAGING = _table(
-    ("customer_id", INT, OPTIONAL),
+    ("customer_id", ID, OPTIONAL),
     ("age", INT, OPTIONAL),
     ("annual_income_usd", FLOAT, OPTIONAL),
     ("product_category", TEXT, OPTIONAL),
     ("product_price_usd", FLOAT, OPTIONAL),
     ("purchase_date", DATE, OPTIONAL),
-    ("store_id", INT, OPTIONAL),
+    ("store_id", ID, OPTIONAL),
     ("store_location", TEXT, OPTIONAL),
     ("payment_method", TEXT, OPTIONAL),
     ("discount_percent", INT, OPTIONAL),
@@ -54,14 +54,14 @@ STAGING = _table(
 
 TABLES: dict[str, T.StructType] = {
     "customer": _table(
-        ("customer_id", INT, REQUIRED),
+        ("customer_id", ID, REQUIRED),
         ("age", INT, REQUIRED),
         ("gender", TEXT, REQUIRED),
         ("annual_income_usd", money(8), REQUIRED),
         ("full_name", TEXT, REQUIRED),
     ),
     "store": _table(
-        ("store_id", INT, REQUIRED),
+        ("store_id", ID, REQUIRED),
         ("store_location", TEXT, REQUIRED),
         ("store_chain_name", TEXT, OPTIONAL),
         ("year_opened", INT, REQUIRED),
@@ -72,7 +72,7 @@ TABLES: dict[str, T.StructType] = {
     ),
     "inventory": _table(
         ("product_id", TEXT, REQUIRED),
-        ("store_id", INT, REQUIRED),
+        ("store_id", ID, REQUIRED),
         ("store_location", TEXT, REQUIRED),
         ("qty", INT, REQUIRED),
         ("product_price_usd", money(8), REQUIRED),
@@ -80,7 +80,7 @@ TABLES: dict[str, T.StructType] = {
         ("competitor_price_usd", money(8), OPTIONAL),
     ),
     "popularity": _table(
-        ("store_id", INT, REQUIRED),
+        ("store_id", ID, REQUIRED),
         ("store_location", TEXT, REQUIRED),
         ("visit_date", DATE, REQUIRED),
         ("foot_traffic", INT, REQUIRED),
@@ -88,8 +88,8 @@ TABLES: dict[str, T.StructType] = {
     "purchase": _table(
         ("purchase_id", TEXT, REQUIRED),
         ("product_id", TEXT, OPTIONAL),
-        ("store_id", INT, OPTIONAL),
-        ("customer_id", INT, OPTIONAL),
+        ("store_id", ID, OPTIONAL),
+        ("customer_id", ID, OPTIONAL),
         ("payment_method", TEXT, REQUIRED),
         ("discount_percent", INT, REQUIRED),
         ("txn_date", DATE, REQUIRED),
@@ -97,8 +97,8 @@ TABLES: dict[str, T.StructType] = {
         ("purchased_product_price_usd", money(6), REQUIRED),
     ),
     "customer_visits": _table(
-        ("customer_id", INT, REQUIRED),
-        ("store_id", INT, REQUIRED),
+        ("customer_id", ID, REQUIRED),
+        ("store_id", ID, REQUIRED),
         ("store_location", TEXT, REQUIRED),
         ("is_favorite", T.BooleanType(), REQUIRED),
     ),
@@ -120,9 +120,9 @@ TABLES: dict[str, T.StructType] = {
         ("employee_type", TEXT, REQUIRED),
     ),
     "mv_store_sales_stats": _table(
-        ("store_id", INT, REQUIRED),
-        ("total_sales", money(15), REQUIRED),
-        ("num_purchases", INT, REQUIRED),
+        ("store_id", ID, REQUIRED),
+        ("total_sales", money(20), REQUIRED),
+        ("num_purchases", ID, REQUIRED),
         ("avg_discount", money(5), REQUIRED),
         ("min_price", money(12), REQUIRED),
         ("max_price", money(12), REQUIRED),
@@ -180,11 +180,24 @@ TEXT_WIDTHS: dict[str, dict[str, int]] = {
     "admin": {"username": 20},
 }
 
+# Text widths of the flat file.
+STAGING_WIDTHS = {
+    "product_category": 255,
+    "store_location": 255,
+    "payment_method": 255,
+    "full_name": 255,
+    "gender": 1,
+    "purchase_id": 7,
+    "product_id": 7,
+    "store_chain_name": 50,
+}
+
 # Value lists and ranges of the declared rules.
 GENDERS = ["M", "F", "X"]
 AGE_RANGE = (0, 99)
 EMPLOYEE_TYPES = ["researcher", "engineer", "maintenance"]
 YEAR_RANGE = (1901, 2155)
+DISCOUNT_RANGE = (0, 100)
 ACCEPTED_PAYMENTS = ["Credit Card", "Debit Card", "Cash"]
 NECESSITIES = ["Groceries", "Health & Beauty"]
 

@@ -60,3 +60,16 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     path = new_folder(spark, purpose)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def listing(spark: SparkSession, folder: str) -> tuple:
+    """Names, lengths and modification times below a folder of any file system Spark reads."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in found))
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder that this library has written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

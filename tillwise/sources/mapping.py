@@ -6,10 +6,9 @@ traffic. Every table is derived with joins and aggregates from the given parquet
 
 from __future__ import annotations
 
-import os
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tillwise import schema, session
@@ -36,8 +35,22 @@ def _choose(value: Column, choices: dict, other: str) -> Column:
     return F.coalesce(F.create_map(*pairs)[value], F.lit(other))
 
 
-# Tables that grow with the business; the others describe it.
-FACTS = {"lineitem", "orders", "events"}
+# Tables written once per application, by folder and the state of its files.
+_loaded: dict[tuple, RetailTables | DataFrame] = {}
+
+# An order line's number leaves room for so many lines with one order and line number.
+REPEATS = 1000
+LINE_ORDER = [
+    "l_partkey",
+    "l_suppkey",
+    "l_extendedprice",
+    "l_quantity",
+    "l_discount",
+    "l_tax",
+    "l_returnflag",
+    "l_linestatus",
+    "l_shipdate",
+]
 
 
 class SourceTables:
@@ -48,18 +61,14 @@ class SourceTables:
         self.folder = folder
 
     def __call__(self, name: str) -> DataFrame:
-        table = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
-        return self._spread(table) if name in FACTS else table
-
-    def _spread(self, table: DataFrame) -> DataFrame:
-        """Deal out a table whose files give fewer splits than there are cores.
+        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
-        A file with one row group is read by one task, and everything up to the next
-        shuffle would run there. Large inputs have more splits than cores and are left as
-        they are.
-        """
-        cores = self.spark.sparkContext.defaultParallelism
-        return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+    def lines(self) -> DataFrame:
+        """All order lines with their order, store and number, joined and stored once."""
+        key = ("lines", self.spark.sparkContext.applicationId, self.folder, session.listing(self.spark, self.folder))
+        if key not in _loaded:
+            _loaded[key] = session.stored(_lines(self), "order-lines")
+        return _loaded[key]
 
 
 def _add_store(rows: DataFrame, source: SourceTables, supplier_key: str) -> DataFrame:
@@ -69,7 +78,7 @@ def _add_store(rows: DataFrame, source: SourceTables, supplier_key: str) -> Data
     derived store table would hide them and shuffle the rows.
     """
     key = F.col(supplier_key)
-    store_id = F.floor(key / 5).cast("int")
+    store_id = F.floor(key / 5).cast("bigint")
     suppliers = source("supplier").select(F.col("s_suppkey").alias("store_key"), "s_nationkey")
     return (
         rows.join(suppliers, key == F.col("store_key"))
@@ -85,19 +94,20 @@ def _add_store(rows: DataFrame, source: SourceTables, supplier_key: str) -> Data
     )
 
 
-def _line_items(source: SourceTables) -> DataFrame:
-    """One order line per (order, line number): the smallest by its other columns.
+def _lines(source: SourceTables) -> DataFrame:
+    """Every order line; ``line_no`` is order, line number and place among lines that share both.
 
-    ``min`` of a struct combines on the map side, so a pair repeated any number of times
-    reaches the shuffle once per task.
+    Lines that agree in all columns are interchangeable, so the number does not depend on
+    the order in which they are read.
     """
-    order = ["l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount"]
-    smallest = F.min(F.struct(*order)).alias("line")
-    return (
-        source("lineitem")
-        .groupBy("l_orderkey", "l_linenumber")
-        .agg(smallest)
-        .select("l_orderkey", "l_linenumber", "line.*")
+    place = F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy(*LINE_ORDER))
+    numbered = source("lineitem").withColumn(
+        "line_no", (F.col("l_orderkey") * 10 + F.col("l_linenumber")) * REPEATS + place - 1
+    )
+    orders = source("orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    ordered = numbered.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    return _add_store(ordered, source, "l_suppkey").select(
+        "l_orderkey", "l_linenumber", *LINE_ORDER, "line_no", "o_custkey", "o_orderdate", "store_id", "store_location"
     )
 
 
@@ -115,7 +125,7 @@ def _product(source: SourceTables) -> DataFrame:
 def _customer(source: SourceTables) -> DataFrame:
     key = F.col("c_custkey")
     return source("customer").select(
-        key.cast("int").alias("customer_id"),
+        key.cast("bigint").alias("customer_id"),
         (key % 100).cast("int").alias("age"),
         F.when(key % 3 == 0, "M").when(key % 3 == 1, "F").otherwise("X").alias("gender"),
         (F.abs("c_acctbal") * 10).cast("decimal(8,2)").alias("annual_income_usd"),
@@ -124,39 +134,30 @@ def _customer(source: SourceTables) -> DataFrame:
 
 
 def _purchase(source: SourceTables) -> DataFrame:
-    lines = _line_items(source).filter(F.col("l_suppkey") % 10 != 9)
-    orders = source("orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    sold = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    return (
-        _add_store(sold, source, "l_suppkey")
-        .select(
-            (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("string").alias("purchase_id"),
-            F.col("l_partkey").cast("string").alias("product_id"),
-            "store_id",
-            F.col("o_custkey").cast("int").alias("customer_id"),
-            _choose(F.col("l_linenumber") % 4, PAYMENTS, OTHER_PAYMENT).alias("payment_method"),
-            F.round(F.col("l_discount") * 100).cast("int").alias("discount_percent"),
-            F.col("o_orderdate").cast("date").alias("txn_date"),
-            "store_location",
-            (F.col("l_extendedprice") / 11).cast("decimal(6,2)").alias("purchased_product_price_usd"),
-        )
+    return source.lines().select(
+        F.col("line_no").cast("string").alias("purchase_id"),
+        F.col("l_partkey").cast("string").alias("product_id"),
+        "store_id",
+        F.col("o_custkey").cast("bigint").alias("customer_id"),
+        _choose(F.col("l_linenumber") % 4, PAYMENTS, OTHER_PAYMENT).alias("payment_method"),
+        F.round(F.col("l_discount") * 100).cast("int").alias("discount_percent"),
+        F.col("o_orderdate").cast("date").alias("txn_date"),
+        "store_location",
+        (F.col("l_extendedprice") / 11).cast("decimal(6,2)").alias("purchased_product_price_usd"),
     )
 
 
 def _inventory(source: SourceTables) -> DataFrame:
     part, supplier = F.col("l_partkey"), F.col("l_suppkey")
-    items = source("lineitem").select("l_partkey", "l_suppkey").filter(part % 7 != 0).distinct()
-    return (
-        _add_store(items.join(source("part"), part == F.col("p_partkey")), source, "l_suppkey")
-        .select(
-            part.cast("string").alias("product_id"),
-            "store_id",
-            "store_location",
-            ((part + supplier) % 3).cast("int").alias("qty"),
-            (F.col("p_retailprice") + supplier % 13).cast("decimal(8,2)").alias("product_price_usd"),
-            (F.col("p_retailprice") * 0.6).cast("decimal(6,2)").alias("product_cost_usd"),
-            F.when(part % 5 != 0, (F.col("p_retailprice") + 5).cast("decimal(8,2)")).alias("competitor_price_usd"),
-        )
+    items = source.lines().select("l_partkey", "l_suppkey", "store_id", "store_location").distinct()
+    return items.join(source("part"), part == F.col("p_partkey")).select(
+        part.cast("string").alias("product_id"),
+        "store_id",
+        "store_location",
+        ((part + supplier) % 3).cast("int").alias("qty"),
+        (F.col("p_retailprice") + supplier % 13).cast("decimal(8,2)").alias("product_price_usd"),
+        (F.col("p_retailprice") * 0.6).cast("decimal(6,2)").alias("product_cost_usd"),
+        F.when(part % 5 != 0, (F.col("p_retailprice") + 5).cast("decimal(8,2)")).alias("competitor_price_usd"),
     )
 
 
@@ -167,96 +168,91 @@ def _popularity(source: SourceTables) -> DataFrame:
         .groupBy((F.col("user_id") % store_total).alias("visited"), F.col("ts").cast("date").alias("visit_date"))
         .agg(F.count("*").cast("int").alias("foot_traffic"))
     )
-    visited = visits.filter(F.col("visited") % 10 != 8)
-    return _add_store(visited, source, "visited").select("store_id", "store_location", "visit_date", "foot_traffic")
+    return _add_store(visits, source, "visited").select("store_id", "store_location", "visit_date", "foot_traffic")
 
 
 def _customer_visits(source: SourceTables) -> DataFrame:
-    pairs = (
-        source("lineitem")
-        .select("l_orderkey", "l_suppkey")
-        .distinct()
-        .join(source("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-        .select("o_custkey", "l_suppkey")
-        .distinct()
-    )
-    return _add_store(pairs, source, "l_suppkey").select(
-        F.col("o_custkey").cast("int").alias("customer_id"),
+    pairs = source.lines().select("o_custkey", "l_suppkey", "store_id", "store_location").distinct()
+    return pairs.select(
+        F.col("o_custkey").cast("bigint").alias("customer_id"),
         "store_id",
         "store_location",
         ((F.col("o_custkey") + F.col("l_suppkey")) % 4 == 0).alias("is_favorite"),
     )
 
 
+# What is wrong with some candidates.
+OVERLONG = "9" * 25
+
+
 def purchase_candidates(source: SourceTables) -> DataFrame:
-    """Every order line as a purchase entered by hand: text columns, many rules broken."""
-    ordered = source("lineitem").join(source("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    return (
-        _add_store(ordered, source, "l_suppkey")
-        .select(
-            (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("string").alias("purchase_id"),
-            F.col("l_partkey").cast("string").alias("product_id"),
-            F.col("store_id").cast("string").alias("store_id"),
-            F.col("o_custkey").cast("string").alias("customer_id"),
-            _choose(F.col("l_linenumber") % 4, PAYMENTS, OTHER_PAYMENT).alias("payment_method"),
-            (F.col("l_quantity") * 3).cast("int").cast("string").alias("discount_percent"),
-            F.col("l_shipdate").cast("date").cast("string").alias("txn_date"),
-            "store_location",
-            F.floor(F.col("l_extendedprice") / 7).cast("bigint").cast("string").alias("purchased_product_price_usd"),
-        )
+    """Every order line as a purchase entered by hand: text columns, many rules broken.
+
+    Lines with odd numbers come with ids already taken, others with new ids, two lines to
+    an id where lines share order and line number. Some orders have overlong ids.
+    """
+    order, repeat = F.col("l_orderkey") % 50, F.col("line_no") % REPEATS
+    first = F.col("line_no") - repeat
+    new = F.when(F.col("l_linenumber") % 2 == 0, first + REPEATS // 2 + F.floor(repeat / 2)).otherwise(first)
+
+    def unless(broken: int, value: Column) -> Column:
+        return F.when(order == broken, F.lit(OVERLONG)).otherwise(value.cast("bigint").cast("string"))
+
+    return source.lines().select(
+        unless(3, new).alias("purchase_id"),
+        F.col("l_partkey").cast("string").alias("product_id"),
+        unless(2, F.col("store_id")).alias("store_id"),
+        unless(1, F.col("o_custkey")).alias("customer_id"),
+        _choose(F.col("l_linenumber") % 4, PAYMENTS, OTHER_PAYMENT).alias("payment_method"),
+        (F.col("l_quantity") * 3).cast("int").cast("string").alias("discount_percent"),
+        F.col("l_shipdate").cast("date").cast("string").alias("txn_date"),
+        "store_location",
+        F.floor(F.col("l_extendedprice") / 7).cast("bigint").cast("string").alias("purchased_product_price_usd"),
     )
 
 
 def raw_purchases(source: SourceTables) -> DataFrame:
-    """Order lines with their unreduced key and price, for the key and domain audits."""
-    return (
-        _add_store(source("lineitem"), source, "l_suppkey")
-        .select(
-            (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("string").alias("purchase_id"),
-            F.col("l_partkey").cast("string").alias("product_id"),
-            "store_id",
-            "store_location",
-            F.round(F.col("l_discount") * 100).cast("int").alias("discount_percent"),
-            F.col("l_extendedprice").cast("decimal(12,2)").alias("purchased_product_price_usd"),
-        )
+    """Order lines with a key that repeats and their full price, for the key and domain audits."""
+    return source.lines().select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("string").alias("purchase_id"),
+        F.col("l_partkey").cast("string").alias("product_id"),
+        "store_id",
+        "store_location",
+        F.round(F.col("l_discount") * 100).cast("int").alias("discount_percent"),
+        F.col("l_extendedprice").cast("decimal(12,2)").alias("purchased_product_price_usd"),
     )
 
 
 def stock_changes(source: SourceTables) -> DataFrame:
     """Order lines as stock changes: returned lines add their quantity, others take it."""
     quantity = F.col("l_quantity").cast("bigint")
-    smallest = F.min(F.struct("l_partkey", "l_suppkey", "l_returnflag", "l_quantity", "l_shipdate")).alias("line")
-    lines = source("lineitem").groupBy("l_orderkey", "l_linenumber").agg(smallest)
-    return (
-        _add_store(lines.select("l_orderkey", "l_linenumber", "line.*"), source, "l_suppkey")
-        .select(
-            F.col("l_partkey").cast("string").alias("product_id"),
-            "store_id",
-            "store_location",
-            F.col("l_shipdate").cast("date").alias("change_day"),
-            (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("change_number"),
-            F.when(F.col("l_returnflag") == "R", quantity).otherwise(-quantity).alias("qty_change"),
-        )
+    return source.lines().select(
+        F.col("l_partkey").cast("string").alias("product_id"),
+        "store_id",
+        "store_location",
+        F.col("l_shipdate").cast("date").alias("change_day"),
+        F.col("line_no").alias("change_number"),
+        F.when(F.col("l_returnflag") == "R", quantity).otherwise(-quantity).alias("qty_change"),
     )
 
 
 def flat_rows(tables: RetailTables) -> DataFrame:
     """Purchases with all attributes beside them, as in a flat sales file.
 
-    Each row carries one day of foot traffic: the one whose day of month is the
-    purchase number modulo 31, where the store has it.
+    A row carries the days of foot traffic whose day of month is the purchase number modulo
+    31, where its store has such days; days without a purchase have rows of their own.
     """
     day = F.dayofmonth("visit_date").alias("visit_day")
     traffic = tables.popularity.select("store_id", "store_location", "visit_date", "foot_traffic", day)
     purchases = tables.purchase.withColumn("visit_day", (F.col("purchase_id").cast("bigint") % 31).cast("int"))
-    item = ["product_id", "store_id", "store_location"]
+    item, store = ["product_id", "store_id", "store_location"], ["store_id", "store_location"]
     joined = (
         purchases.join(tables.product, "product_id")
         .join(tables.customer, "customer_id")
-        .join(tables.store, ["store_id", "store_location"])
         .join(tables.inventory, item, "left")
-        .join(traffic, ["store_id", "store_location", "visit_day"], "left")
-        .join(tables.customer_visits, ["customer_id", "store_id", "store_location"], "left")
+        .join(tables.customer_visits, ["customer_id", *store], "left")
+        .join(traffic, [*store, "visit_day"], "full")
+        .join(tables.store, store)
         .withColumn("purchase_date", F.col("txn_date"))
         .withColumn("is_favorite", F.col("is_favorite").cast("int"))
     )
@@ -378,16 +374,13 @@ def _plan(build, source: SourceTables, name: str):
     return lambda: schema.conform(build(source), name)
 
 
-_loaded: dict[tuple, RetailTables | DataFrame] = {}
-
-
 def load_tables(spark: SparkSession, folder: str) -> RetailTables:
     """The mapped tables, each written once per application to the shared folder.
 
     Reports then scan narrow, typed parquet with known sizes instead of repeating the
     normalisation.
     """
-    key = (spark.sparkContext.applicationId, folder, _signature(folder))
+    key = (spark.sparkContext.applicationId, folder, session.listing(spark, folder))
     if key not in _loaded:
         _loaded[key] = _written_on_use(spark, mapped_tables(spark, folder))
     return _loaded[key]
@@ -395,11 +388,15 @@ def load_tables(spark: SparkSession, folder: str) -> RetailTables:
 
 def _written_on_use(spark: SparkSession, tables: RetailTables) -> RetailTables:
     target = session.new_folder(spark, "tables")
-    written = read_tables(spark, target, tables.names())
+    stored = read_tables(spark, target, tables.names())
+    written: dict[str, DataFrame] = {}
 
     def write_then_read(name: str):
         def build() -> DataFrame:
-            write_table(tables[name], target, name)
+            # Sets made from this one build their tables here as well.
+            if name not in written:
+                write_table(tables[name], target, name)
+                written[name] = stored[name]
             return written[name]
 
         return build
@@ -415,19 +412,13 @@ def load_all(spark: SparkSession, folder: str, at_once: int = 4) -> RetailTables
     return tables
 
 
-def load_staging(spark: SparkSession, folder: str) -> DataFrame:
+def load_staging(spark: SparkSession, folder: str, mysql_coerce: bool = False) -> DataFrame:
     """The flat file made from the mapped tables, written, read back and stored typed, once."""
-    key = ("staging", spark.sparkContext.applicationId, folder, _signature(folder))
+    key = ("staging", mysql_coerce, spark.sparkContext.applicationId, folder, session.listing(spark, folder))
     if key not in _loaded:
         target = session.new_folder(spark, "staging")
         staging.write_flat(flat_rows(load_tables(spark, folder)), f"{target}/csv")
-        _loaded[key] = staging.store_staging(staging.read_staging(spark, f"{target}/csv"), f"{target}/typed")
+        read = staging.read_staging(spark, f"{target}/csv", mysql_coerce=mysql_coerce)
+        _loaded[key] = staging.store_staging(read, f"{target}/typed")
+        session.remove(spark, f"{target}/csv")
     return _loaded[key]
-
-
-def _signature(folder: str) -> tuple:
-    """Names, sizes and times of local files, so that a replaced folder is loaded again."""
-    if not os.path.isdir(folder):
-        return ()
-    files = sorted(os.listdir(folder))
-    return tuple((f, os.stat(f"{folder}/{f}").st_size, os.stat(f"{folder}/{f}").st_mtime_ns) for f in files)

@@ -68,7 +68,8 @@ def _coerced(raw: Column, present: Column, field: T.StructField) -> Column:
     if isinstance(kind, T.DateType):
         return raw.try_cast(kind)
     if isinstance(kind, T.StringType):
-        return F.when(present, F.coalesce(raw, F.lit("")))
+        width = schema.STAGING_WIDTHS[field.name]
+        return F.when(present, F.left(F.coalesce(raw, F.lit("")), F.lit(width)))
     number = F.coalesce(F.regexp_extract(raw, NUMBER_AT_START, 1).try_cast("double"), F.lit(0.0))
     if isinstance(kind, T.IntegerType):
         number = F.least(F.greatest(F.round(number), F.lit(-2147483648.0)), F.lit(2147483647.0))
