@@ -39,7 +39,7 @@ from tillwise.llm.tables import Batches, ddl, map_batches, named, neutral, resto
 SAMPLE_DOCS = 128
 SAMPLE_CHARS_PER_DOC = 2048
 SAMPLE_CHARS = 32_768
-SAMPLE_SLICES = 256
+SAMPLE_SLICES = (256, 8, 1)
 CACHED_WORDS = 200_000
 MIN_SCORE = 0.4
 UNDETERMINED = "und"
@@ -107,21 +107,14 @@ def learn(labelled: DataFrame) -> list[tuple[str, int, bytes, bytes]]:
     """Models (lang, characters, edge keys, edge targets) from doc_id, lang and text.
 
     The sample is chosen without reading texts: first within slices of a language, so that
-    no task ranks a language with most of the documents, then among the chosen.
+    no task ranks a language with most of the documents, then among the chosen of ever
+    fewer slices.
     """
-    ids = labelled.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang")
-    chance = F.xxhash64("doc_id")
-    in_slice = Window.partitionBy("lang", "slice").orderBy(chance, "doc_id")
-    in_lang = Window.partitionBy("lang").orderBy(chance, "doc_id")
-    chosen = (
-        ids.withColumn("slice", F.pmod(F.hash(F.col("doc_id"), F.lit(1)), F.lit(SAMPLE_SLICES)))
-        .withColumn("place", F.row_number().over(in_slice))
-        .filter(F.col("place") <= SAMPLE_DOCS)
-        .withColumn("place", F.row_number().over(in_lang))
-        .filter(F.col("place") <= SAMPLE_DOCS)
-        .select("doc_id", "lang")
-        .distinct()
-    )
+    chosen = labelled.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang").distinct()
+    for slices in SAMPLE_SLICES:
+        slice_of = F.pmod(F.hash(F.col("doc_id"), F.lit(1)), F.lit(slices))
+        ranked = Window.partitionBy("lang", slice_of).orderBy(F.xxhash64("doc_id"), "doc_id")
+        chosen = chosen.withColumn("place", F.row_number().over(ranked)).filter(F.col("place") <= SAMPLE_DOCS).drop("place")
     chosen = session.stored(chosen, "language-sample")
     sample = labelled.select("doc_id", "lang", "text").join(chosen, ["doc_id", "lang"], "left_semi")
     models = sample.groupBy("lang").applyInPandas(_learn, "lang string, chars long, keys binary, targets binary")
