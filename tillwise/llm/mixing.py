@@ -34,7 +34,7 @@ from tillwise.llm.tables import named, neutral, restored
 
 WEIGHTS = (5, 2, 1)
 LIMIT = 3
-SLICE_ROWS = 20_000
+SLICE_ROWS = 2_000
 TOLERANCE = 1e-7
 MAX_STEPS = 200
 WIDEST = 1e9
