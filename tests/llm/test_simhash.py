@@ -90,11 +90,37 @@ def test_code_is_perfect():
 
 def test_trees_connect_without_all_pairs():
     rng = np.random.default_rng(2)
-    members = np.unique([np.uint64(1 << int(a) | 1 << int(b)) for a, b in rng.integers(0, 64, (500, 2))]).view(np.int64)
-    links = simhash.spanning_links(members)
+    members = np.unique([np.uint64(1 << int(a) | 1 << int(b)) for a, b in rng.integers(0, 64, (500, 2))]).reshape(-1, 1)
+    links = simhash.spanning_links(members, 4)
     assert sum(len(a) for a, _ in links) == len(members) - 1
 
 
+def jaccard(a, b):
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a.split(), b.split())]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def test_similar_documents_leave_one_and_others_stay(spark):
+    rng = random.Random(8)
+    rows, partners = [], []
+    for _ in range(120):
+        base = text_of(rng, rng.randint(80, 400)).split()
+        copy = list(base)
+        for _ in range(rng.randint(0, max(1, len(base) // 60))):
+            copy[rng.randrange(len(copy))] = "changed"
+        partners.append((len(rows), len(rows) + 1, jaccard(" ".join(base), " ".join(copy))))
+        rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(copy))]
+    passage = text_of(rng, 60)
+    rows += [(len(rows) + k, f"{text_of(rng, 200)} {passage}") for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    kept = {r.doc_id for r in simhash.keep_representatives(docs, 5).collect()}
+    near = [(a, b) for a, b, j in partners if j >= 0.85]
+    assert len(near) > 30 and sum(b not in kept for _, b in near) >= 0.95 * len(near)
+    assert {a for a, _, _ in partners} <= kept
+    assert set(range(240, 280)) <= kept
+    assert all(b in kept for _, b, j in partners if j < 0.6)
+
+
 def test_a_key_may_span_batches(spark):
     fps = spark.range(3000).selectExpr("shiftleft(1L, cast(id % 60 as int)) + shiftleft(1L, cast((id * 7) % 59 as int)) as fp").distinct()
     found = simhash.links(fps).count()

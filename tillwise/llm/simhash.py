@@ -1,9 +1,9 @@
 """SimHash near-duplicates: Golay-code fuzzy hashing, join and verification.
 
-A fingerprint has 64 bits; two link when at most ``MAX_BITS`` = 4 differ. It is cut into
-three segments of 22, 21 and 21 bits. Of four differing bits at most two fall into the two
-segments with the fewest, so some pair of segments has (0 or 1, 0 or 1) or, failing that,
-one segment has none and each other one two:
+**By bits** (:func:`near_duplicates`). A fingerprint has 64 bits; two link when at most
+``MAX_BITS`` = 4 differ. It is cut into three segments of 22, 21 and 21 bits. Of four
+differing bits at most two fall into the two segments with the fewest, so some pair of
+segments has (0 or 1, 0 or 1) or, failing that, one segment has none and each other one two:
 
 * one each: both fingerprints carry, for each pair of segments, the codeword of one segment
   together with every codeword near the other one, both ways round. A vector one flip away
@@ -11,21 +11,33 @@ one segment has none and each other one two:
 * none and two: they carry one segment as it is with every codeword near the next one. Two
   vectors two flips apart have a near codeword in common, a key of 33 or more bits.
 
-That is about 45 keys for each *different* fingerprint; documents with equal ones are one
-member before keys are made. Rows that share a key meet in one place, where a search
-visits only unvisited members and reports the tree it walks: a group of n near copies gives
-at most n - 1 links per key and close to n comparisons per level, never all pairs. Every
-reported link is verified on all 64 bits; the links of the trees connect exactly what all
-links would. Components follow from large-star and small-star rounds.
+That is about 45 keys for each *different* fingerprint, and no link is missed.
+
+**By similarity** (:func:`keep_representatives`). Four bits of 64 are far nearer than a
+similarity of 0.8 of the sets of shingles, where about ten differ. A sketch therefore has 512
+bits, eight SimHashes of the same shingles under different mixings, and two link when so few
+bits differ as documents of that similarity would differ in, less half a standard error.
+Each of eight segments of 23 bits gives a key for every codeword near it, joined with the
+smallest shingle hash under its mixing, which similar documents share with a probability of
+their similarity; the codewords divide documents that only have a passage in common. Of
+pairs with a similarity of 0.85 about 98 % share a key.
+
+Rows that share a key meet in one place, where a search visits only unvisited members and
+reports the tree it walks: a group of n near copies gives at most n - 1 links per key and
+close to n comparisons per level, never all pairs. Every reported link is verified on all
+bits; the links of the trees connect exactly what all links would. Components follow from
+large-star and small-star rounds.
 
 Defined cases: null and empty texts have fingerprint zero and link like any other; fewer
 words than a shingle are one shingle; null doc_ids never name a component unless it has no
-other, and stay only then; rows with equal doc_id and fingerprint are one member; an empty
-table gives no rows; carried columns have neutral names, so any others may clash.
+other, and stay only then; rows with equal doc_id and text are one member; an empty table
+gives no rows; carried columns have neutral names, so any others may clash.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
 from itertools import accumulate
 
 import numpy as np
@@ -47,38 +59,86 @@ HASHED_AT_ONCE = 65_536
 SEGMENT_SHIFTS, SEGMENT_BITS = (0, 22, 43), (22, 21, 21)
 
 
-def fingerprint(text: bytes | None, shingle_words: int = SHINGLE_WORDS) -> int:
-    """Bits set in more than half of the hashes of all shingles, as a signed number."""
+# By similarity: parts of 64 bits of a sketch, each with a segment of 23 bits and a smallest hash.
+PARTS = 8
+SIMILARITY = 0.8
+
+# Constants of the 64-bit mixing function.
+GAMMA = 0x9E3779B97F4A7C15
+MULTIPLIERS = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
+
+
+def _shingle_hashes(text: bytes | None, shingle_words: int):
+    """Arrays of the 64-bit hashes of all shingles, big-endian bytes, a bounded number at once."""
     words = text.lower().split() if text else []
     if not words:
-        return 0
+        return
     joined = b" ".join(words)
     ends = list(accumulate(len(word) + 1 for word in words))
     starts = [0, *ends]
     size = min(shingle_words, len(words))
     digest = xxhash.xxh64_digest
-    count, total = np.zeros(64, np.int64), len(words) - size + 1
+    total = len(words) - size + 1
     for first in range(0, total, HASHED_AT_ONCE):
         last = min(first + HASHED_AT_ONCE, total)
         spans = zip(starts[first:last], ends[first + size - 1 : last + size - 1])
-        hashes = np.frombuffer(b"".join([digest(joined[a : b - 1], SEED) for a, b in spans]), np.uint8)
-        bits = np.unpackbits(hashes.reshape(-1, 8), axis=1)
-        for part in range(0, len(bits), 255):
-            count += bits[part : part + 255].sum(axis=0, dtype=np.uint8)
+        yield np.frombuffer(b"".join([digest(joined[a : b - 1], SEED) for a, b in spans]), ">u8")
+
+
+def _bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes (big-endian) have each bit."""
+    count = np.zeros(64, np.int64)
+    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1)
+    for part in range(0, len(bits), 255):
+        count += bits[part : part + 255].sum(axis=0, dtype=np.uint8)
+    return count
+
+
+def fingerprint(text: bytes | None, shingle_words: int = SHINGLE_WORDS) -> int:
+    """Bits set in more than half of the hashes of all shingles, as a signed number."""
+    count, total = np.zeros(64, np.int64), 0
+    for hashes in _shingle_hashes(text, shingle_words):
+        count += _bit_counts(hashes)
+        total += len(hashes)
     return int(np.packbits(count * 2 > total).view(">i8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """doc_id, text_hash and fp of every document."""
+def _mixed(hashes: np.ndarray, part: int) -> np.ndarray:
+    """Another 64-bit hash of each hash."""
+    z = hashes + np.uint64(GAMMA * (part + 1) % 2**64)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(MULTIPLIERS[0])
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(MULTIPLIERS[1])
+    return z ^ (z >> np.uint64(31))
+
+
+def sketch(text: bytes | None, shingle_words: int) -> tuple[bytes, bytes]:
+    """The sketch of a text, and its smallest hash in each part."""
+    counts, total = np.zeros((PARTS, 64), np.int64), 0
+    smallest = np.full(PARTS, 2**64 - 1, np.uint64)
+    for hashes in _shingle_hashes(text, shingle_words):
+        plain = hashes.astype(np.uint64)
+        for part in range(PARTS):
+            mixed = _mixed(plain, part)
+            counts[part] += _bit_counts(mixed.astype(">u8"))
+            smallest[part] = min(smallest[part], mixed.min())
+        total += len(hashes)
+    return np.packbits(counts * 2 > total, axis=1).view(">u8").astype("<u8").tobytes(), smallest.tobytes()
+
+
+def _described(docs: DataFrame, describe: Callable[[bytes | None], tuple], added: str) -> DataFrame:
+    """doc_id, text_hash and the described columns of every document."""
+    names = [column.split()[0] for column in added.split(", ")]
+    kinds = [pa.int64() if column.endswith("long") else pa.binary() for column in added.split(", ")]
 
     def compute(batches: Batches) -> Batches:
         for batch in batches:
-            found = [fingerprint(text, shingle_words) for text in utf8(batch.column(2))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(found, pa.int64())], ["doc_id", "text_hash", "fp"])
+            found = [describe(text) for text in utf8(batch.column(2))]
+            columns = [pa.array([f[k] for f in found], kind) for k, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], ["doc_id", "text_hash", *names])
 
     given = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     kind = given.schema["doc_id"].dataType.simpleString()
-    return map_batches(given, compute, f"doc_id {kind}, text_hash long, fp long")
+    return map_batches(given, compute, f"doc_id {kind}, text_hash long, {added}")
 
 
 def keys_of(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -103,7 +163,39 @@ def keys_of(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(keys)
 
 
-def _keyed(batches: Batches) -> Batches:
+def similar_keys(sketches: np.ndarray, smallest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of the join keys of sketches."""
+    rows, keys = [], []
+    for part in range(PARTS):
+        segment = (sketches[:, part] & np.uint64((1 << golay.LENGTH) - 1)).astype(np.int64)
+        of, near = golay.near_indices(segment, golay.LENGTH)
+        rows.append(of)
+        keys.append(_mixed(smallest[of, part] ^ _mixed(near.astype(np.uint64), part), part).view(np.int64))
+    return np.concatenate(rows), np.concatenate(keys)
+
+
+def similar_bits(similarity: float) -> int:
+    """Most bits in which sketches may differ: as many as for half a standard error below."""
+    noise = math.sqrt(similarity * (1 - similarity) / (64 * PARTS))
+    least = similarity - noise
+    return int(64 * PARTS * math.acos(2 * least / (1 + least)) / math.pi)
+
+
+def _words(column: pa.Array) -> np.ndarray:
+    """Fingerprints (numbers or bytes) as rows of 64-bit words."""
+    if pa.types.is_integer(column.type):
+        return column.to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, 1)
+    texts = column.to_pylist()
+    return np.frombuffer(b"".join(texts), "<u8").reshape(len(texts), -1)
+
+
+def _column(words: np.ndarray, is_number: bool) -> pa.Array:
+    if is_number:
+        return pa.array(words[:, 0].view(np.int64))
+    return pa.array([row.tobytes() for row in words], pa.binary())
+
+
+def _keyed_by_bits(batches: Batches) -> Batches:
     for batch in batches:
         fps = batch.column(0).to_numpy(zero_copy_only=False)
         for first in range(0, len(fps), 10_000):
@@ -112,80 +204,108 @@ def _keyed(batches: Batches) -> Batches:
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(part[rows])], ["key", "fp"])
 
 
-def spanning_links(members: np.ndarray, max_bits: int = MAX_BITS) -> list[tuple[np.ndarray, np.ndarray]]:
+def _keyed_by_similarity(batches: Batches) -> Batches:
+    for batch in batches:
+        sketches, smallest = _words(batch.column(0)), _words(batch.column(1))
+        for first in range(0, len(sketches), 10_000):
+            part = slice(first, first + 10_000)
+            rows, keys = similar_keys(sketches[part], smallest[part])
+            fps = batch.column(0).slice(first, 10_000).take(pa.array(rows))
+            yield pa.RecordBatch.from_arrays([pa.array(keys), fps], ["key", "fp"])
+
+
+def spanning_links(members: np.ndarray, max_bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """Links (from, to) of trees that span what links of up to ``max_bits`` connect."""
-    links, left = [], members.view(np.uint64)
+    links, left = [], members
     while len(left) > 1:
         frontier, left = [left[0]], left[1:]
         while frontier and len(left):
             here = frontier.pop()
-            near = np.bitwise_count(left ^ here) <= max_bits
+            near = np.bitwise_count(left ^ here).sum(axis=1) <= max_bits
             if near.any():
                 reached, left = left[near], left[~near]
-                links.append((np.full(len(reached), here).view(np.int64), reached.view(np.int64)))
+                links.append((np.broadcast_to(here, reached.shape), reached))
                 frontier.extend(reached)
     return links
 
 
-def _linked(batches: Batches) -> Batches:
+def _linked(max_bits: int) -> Callable[[Batches], Batches]:
     """Links among the members of each key; the rows come sorted by key."""
-    kept_keys, kept_fps = np.empty(0, np.int64), np.empty(0, np.int64)
-    for batch in batches:
-        keys = np.concatenate([kept_keys, batch.column(0).to_numpy(zero_copy_only=False)])
-        fps = np.concatenate([kept_fps, batch.column(1).to_numpy(zero_copy_only=False)])
-        if not len(keys):
-            continue
-        # The last key may go on in the next batch.
-        done = np.searchsorted(keys, keys[-1])
-        kept_keys, kept_fps = keys[done:], fps[done:]
-        yield _links_of_keys(keys[:done], fps[:done])
-    yield _links_of_keys(kept_keys, kept_fps)
-
-
-def _links_of_keys(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
-    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, np.int64)
+
+    def link(batches: Batches) -> Batches:
+        kept_keys, kept_fps, is_number = np.empty(0, np.int64), None, True
+        for batch in batches:
+            is_number = pa.types.is_integer(batch.column(1).type)
+            keys, fps = batch.column(0).to_numpy(zero_copy_only=False), _words(batch.column(1))
+            if kept_fps is not None:
+                keys, fps = np.concatenate([kept_keys, keys]), np.concatenate([kept_fps, fps])
+            if not len(keys):
+                continue
+            # The last key may go on in the next batch.
+            done = np.searchsorted(keys, keys[-1])
+            kept_keys, kept_fps = keys[done:], fps[done:]
+            yield from _links_of_keys(keys[:done], fps[:done], max_bits, is_number)
+        if kept_fps is not None:
+            yield from _links_of_keys(kept_keys, kept_fps, max_bits, is_number)
+
+    return link
+
+
+def _links_of_keys(keys: np.ndarray, fps: np.ndarray, max_bits: int, is_number: bool) -> Batches:
+    if not len(keys):
+        return
+    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     sizes = np.diff(np.r_[starts, len(keys)])
     of_two = starts[sizes == 2]
-    close = np.bitwise_count(fps[of_two].view(np.uint64) ^ fps[of_two + 1].view(np.uint64)) <= MAX_BITS
+    close = np.bitwise_count(fps[of_two] ^ fps[of_two + 1]).sum(axis=1) <= max_bits
     links = [(fps[of_two][close], fps[of_two + 1][close])]
     for start, size in zip(starts[sizes > 2], sizes[sizes > 2]):
-        links += spanning_links(fps[start : start + size])
-    a, b = (np.concatenate(side) for side in zip(*links))
-    return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
+        links += spanning_links(fps[start : start + size], max_bits)
+    sides = [_column(np.concatenate(side), is_number) for side in zip(*links)]
+    yield pa.RecordBatch.from_arrays(sides, ["a", "b"])
 
 
-def links(fps: DataFrame) -> DataFrame:
-    """Verified links (a, b), a > b, that connect all different fingerprints within reach."""
-    keyed = map_batches(fps.select("fp"), _keyed, "key long, fp long")
-    met = keyed.repartition("key").sortWithinPartitions("key", "fp")
-    return map_batches(met, _linked, "a long, b long").distinct()
+def links(fps: DataFrame, keyed: Callable[[Batches], Batches] = _keyed_by_bits, max_bits: int = MAX_BITS) -> DataFrame:
+    """Verified links (a, b), a > b, that connect all different fingerprints within reach.
+
+    ``fps`` has ``fp`` first, then what its keys are made of.
+    """
+    kind = fps.schema["fp"].dataType.simpleString()
+    met = map_batches(fps, keyed, f"key long, fp {kind}").repartition("key").sortWithinPartitions("key", "fp")
+    found = map_batches(met, _linked(max_bits), f"a {kind}, b {kind}")
+    return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def _grouped(members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members (doc_id, text_hash, fp, copies), and (fp, component) of fingerprints with their component's
-    smallest member (last, doc_id, text_hash); ``last`` puts null ids last."""
+def _grouped(members: DataFrame, link: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Members with ``component``: the smallest member (last, doc_id, text_hash) it is connected with.
+
+    ``last`` puts null ids last. Members have doc_id, text_hash, copies, fp and perhaps
+    ``smallest``, which goes with fp.
+    """
+    members = session.stored(members, "members")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")).alias("first")
-    by_fp = session.stored(members.groupBy("fp").agg(first), "fingerprints")
-    roots = session.stored(components(links(by_fp)), "components").withColumnRenamed("node", "fp")
+    keyed_by = [F.min(c).alias(c) for c in members.columns if c == "smallest"]
+    by_fp = session.stored(members.groupBy("fp").agg(*keyed_by, first), "fingerprints")
+    roots = session.stored(components(link(by_fp.drop("first"))), "components").withColumnRenamed("node", "fp")
     linked = by_fp.join(roots, "fp")
     smallest = linked.groupBy("root").agg(F.min("first").alias("component"))
     of_linked = linked.join(smallest, "root").select("fp", "component")
     alone = by_fp.join(roots, "fp", "left_anti").select("fp", F.col("first").alias("component"))
-    return members, session.stored(of_linked.union(alone), "fingerprint-groups")
+    groups = session.stored(of_linked.union(alone), "fingerprint-groups")
+    return members.drop("smallest").join(groups, "fp")
 
 
-def grouped_members(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """(doc_id, text_hash, fp, copies, component) of every different row."""
-    counted = fingerprints(docs, shingle_words).groupBy("doc_id", "text_hash", "fp").agg(F.count("*").alias("copies"))
-    members, groups = _grouped(session.stored(counted, "members"))
-    return members.join(groups, "fp")
+def _counted(described: DataFrame) -> DataFrame:
+    """Different rows with how often they repeat."""
+    return described.groupBy(*described.columns).agg(F.count("*").alias("copies"))
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id."""
+    described = _described(docs, lambda text: (fingerprint(text, shingle_words),), "fp long")
     each = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))
     return (
-        grouped_members(docs, shingle_words)
+        _grouped(_counted(described), links)
         .withColumn("copy", each)
         .select(
             "doc_id",
@@ -195,12 +315,19 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> Data
     )
 
 
-def keep_representatives(docs: DataFrame, shingle_words: int) -> DataFrame:
-    """One document of each group, the one with the smallest id, with all its columns.
+def similar_members(docs: DataFrame, shingle_words: int, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, text_hash, fp, copies, component) of every different row, grouped by similarity."""
+    described = _described(docs, lambda text: sketch(text, shingle_words), "fp binary, smallest binary")
+    bits = similar_bits(similarity)
+    return _grouped(_counted(described), lambda fps: links(fps.select("fp", "smallest"), _keyed_by_similarity, bits))
+
+
+def keep_representatives(docs: DataFrame, shingle_words: int, similarity: float = SIMILARITY) -> DataFrame:
+    """One document of each group of similar ones, the one with the smallest id, with all its columns.
 
     Should the row that stays be repeated, one of the repeats stays.
     """
-    members = grouped_members(docs, shingle_words)
+    members = similar_members(docs, shingle_words, similarity)
     is_first = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash") == F.col("component")
     stays = session.stored(members.filter(is_first).select("doc_id", "text_hash", "copies"), "representatives")
     columns = docs.columns
