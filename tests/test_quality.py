@@ -143,6 +143,20 @@ def test_cascade_delete(table):
     assert no_customer.customer_visits.count() == 1 and no_customer.purchase.count() == 1
 
 
+def test_rename_conflicts_are_reported(spark, table):
+    tables = small_tables(table).replacing(customer=table("customer", [(k, 30, "M", "1.00", "n") for k in range(1, 6)]))
+    renamed = spark.createDataFrame([(1, 10), (1, 11), (2, 20), (3, 20), (4, 5), (5, 50)], "customer_id long, new_customer_id long")
+    renamed = renamed.filter("customer_id <> 5")
+    found = cascade.update_conflicts(tables, "customer", renamed)
+    assert sorted((r.customer_id, r.new_customer_id, r.reason) for r in found.collect()) == [
+        (1, 10, "key is renamed twice"),
+        (1, 11, "key is renamed twice"),
+        (2, 20, "new key is given twice"),
+        (3, 20, "new key is given twice"),
+        (4, 5, "new key is taken"),
+    ]
+
+
 def test_cascade_update(spark, table):
     renamed = spark.createDataFrame([(1, "A", 5, "AA")], "store_id int, store_location string, new_store_id int, new_store_location string")
     moved = cascade.update(small_tables(table), "store", renamed)

@@ -1,8 +1,10 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
 from tests.test_quality import GOOD, small_tables
-from tillwise import schema
+from tillwise import schema, session
 from tillwise.operators import statistics
 from tillwise.streaming.ledger import SalesLedger
 from tillwise.streaming.live_stats import current_stats, start_live_stats
@@ -59,6 +61,14 @@ def test_replays_change_nothing(spark, ledger):
     assert state(ledger) == AFTER_BOTH
 
 
+def test_a_batch_leaves_no_intermediates(spark, ledger):
+    shared = session.shared_folder(spark)
+    before = {name for name, *_ in session.listing(spark, shared)} if os.path.isdir(shared) else set()
+    ledger.apply_batch(batch(spark, *FIRST), 0)
+    assert {name for name, *_ in session.listing(spark, shared)} <= before
+    assert state(ledger)[3] == 4
+
+
 def test_another_stream_goes_on_behind_the_first(spark, ledger):
     ledger.apply_batch(batch(spark, *FIRST), 0, "one")
     ledger.apply_batch(batch(spark, *SECOND), 0, "two")

@@ -28,7 +28,8 @@ def delete(tables: RetailTables, parent: str, removed: DataFrame) -> RetailTable
 def update(tables: RetailTables, parent: str, renamed: DataFrame) -> RetailTables:
     """Tables with keys of ``parent`` replaced everywhere.
 
-    ``renamed`` has the key columns, unique, and each new value as ``new_<column>``.
+    ``renamed`` has the key columns, unique, and each new value as ``new_<column>``; see
+    :func:`update_conflicts`.
     """
     replaced = {}
     for name, columns in _affected(tables, parent):
@@ -36,3 +37,24 @@ def update(tables: RetailTables, parent: str, renamed: DataFrame) -> RetailTable
         new_values = {c: F.coalesce(F.col(NEW + c), F.col(c)).cast(table.schema[c].dataType) for c in columns}
         replaced[name] = table.join(renamed, columns, "left").withColumns(new_values).select(*table.columns)
     return tables.replacing(**replaced)
+
+
+def update_conflicts(tables: RetailTables, parent: str, renamed: DataFrame) -> DataFrame:
+    """Rows of ``renamed`` that :func:`update` must not be given, with a ``reason``.
+
+    A key may be renamed once, two keys may not get one new key, and a new key may not be
+    that of a row that keeps its own.
+    """
+    key = schema.KEYS[parent]
+    new = [NEW + c for c in key]
+    repeated = renamed.groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1").select(*key)
+    shared = renamed.groupBy(*new).agg(F.count("*").alias("n")).filter("n > 1").select(*new)
+    staying = tables[parent].select(*key).join(renamed.select(*key), key, "left_anti")
+    taken = staying.select(*[F.col(c).alias(NEW + c) for c in key])
+    found = [
+        ("key is renamed twice", renamed.join(repeated, key, "left_semi")),
+        ("new key is given twice", renamed.join(shared, new, "left_semi")),
+        ("new key is taken", renamed.join(taken, new, "left_semi")),
+    ]
+    conflicts = [rows.select(*key, *new, F.lit(reason).alias("reason")) for reason, rows in found]
+    return conflicts[0].unionByName(conflicts[1]).unionByName(conflicts[2])

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,9 +47,30 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{named.rstrip('/')}/tillwise-{spark.sparkContext.applicationId}"
 
 
+# Folders made inside each open ``cleared`` block, by purpose.
+_made: list[list[tuple[str, str]]] = []
+
+
 def new_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_folder(spark)}/{purpose}-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/{purpose}-{uuid.uuid4().hex}"
+    for block in _made:
+        block.append((purpose, folder))
+    return folder
+
+
+@contextmanager
+def cleared(spark: SparkSession, *purposes: str) -> Iterator[None]:
+    """Delete the folders made for these purposes when the block is done with them."""
+    made: list[tuple[str, str]] = []
+    _made.append(made)
+    try:
+        yield
+    finally:
+        _made.remove(made)
+        for purpose, folder in made:
+            if purpose in purposes:
+                remove(spark, folder)
 
 
 def stored(df: DataFrame, purpose: str) -> DataFrame:
