@@ -17,7 +17,7 @@ from bench import HEADLINE, timed
 from checks import oracle
 from checks.compare import connect
 
-MAPPED = ["store", "product", "cust", "purchase", "inventory", "popularity", "customer_visits"]
+MAPPED = ["store", "line", "product", "cust", "purchase", "inventory", "popularity", "customer_visits"]
 
 
 def main() -> None:

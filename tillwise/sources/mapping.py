@@ -6,6 +6,7 @@ traffic. Every table is derived with joins and aggregates from the given parquet
 
 from __future__ import annotations
 
+import threading
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -37,6 +38,8 @@ def _choose(value: Column, choices: dict, other: str) -> Column:
 
 # Tables written once per application, by folder and the state of its files.
 _loaded: dict[tuple, RetailTables | DataFrame] = {}
+# Several tables are made from the order lines at a time.
+_lines_lock = threading.Lock()
 
 # An order line's number leaves room for so many lines with one order and line number.
 REPEATS = 1000
@@ -66,8 +69,9 @@ class SourceTables:
     def lines(self) -> DataFrame:
         """All order lines with their order, store and number, joined and stored once."""
         key = ("lines", self.spark.sparkContext.applicationId, self.folder, session.listing(self.spark, self.folder))
-        if key not in _loaded:
-            _loaded[key] = session.stored(_lines(self), "order-lines")
+        with _lines_lock:
+            if key not in _loaded:
+                _loaded[key] = session.stored(_lines(self), "order-lines")
         return _loaded[key]
 
 
