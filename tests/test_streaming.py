@@ -7,6 +7,7 @@ from tests.test_quality import GOOD, small_tables
 from tillwise import schema, session
 from tillwise.operators import statistics
 from tillwise.streaming.ledger import SalesLedger
+from tillwise.streaming import live_stats
 from tillwise.streaming.live_stats import current_stats, start_live_stats
 
 NAMES = schema.TABLES["purchase"].names
@@ -153,16 +154,20 @@ def test_stream_of_files_in_two_runs(spark, ledger, tmp_path):
     assert state(ledger) == AFTER_BOTH
 
 
-def test_live_statistics_equal_the_batch_rebuild(spark, table, tmp_path):
+@pytest.mark.parametrize("compact_after", [16, 2])
+def test_live_statistics_equal_the_batch_rebuild(spark, table, tmp_path, monkeypatch, compact_after):
+    monkeypatch.setattr(live_stats, "COMPACT_AFTER", compact_after)
     source, updates, checkpoint = (str(tmp_path / name) for name in ("arrivals", "updates", "checkpoint"))
     parts = [
         table("purchase", [(i, "1", i % 3, 1, "Cash", i % 7, "2023-01-01", "A", f"{i}.50") for i in numbers])
-        for numbers in (range(1, 30), range(30, 45))
+        for numbers in (range(1, 30), range(30, 45), range(45, 50))
     ]
     for part in parts:
         part.write.mode("append").parquet(source)
         arrivals = spark.readStream.schema(part.schema).parquet(source)
         start_live_stats(arrivals, updates, checkpoint).awaitTermination()
     live = current_stats(spark.read.parquet(updates))
-    rebuilt = statistics.finish(statistics.parts(parts[0].unionByName(parts[1])))
+    rebuilt = statistics.finish(statistics.parts(spark.read.schema(parts[0].schema).parquet(source)))
     assert sorted(live.collect()) == sorted(rebuilt.collect())
+    kept = sorted(name for name, *_ in session.listing(spark, updates) if name.startswith("batch_id="))
+    assert kept == (["batch_id=3", "batch_id=4"] if compact_after == 2 else ["batch_id=0", "batch_id=2", "batch_id=4"])
