@@ -37,3 +37,13 @@ def utf8(column: pa.Array) -> list[bytes | None]:
 
 def map_batches(df: DataFrame, work: Callable[[Batches], Batches], schema: str) -> DataFrame:
     return df.mapInArrow(work, schema)
+
+
+_kept: dict[str, tuple[object, object]] = {}
+
+
+def kept_between_tasks(name: str, value: object, make: Callable[[object], object]) -> object:
+    """What is made of a broadcast value, kept while a Python worker goes on with the same value."""
+    if name not in _kept or _kept[name][0] is not value:
+        _kept[name] = (value, make(value))
+    return _kept[name][1]

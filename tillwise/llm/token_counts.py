@@ -7,7 +7,8 @@ inserted in a trie whose nodes hold the forward score and the number of tokens,
 that many pre-tokens share is scored once; the count at the end of a pre-token is kept with
 it. Each task has a trie of its own and needs no exchange; it starts anew at ``MAX_NODES``
 nodes, which changes nothing but the work. Pre-tokens beyond ``LONGEST_SHARED`` characters
-are scored outside the trie in constant memory.
+are scored outside the trie in constant memory. Suffixes that no piece ends with stop the search
+for the pieces that end at a place.
 
 The vocabulary file is a parameter. Its pieces come in order of rank; the probability of
 rank r is 1 / ((r + 1) H), Zipf's law. A character of no piece counts as its bytes.
@@ -26,9 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillwise.llm.tables import Batches, ddl, map_batches, neutral
+from tillwise.llm.tables import Batches, ddl, kept_between_tasks, map_batches, neutral
 
-MAX_NODES = 400_000
+MAX_NODES = 800_000
 LONGEST_SHARED = 256
 UNKNOWN_PENALTY = 10.0
 SPACE = "▁"
@@ -64,7 +65,9 @@ class PrefixTrie(dict):
 
     def __init__(self, vocabulary: dict[str, float]):
         super().__init__()
-        self.vocabulary = vocabulary
+        # Ends of pieces: the piece's own score, or None for an end that is no piece itself.
+        self.endings: dict[str, float | None] = {piece[k:]: None for piece in vocabulary for k in range(len(piece))}
+        self.endings.update(vocabulary)
         self.longest = max(map(len, vocabulary), default=1)
         self.unknown = min(vocabulary.values(), default=0.0) - UNKNOWN_PENALTY
         self.restart()
@@ -82,19 +85,19 @@ class PrefixTrie(dict):
 
     def _best(self, word: str, end: int, scores: list[float], counts: list[int]) -> tuple[float, int]:
         """Best score and count up to ``end``, given those of all earlier ends (the last is last in the lists)."""
-        vocabulary, best, count = self.vocabulary, -math.inf, 0
+        endings, best, count = self.endings, -math.inf, 0
         last = len(scores)
         for size in range(1, min(end, self.longest) + 1):
-            piece = vocabulary.get(word[end - size : end])
-            if piece is None:
-                if size > 1:
-                    continue
-                piece, tokens = self.unknown, len(word[end - 1].encode())
-            else:
-                tokens = 1
-            score = scores[last - size] + piece
-            if score > best:
-                best, count = score, counts[last - size] + tokens
+            ending = word[end - size : end]
+            score = endings.get(ending)
+            if score is not None:
+                score += scores[last - size]
+                if score > best:
+                    best, count = score, counts[last - size] + 1
+            elif size == 1:
+                best, count = scores[last - 1] + self.unknown, counts[last - 1] + len(ending.encode())
+            if score is None and ending not in endings:
+                break
         return best, count
 
     def _walk(self, word: str) -> int:
@@ -136,7 +139,7 @@ def count_tokens(docs: DataFrame, vocabulary: dict[str, float], carry: list[str]
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def count(batches: Batches) -> Batches:
-        trie = PrefixTrie(shared.value)
+        trie = kept_between_tasks("trie", shared.value, PrefixTrie)
         for batch in batches:
             found = [trie.of_text(text) for text in batch.column(text_at).to_pylist()]
             added = [pa.array([f[part] for f in found], pa.int64()) for part in (0, 1)]
