@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillwise import session
-from tillwise.llm.tables import Batches, ddl, map_batches, named, neutral, restored
+from tillwise.llm.tables import Batches, ddl, kept_between_tasks, map_batches, named, neutral, restored
 
 SAMPLE_DOCS = 128
 SAMPLE_CHARS_PER_DOC = 2048
@@ -177,7 +177,7 @@ def identify(docs: DataFrame, models: list[tuple[str, int, bytes, bytes]], carry
     shared = docs.sparkSession.sparkContext.broadcast(models)
 
     def predict(batches: Batches) -> Batches:
-        costs = WordCosts(shared.value)
+        costs = kept_between_tasks("word costs", shared.value, WordCosts)
         for batch in batches:
             found, scores = [], []
             for text in batch.column(text_at).to_pylist():
