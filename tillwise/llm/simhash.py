@@ -55,6 +55,7 @@ SHINGLE_WORDS = 4
 SEED = 42
 MAX_BITS = 4
 HASHED_AT_ONCE = 65_536
+KEYED_AT_ONCE = 1_000
 
 SEGMENT_SHIFTS, SEGMENT_BITS = (0, 22, 43), (22, 21, 21)
 
@@ -198,8 +199,8 @@ def _column(words: np.ndarray, is_number: bool) -> pa.Array:
 def _keyed_by_bits(batches: Batches) -> Batches:
     for batch in batches:
         fps = batch.column(0).to_numpy(zero_copy_only=False)
-        for first in range(0, len(fps), 10_000):
-            part = fps[first : first + 10_000]
+        for first in range(0, len(fps), KEYED_AT_ONCE):
+            part = fps[first : first + KEYED_AT_ONCE]
             rows, keys = keys_of(part)
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(part[rows])], ["key", "fp"])
 
@@ -207,10 +208,10 @@ def _keyed_by_bits(batches: Batches) -> Batches:
 def _keyed_by_similarity(batches: Batches) -> Batches:
     for batch in batches:
         sketches, smallest = _words(batch.column(0)), _words(batch.column(1))
-        for first in range(0, len(sketches), 10_000):
-            part = slice(first, first + 10_000)
+        for first in range(0, len(sketches), KEYED_AT_ONCE):
+            part = slice(first, first + KEYED_AT_ONCE)
             rows, keys = similar_keys(sketches[part], smallest[part])
-            fps = batch.column(0).slice(first, 10_000).take(pa.array(rows))
+            fps = batch.column(0).slice(first, KEYED_AT_ONCE).take(pa.array(rows))
             yield pa.RecordBatch.from_arrays([pa.array(keys), fps], ["key", "fp"])
 
 
