@@ -19,8 +19,8 @@ bits, eight SimHashes of the same shingles under different mixings, and two link
 bits differ as documents of that similarity would differ in, less half a standard error.
 Each of eight segments of 23 bits gives a key for every codeword near it, joined with the
 smallest shingle hash under its mixing, which similar documents share with a probability of
-their similarity; the codewords divide documents that only have a passage in common. Of
-pairs with a similarity of 0.85 about 98 % share a key.
+their similarity; the codewords divide documents that only have a passage in common. By
+calculation, of pairs with a similarity of 0.85 about 97 % share a key.
 
 Rows that share a key meet in one place, where a search visits only unvisited members and
 reports the tree it walks: a group of n near copies gives at most n - 1 links per key and
