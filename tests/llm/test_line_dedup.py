@@ -101,6 +101,15 @@ def test_short_blocks_stay():
     assert line_dedup.removed_lines(pack(["a b", "c d", "x"]), pack(["a b", "y", "c d"]), MIN) == []
 
 
+def test_short_repeated_lines_go_by_default(spark):
+    rows = [(k, f"own {k} a\n\n  Subscribe to our newsletter \nown {k} b\nAgree") for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.c0: r.kept_text for r in line_dedup.remove_repeats(docs, ["doc_id"]).collect()}
+    assert got.pop(0) == rows[0][1]
+    for k, text in got.items():
+        assert [line for line in text.split("\n") if line] == [f"own {k} a", f"own {k} b"]
+
+
 def test_patience_prefers_unique_lines():
     a = [b"{", b"f", b"}", b"{", b"g", b"}"]
     b = [b"{", b"g", b"}"]

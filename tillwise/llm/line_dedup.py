@@ -1,23 +1,24 @@
 """Line deduplication by pairwise alignment.
 
 Lines are compared without the white space at their ends. From every line of a document
-starts a run: the line and as many after it as make ``MIN_WORDS`` words. Two documents
-have a common block of that many words just if they share a run, and a run is rare however
-common its lines are. A document is paired with the *first* holder of each of its runs
-(smallest doc_id), so a run that n documents share gives n - 1 pairs, and no bound on
-partners or on the frequency of lines is needed.
+starts a run: the line and as many after it as make ``min_words`` words. Two documents
+have a common block of that many words just if they share a run. A document is paired with
+the *first* holder of each of its runs (smallest doc_id), so a run that n documents share
+gives n - 1 pairs, and no bound on partners or on the frequency of lines is needed. By
+default (``MIN_WORDS`` = 1) every line with a word is a run, so that each repeated line goes;
+a higher number is an option that leaves shorter blocks in.
 
 A pair is aligned with patience diff: lines that are unique in both, in their longest common
 order, split the documents, and the parts between them are aligned the same way. Runs that
 it leaves (moved or repeated passages) are looked up directly. Aligned blocks of at least
-``MIN_WORDS`` words are deleted from the later document. The first holder of a passage
+``min_words`` words are deleted from the later document. The first holder of a passage
 keeps it, so every deleted line still stands in an earlier document.
 
 Only hashes of lines (128 bits) and word counts are joined; texts are read when lines are
 counted and when they are deleted.
 
 Defined cases: a null or empty text has no lines and stays as it is; documents with fewer
-words than ``MIN_WORDS`` stay; documents are ordered by doc_id, null ids last, then by a
+words than ``min_words`` stay; documents are ordered by doc_id, null ids last, then by a
 hash of the text; rows that agree in both are one document and lose the same lines; an
 empty table gives no rows; carried columns have neutral names, so any others may clash.
 """
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 from tillwise import session
 from tillwise.llm.tables import Batches, ddl, map_batches, named, neutral, restored, utf8
 
-MIN_WORDS = 50
+MIN_WORDS = 1
 
 KEY = ["late", "id", "text_hash"]
 KEY_TYPES = "late int, id long, text_hash long"
