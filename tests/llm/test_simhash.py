@@ -180,6 +180,14 @@ def test_every_pair_of_a_key_is_compared_once():
     assert len(met) == 30 * 29 // 2
 
 
+def test_a_repeated_word_counts_once():
+    rng = random.Random(4)
+    sets = [simhash.shingle_set(("the " * 300 + text_of(rng, 150)).encode(), 5) for _ in range(100)]
+    assert all(len(found) <= 151 for found in sets)
+    keys = [set(simhash.band_keys(found).tolist()) for found in sets]
+    assert not any(keys[a] & keys[b] or simhash.similar(sets[a], sets[b], 0.8) for a in range(100) for b in range(a))
+
+
 def test_a_key_may_span_batches(spark):
     fps = spark.range(3000).selectExpr("shiftleft(1L, cast(id % 60 as int)) + shiftleft(1L, cast((id * 7) % 59 as int)) as fp").distinct()
     found = simhash.links(fps).count()
