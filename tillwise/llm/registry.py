@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tillwise.llm import chat, decontamination, exact_dedup, language, licenses, line_dedup, mixing, oracle, pii, simhash, token_counts
+from tillwise.llm import chat, decontamination, exact_dedup, language, licenses, line_dedup, mixing, neural_scores, oracle, pii, simhash, token_counts, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -78,6 +78,14 @@ def _exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_table(spark, folder, "documents"))
 
 
+def _neural_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return neural_scores.scores(_table(spark, folder, "documents"))
+
+
+def _whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(_table(spark, folder, "embeddings"))
+
+
 _QUERIES: dict[str, Query] = {
     "op1_licenses": _licenses,
     "op2_token_counts": _token_counts,
@@ -89,6 +97,8 @@ _QUERIES: dict[str, Query] = {
     "op8_simhash": _simhash,
     "op9_chat": _chat,
     "op10_exact_dedup": _exact_dedup,
+    "op11_neural_scores": _neural_scores,
+    "op13_whitening": _whitening,
     "pipeline": corpus_pipeline.run,
 }
 
