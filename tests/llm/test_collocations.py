@@ -1,0 +1,103 @@
+"""Collocations against a plain count of all phrases; tiles against a plain count of pairs."""
+
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from tillwise.llm import collocations as phrases
+
+SCHEMA = "doc_id long, text string, lang string, word string, n long, id string"
+SETS = ["the cat sat on a mat", "new york city hall", "a b", "of the", "one", "x y z x y z", "in New\tYork", "été Été"]
+
+
+def plain(rows, least, top):
+    f, totals = Counter(), Counter()
+    for text, lang in rows:
+        lang = "und" if lang is None else lang
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", "".join(c.lower() if c.isascii() else c for c in text or "")):
+            words = re.findall(r"[^\x20\x09]+", piece)
+            totals[lang] += len(words)
+            for m in range(1, 6):
+                for k in range(len(words) - m + 1):
+                    f[lang, tuple(words[k : k + m])] += 1
+    found = {}
+    frequent = {key: a for key, a in f.items() if len(key[1]) > 1 and a >= least}
+    covered = set()
+    for (lang, words), a in frequent.items():
+        for i in range(len(words)):
+            for j in range(i + 2, len(words) + 1):
+                part = words[i:j]
+                if part != words and 100 * a >= 100 * f[lang, part]:
+                    covered.add((lang, part))
+    for (lang, words), a in frequent.items():
+        if (lang, words) in covered:
+            continue
+        n = totals[lang]
+        cuts = []
+        for k in range(1, len(words)):
+            left, right = f[lang, words[:k]], f[lang, words[k:]]
+            cuts.append((1000 * a * n // (left * right), k, left, right))
+        score, _, left, right = min(cuts)
+        found.setdefault(lang, []).append((-score, -a, " ".join(words).encode(), left, right, n))
+    return sorted(
+        (lang, rank, phrase.decode(), -a, left, right, n, -score)
+        for lang, rows in found.items()
+        for rank, (score, a, phrase, left, right, n) in enumerate(sorted(rows)[:top], start=1)
+    )
+
+
+@pytest.fixture(scope="module")
+def rows():
+    rng = random.Random(2)
+    rows = []
+    for _ in range(500):
+        parts = [rng.choice(SETS) if rng.random() < 0.6 else f"w{int(rng.paretovariate(0.6))}" for _ in range(rng.randint(0, 40))]
+        rows.append(("".join(part + rng.choice([" ", " ", "  ", "\t", ". ", ",", "\n", "\x0b", "!?"]) for part in parts), rng.choice(["en", "en", "de", None, "und"])))
+    rows += [(None, "en"), ("", None), ("...", "fr"), ("one " * 3000, "es"), (rows[0][0], rows[0][1])]
+    return rows
+
+
+def table(spark, rows):
+    return spark.createDataFrame([(k, *row, "x", 1, None) for k, row in enumerate(rows)], SCHEMA).repartition(5)
+
+
+@pytest.mark.parametrize("head", [1 << 18, 40, 3])
+def test_against_plain_counts(spark, rows, monkeypatch, head):
+    # Small heads take the way by joins.
+    monkeypatch.setattr(phrases, "HEAD", head)
+    monkeypatch.setattr(phrases, "MIN_COUNT", 12)
+    got = sorted(tuple(r) for r in phrases.collocations(table(spark, rows), top=40).collect())
+    assert got == plain(rows, 12, 40)
+    assert {len(r[2].split()) for r in got} == {2, 3, 4, 5}
+
+
+def test_pair_counts_dense_and_sparse(monkeypatch):
+    rng = np.random.default_rng(1)
+    first, last = (np.minimum(rng.pareto(0.8, 60_000) * 20, 9_000).astype(np.int64) for _ in range(2))
+    expected = Counter(zip(first.tolist(), last.tolist()))
+    for crowded in (1, 500, phrases.CROWDED):
+        monkeypatch.setattr(phrases, "CROWDED", crowded)
+        got = Counter()
+        for a, b, n in phrases.pair_counts(first, last):
+            got.update(dict(zip(zip(a.tolist(), b.tolist()), n.tolist())))
+        assert got == expected
+
+
+def test_nothing_frequent(spark):
+    assert phrases.collocations(table(spark, [])).collect() == []
+    assert phrases.collocations(table(spark, [("a b c", "en"), (None, None)])).collect() == []
+    words_only = phrases.collocations(table(spark, [("often. " * 200, "en")])).collect()
+    assert words_only == []
+
+
+def test_products_beyond_64_bits(spark):
+    tables = [
+        spark.createDataFrame([(0, "en", "a", 4 * 10**12), (1, "en", "b", 3 * 10**12)], "id long, lang string, phrase string, n long"),
+        spark.createDataFrame([(0, "en", "a b", 2 * 10**12)], "id long, lang string, phrase string, n long"),
+    ]
+    totals = spark.createDataFrame([("en", 7 * 10**15 + 1)], "lang string, n long")
+    (row,) = phrases.scored(tables, totals).collect()
+    assert row.score == 1000 * row.a * row.n // (row.l * row.r) == 1000 * 2 * 10**12 * (7 * 10**15 + 1) // (12 * 10**24)

@@ -106,4 +106,42 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-SQL = {"op5_decontamination": DECONTAMINATION, "op7_pii": PII, "op9_chat": CHAT, "op10_exact_dedup": EXACT_DEDUP}
+COLLOCATIONS = r"""
+WITH pieces AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w
+  FROM (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+          translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+        FROM documents)
+),
+totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM pieces GROUP BY lang),
+phrases AS (
+  SELECT lang, m, w[k:k + m - 1] AS words, count(*) AS f
+  FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS k
+        FROM pieces, (VALUES (1), (2), (3), (4), (5)) AS sizes(m) WHERE len(w) >= m)
+  GROUP BY lang, m, words HAVING count(*) >= 100
+),
+cuts AS (
+  SELECT p.lang, p.words, p.m, k, p.f AS a, l.f AS l, r.f AS r, n,
+         CAST((1000 * CAST(p.f AS HUGEINT) * n) // (CAST(l.f AS HUGEINT) * r.f) AS BIGINT) AS score
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM phrases) p
+  JOIN phrases l ON l.lang = p.lang AND l.words = p.words[1:k]
+  JOIN phrases r ON r.lang = p.lang AND r.words = p.words[k + 1:]
+  JOIN totals t ON t.lang = p.lang
+),
+worst AS (SELECT *, row_number() OVER (PARTITION BY lang, words ORDER BY score, k) AS place FROM cuts),
+kept AS (
+  SELECT * FROM worst c
+  WHERE place = 1 AND NOT EXISTS (
+    SELECT 1 FROM phrases p
+    WHERE p.lang = c.lang AND p.m > c.m AND 100 * p.f >= 100 * c.a
+      AND contains(' ' || array_to_string(p.words, ' ') || ' ', ' ' || array_to_string(c.words, ' ') || ' '))
+),
+ranks AS (
+  SELECT *, array_to_string(words, ' ') AS phrase,
+         row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(words, ' ')) AS rank
+  FROM kept
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranks WHERE rank <= 2000
+"""
+
+SQL = {"op5_decontamination": DECONTAMINATION, "op7_pii": PII, "op9_chat": CHAT, "op10_exact_dedup": EXACT_DEDUP, "op12_collocations": COLLOCATIONS}

@@ -8,7 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tillwise.llm import chat, decontamination, exact_dedup, language, licenses, line_dedup, mixing, neural_scores, oracle, pii, simhash, token_counts, whitening
+from tillwise.llm import (
+    chat,
+    collocations,
+    decontamination,
+    exact_dedup,
+    language,
+    licenses,
+    line_dedup,
+    mixing,
+    neural_scores,
+    oracle,
+    pii,
+    simhash,
+    token_counts,
+    whitening,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -82,6 +97,10 @@ def _neural_scores(spark: SparkSession, folder: str) -> DataFrame:
     return neural_scores.scores(_table(spark, folder, "documents"))
 
 
+def _collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(_table(spark, folder, "documents"))
+
+
 def _whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.whiten(_table(spark, folder, "embeddings"))
 
@@ -98,6 +117,7 @@ _QUERIES: dict[str, Query] = {
     "op9_chat": _chat,
     "op10_exact_dedup": _exact_dedup,
     "op11_neural_scores": _neural_scores,
+    "op12_collocations": _collocations,
     "op13_whitening": _whitening,
     "pipeline": corpus_pipeline.run,
 }
