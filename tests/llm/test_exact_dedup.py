@@ -33,3 +33,12 @@ def test_groups_equal_plain_grouping(spark, runs, fan_in):
 
 def test_empty_table(spark):
     assert exact_dedup.exact_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_every_round_sorts_its_runs(spark):
+    docs = spark.createDataFrame([(1, "x"), (2, "x")], "doc_id long, text string")
+    merged = exact_dedup.merge_runs(exact_dedup.text_entries(docs), 64, 4)
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    first = plan.split("Initial Plan")[-1]
+    sorts = [line for line in first.splitlines() if "Sort [run" in line and "digest" in line and "keep_id" in line]
+    assert len(sorts) == 3 and first.count("Window ") >= 3

@@ -93,3 +93,11 @@ def test_stage_keeps_columns_and_edge_cases(spark):
     assert mixing.mix(empty).count() == 0 and mixing.mixed_documents(empty).count() == 0
     blank = spark.createDataFrame([(1, "a", ""), (2, "b", None)], "doc_id long, source string, text string")
     assert [(r.size, r.target, r.taken) for r in mixing.mix(blank).collect()] == [(0, 0.0, 0)] * 2
+
+
+def test_large_ids_beside_a_null_one(spark):
+    ids = [2**53 + 1, 2**53 + 3, None]
+    docs = spark.createDataFrame([(i, "s", f"a b {k}") for k, i in enumerate(ids)], "doc_id long, source string, text string")
+    assert {r.doc_id for r in mixing.mix(docs).collect()} == set(ids)
+    mixed = mixing.mixed_documents(docs).collect()
+    assert {r.doc_id: r.copies for r in mixed} == {i: 1 for i in ids}

@@ -2,7 +2,7 @@
 
 Every row becomes an entry (digest, length, second hash, doc_id); the text itself is never
 shuffled. Entries are dealt to ``runs`` runs by a hash of their doc_id. In each round
-``fan_in`` neighbouring runs exchange their entries by digest and are merged in digest
+``fan_in`` neighbouring runs exchange their entries by digest, sort them and merge them in digest
 order, keeping per text the identifier that stays and the number of rows. After
 log(runs) / log(fan_in) rounds one run is left. A task merges at most ``fan_in`` entries of
 a text, however many copies it has: copies within a run are combined before the first
@@ -11,14 +11,15 @@ exchange.
 An entry agrees with another only if the SHA-256 digest, the byte length and an
 independent 64-bit hash all agree, so every level verifies what it merges.
 
-Defined cases: a null text counts as empty; a null doc_id stays only where all copies have
+Defined cases: a null text counts as empty; a very long text is read once, only its digest
+travels; a null doc_id stays only where all copies have
 none; of repeated rows (same doc_id and text) one stays; an empty table gives no rows;
 other columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillwise import session
@@ -42,21 +43,28 @@ def text_entries(docs: DataFrame) -> DataFrame:
 
 
 def merge_runs(entries: DataFrame, runs: int = 64, fan_in: int = 4) -> DataFrame:
-    """The entries merged to one per text: the identifier that stays and the number of rows."""
+    """The entries merged to one per text: the identifier that stays and the number of rows.
+
+    A round deals the runs it merges out by digest and sorts each part by digest and falling
+    identifier. The windows walk the sorted entries: the first of a text goes on, with the
+    rows of all of them, at most ``fan_in``.
+    """
     level = (
         entries.withColumn("run", F.pmod(F.xxhash64("doc_id"), F.lit(runs)))
         .groupBy("run", *TEXT_KEY)
         .agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size"))
     )
+    of_text = Window.partitionBy("run", *TEXT_KEY)
+    merged = of_text.orderBy(F.desc_nulls_last("keep_id"))
+    whole = merged.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     while runs > 1:
         runs = -(-runs // fan_in)
-        exchanged = (
+        level = (
             level.withColumn("run", F.floor(F.col("run") / fan_in))
-            .repartition("run", *TEXT_KEY)
-            .sortWithinPartitions("run", *TEXT_KEY)
-        )
-        level = exchanged.groupBy("run", *TEXT_KEY).agg(
-            F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size")
+            .withColumn("place", F.row_number().over(merged))
+            .withColumn("group_size", F.sum("group_size").over(whole))
+            .filter("place = 1")
+            .drop("place")
         )
     return level.drop("run")
 

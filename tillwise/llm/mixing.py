@@ -25,7 +25,8 @@ gives no rows; carried columns have neutral names, so any others may clash.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -153,20 +154,24 @@ def _step(histogram: DataFrame, state: DataFrame) -> DataFrame:
     )
 
 
-def _round(rows: pd.DataFrame) -> pd.DataFrame:
-    """Whole copies of one slice, largest documents first, following the words owed."""
-    rows = rows.sort_values(["size", "doc_id", "text_hash"], ascending=[False, True, True])
-    weight = (rows["size"] * rows["n"]).to_numpy(np.float64)
+def _round(rows: pa.Table) -> pa.Table:
+    """Whole copies of one slice, largest documents first, following the words owed.
+
+    Rows stay in Arrow columns, where a null leaves the ids beside it as they are.
+    """
+    order = [("size", "descending"), ("doc_id", "ascending"), ("text_hash", "ascending")]
+    rows = rows.take(pc.sort_indices(rows, sort_keys=order))
+    weight = pc.multiply(rows["size"], rows["n"]).to_numpy().astype(np.float64)
     rate = rows["rate"].to_numpy()
     least, most = np.floor(rate), np.ceil(rate)
-    copies = np.ones(len(rows), np.int64)
+    copies = np.ones(len(rate), np.int64)
     owed = 0.0
     for k, w in enumerate(weight):
         if w:
             owed += rate[k] * w
             copies[k] = min(max(np.floor(owed / w + 0.5), least[k]), most[k])
             owed -= copies[k] * w
-    return rows.drop(columns=["rate", "slice"]).assign(copies=copies)
+    return rows.drop_columns(["rate", "slice"]).append_column("copies", pa.array(copies))
 
 
 def copies(docs: DataFrame) -> DataFrame:
@@ -186,7 +191,7 @@ def copies(docs: DataFrame) -> DataFrame:
         .drop("of_source", "tilt", "scale", "slices")
     )
     kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rated.schema if f.name not in ("rate", "slice"))
-    return rated.groupBy("source", "slice").applyInPandas(_round, f"{kept}, copies long")
+    return rated.groupBy("source", "slice").applyInArrow(_round, f"{kept}, copies long")
 
 
 def mix(docs: DataFrame) -> DataFrame:
