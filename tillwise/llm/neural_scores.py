@@ -1,8 +1,8 @@
 """Language-model scores: a log-bilinear model, trained by noise-contrastive estimation.
 
 **Tokens.** Texts in lower case (A-Z), split at ASCII whitespace, each followed by one end.
-Counts of the training tokens are taken in the tasks and added up by Spark. The ``HEAD`` =
-262,144 most frequent words go to every task; all others get their counts by a join.
+Counts of the training tokens are taken in the tasks and added up by Spark. Up to ``HEAD`` =
+262,144 of the most frequent words go to every task; all others get their counts by a join.
 
 **Model.** Every token has a class: the end and the ``FREQUENT`` most frequent words one
 each, other words one of ``SPELLINGS`` by their first and last letters. The vector predicted
@@ -16,7 +16,7 @@ and to one unknown word. So the probabilities of all words add up to one after a
 to the tasks; each one goes through its documents in batches of ``BATCH`` tokens, separating
 them from ``NOISE`` classes drawn by frequency, with steps scaled per parameter. The
 changes, weighted by tokens and as whole numbers, are added up by Spark; what the driver
-gets is the size of the model, some 17,000 numbers. The model starts as the class frequencies, so a small
+gets is the size of the model, some 15,000 numbers. The model starts as the class frequencies, so a small
 table gives scores near those, never a failure.
 
 Defined cases: a null or empty text is one end; a null doc_id is not held out; rows with equal
@@ -42,9 +42,10 @@ from tillwise.llm.tables import Batches, kept_between_tasks, map_batches, named,
 
 HELD_OUT_OF, HELD_OUT = 7, 2
 HEAD = 1 << 18
-FREQUENT, SPELLINGS = 383, 128
+FREQUENT, SPELLINGS = 351, 96
 DIMENSIONS, CONTEXT = 16, 4
 ROUNDS, BATCH, NOISE, RATE = 4, 1_024, 64, 0.1
+SCORED_AT_ONCE = 256
 # Exponents up to this one, and sums over the classes, are single-precision numbers.
 LARGEST_EXPONENT = 80.0
 SEED = 11
@@ -52,6 +53,7 @@ SEED = 11
 PIECE_BYTES = 1 << 20
 # Different words a task counts, and tokens it gathers, before it passes them on.
 COUNTED_AT_ONCE, GATHERED_TOKENS = 400_000, 1 << 16
+COUNT_STEPS = 8
 # Changes are added up in units of 2^-24.
 FIXED_POINT = 24
 
@@ -129,11 +131,21 @@ class Vocabulary:
 def learn_vocabulary(counts: DataFrame) -> Vocabulary:
     """From the stored (word, n) of all training tokens.
 
-    The driver gets the ``HEAD`` most frequent words and one row per class.
+    The driver gets up to ``HEAD`` words and one row per class. Words are chosen from a
+    count on: the smallest step of ``COUNT_STEPS`` per doubling that leaves no more.
     """
-    by_count = counts.filter(F.col("word") != END.decode()).orderBy(F.desc("n"), "word").limit(HEAD)
-    found = by_count.toArrow()
+    own_words = counts.filter(F.col("word") != END.decode())
+    step = F.floor(F.log2("n") * COUNT_STEPS)
+    sizes = {row.step: row["count"] for row in own_words.groupBy(step.alias("step")).count().collect()}
+    total, least = 0, max(sizes, default=0) + 1
+    for at in sorted(sizes, reverse=True):
+        total += sizes[at]
+        if total > HEAD:
+            break
+        least = at
+    found = own_words.filter(step >= least).select("word", "n").toArrow()
     words = list(zip(found.column("word").cast(pa.binary()).to_pylist(), found.column("n").to_pylist()))
+    words.sort(key=lambda row: (-row[1], row[0]))
     own = {word: place + 1 for place, (word, _) in enumerate(words[:FREQUENT])} | {END: 0}
 
     def classified(batches: Batches) -> Batches:
@@ -190,24 +202,40 @@ class Model:
         model.bias[:] = np.log(noise)
         return model
 
-    def query(self, contexts: np.ndarray) -> np.ndarray:
-        return (self.given[contexts] * self.places).sum(axis=1)
+    def by_place(self) -> list[np.ndarray]:
+        """What a class adds to the query from each place before a token."""
+        return [self.given * weights for weights in self.places]
+
+    @staticmethod
+    def query(by_place: list[np.ndarray], contexts: np.ndarray) -> np.ndarray:
+        query = by_place[0].take(contexts[:, 0], axis=0)
+        for k in range(1, CONTEXT):
+            query += by_place[k].take(contexts[:, k], axis=0)
+        return query
 
     def log_probabilities(self, contexts: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """Natural logarithms of the normalised probabilities of the target classes."""
-        weights = self.query(contexts) @ self.predicted.T
-        weights += self.bias
-        own = weights[np.arange(len(targets)), targets].astype(np.float64)
-        if weights.max() > LARGEST_EXPONENT:
-            most = weights.max(axis=1)
-            weights -= most[:, None]
-            own -= most
-        np.exp(weights, out=weights)
-        return own - np.log((weights @ np.ones(CLASSES, np.float32)).astype(np.float64))
+        by_place, ones = self.by_place(), np.ones(CLASSES, np.float32)
+        # The bias is one more dimension, in which every query is 1.
+        predicted = np.append(self.predicted, self.bias[:, None], axis=1).T.copy()
+        weights, found = np.empty((SCORED_AT_ONCE, CLASSES), np.float32), np.empty(len(targets))
+        for first in range(0, len(targets), SCORED_AT_ONCE):
+            part = slice(first, first + SCORED_AT_ONCE)
+            query = self.query(by_place, contexts[part])
+            n = len(query)
+            here = np.matmul(np.append(query, ones[:n, None], axis=1), predicted, out=weights[:n])
+            own = here[np.arange(n), targets[part]].astype(np.float64)
+            if here.max() > LARGEST_EXPONENT:
+                most = here.max(axis=1)
+                here -= most[:, None]
+                own -= most
+            np.exp(here, out=here)
+            found[part] = own - np.log((here @ ones).astype(np.float64))
+        return found
 
     def train(self, contexts: np.ndarray, targets: np.ndarray, noise: np.ndarray, log_noise: np.ndarray, seen: Model) -> None:
         """One noise-contrastive step; ``seen`` adds up the squared slopes of every parameter."""
-        query = self.query(contexts)
+        query = self.query(self.by_place(), contexts)
         own = self.predicted[targets]
         log_data = (query * own).sum(axis=1) + self.bias[targets] - log_noise[targets]
         log_noises = query @ self.predicted[noise].T + (self.bias - log_noise)[noise]
@@ -219,15 +247,17 @@ class Model:
         slopes.predicted[:] = _added(targets, of_data[:, None] * query, CLASSES)
         slopes.predicted += _added(noise, of_noise.T @ query, CLASSES)
         slopes.bias[:] = np.bincount(targets, of_data, CLASSES) + np.bincount(noise, of_noise.sum(axis=0), CLASSES)
-        given = self.given[contexts]
-        slopes.places[:] = (given * of_query[:, None, :]).sum(axis=0)
-        slopes.given[:] = _added(contexts.ravel(), (self.places * of_query[:, None, :]).reshape(-1, DIMENSIONS), CLASSES + 1)
+        for k in range(CONTEXT):
+            of_class = _added(contexts[:, k], of_query, CLASSES + 1)
+            slopes.places[k] = (self.given * of_class).sum(axis=0)
+            slopes.given += self.places[k] * of_class
         seen.flat += slopes.flat**2
         self.flat -= RATE * slopes.flat / np.sqrt(seen.flat + 1e-6)
 
 
 def _logistic(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
+    with np.errstate(over="ignore"):
+        return 1 / (1 + np.exp(-x))
 
 
 def _added(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
@@ -345,10 +375,8 @@ def _scored(docs: DataFrame, shared: Broadcast[Vocabulary], model: Model) -> Dat
 
             def go(stream: Stream) -> None:
                 contexts, targets, owners = stream.taken()
-                for first in range(0, len(targets), BATCH):
-                    part = slice(first, first + BATCH)
-                    logs = own.log_probabilities(contexts[part], targets[part]) / math.log(10) + per_class[targets[part]]
-                    score[:] += np.bincount(owners[part], logs, n)
+                logs = own.log_probabilities(contexts, targets) / math.log(10) + per_class[targets]
+                score[:] += np.bincount(owners, logs, n)
 
             for row, text in enumerate(utf8(batch.column(1))):
                 before, tail = STARTS, Counter()
