@@ -49,7 +49,7 @@ HEAD = 1 << 18
 TILE = 1_024
 # Pairs in a tile from which on it is counted in a dense array.
 CROWDED = TILE * TILE // 32
-COUNTED_AT_ONCE, ENCODED_AT_ONCE, PAIRED_AT_ONCE = 400_000, 1 << 16, 1 << 21
+COUNTED_AT_ONCE, ENCODED_AT_ONCE, PAIRED_AT_ONCE = 400_000, 1 << 16, 1 << 19
 
 UNDETERMINED = "und"
 SEPARATORS = b".,;:!?\x0a\x0b\x0c\x0d"
