@@ -95,99 +95,6 @@ def test_trees_connect_without_all_pairs():
     assert sum(len(a) for a, _ in links) == len(members) - 1
 
 
-def jaccard(a, b):
-    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a.split(), b.split())]
-    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
-
-
-def test_similar_documents_leave_one_and_others_stay(spark):
-    rng = random.Random(8)
-    rows, partners = [], []
-    for _ in range(120):
-        base = text_of(rng, rng.randint(80, 400)).split()
-        copy = list(base)
-        for _ in range(rng.randint(0, max(1, len(base) // 60))):
-            copy[rng.randrange(len(copy))] = "changed"
-        partners.append((len(rows), len(rows) + 1, jaccard(" ".join(base), " ".join(copy))))
-        rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(copy))]
-    passage = text_of(rng, 60)
-    rows += [(len(rows) + k, f"{text_of(rng, 200)} {passage}") for k in range(40)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    kept = {r.doc_id for r in simhash.keep_representatives(docs, 5).collect()}
-    near = [(a, b) for a, b, j in partners if j >= 0.85]
-    assert len(near) > 30 and sum(b not in kept for _, b in near) >= 0.95 * len(near)
-    assert {a for a, _, _ in partners} <= kept
-    assert set(range(240, 280)) <= kept
-    assert all(b in kept for _, b, j in partners if j < 0.6)
-
-
-def brute_kept(rows, least=0.8):
-    """Smallest doc_id of each component of links at exactly the least similarity."""
-    shingles = {d: {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} for d, w in ((d, t.split()) for d, t in rows)}
-    root = {d: d for d in shingles}
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for a in shingles:
-        for b in shingles:
-            if a < b and len(shingles[a] & shingles[b]) >= least * len(shingles[a] | shingles[b]):
-                low, high = sorted((find(a), find(b)))
-                root[high] = low
-    return {d for d in shingles if find(d) == d}
-
-
-def test_stage_equals_brute_force_at_the_threshold(spark):
-    """Pairs around 0.8, and families of a template whose members link in part."""
-    rng, rows = random.Random(11), []
-
-    def changed(words, n):
-        words = list(words)
-        for place in rng.sample(range(len(words)), n):
-            words[place] = text_of(rng, 1) + str(rng.randrange(10**6))
-        return words
-
-    for _ in range(150):
-        base = text_of(rng, rng.randint(60, 300)).split()
-        rows += [base, changed(base, rng.randint(1, max(2, len(base) // 30)))]
-    for _ in range(3):
-        base = text_of(rng, 200).split()
-        rows += [changed(base, rng.randint(1, 5)) for _ in range(60)]
-    rng.shuffle(rows)
-    rows = [(k, " ".join(words)) for k, words in enumerate(rows)]
-    expected = brute_kept(rows)
-    assert 150 < len(expected) < len(rows) - 60
-    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    assert {r.doc_id for r in simhash.keep_representatives(docs, 5).collect()} == expected
-
-
-def test_every_pair_of_a_key_is_compared_once():
-    import pyarrow as pa
-
-    members, met = [(7, bytes([k])) for k in range(30)] + [(8, b"x")], set()
-    centers = 1
-    while members:
-        columns = [pa.array(c, t) for c, t in zip(zip(*[(k, m, m) for k, m in members]), (pa.int64(), pa.binary(), pa.binary()))]
-        batch = pa.RecordBatch.from_arrays(columns, ["key", "fp", "root"])
-        found = [r for out in simhash._compared(centers)(iter([batch[:9], batch[9:]])) for r in out.to_pylist()]
-        pairs = {(r["a"], r["b"]) for r in found if r["a"] is not None}
-        assert not pairs & met
-        met |= pairs
-        members = [(r["key"], r["b"]) for r in found if r["a"] is None]
-        centers *= simhash.CENTERS_GROWTH
-    assert len(met) == 30 * 29 // 2
-
-
-def test_a_repeated_word_counts_once():
-    rng = random.Random(4)
-    sets = [simhash.shingle_set(("the " * 300 + text_of(rng, 150)).encode(), 5) for _ in range(100)]
-    assert all(len(found) <= 151 for found in sets)
-    keys = [set(simhash.band_keys(found).tolist()) for found in sets]
-    assert not any(keys[a] & keys[b] or simhash.similar(sets[a], sets[b], 0.8) for a in range(100) for b in range(a))
-
-
 def test_a_key_may_span_batches(spark):
     fps = spark.range(3000).selectExpr("shiftleft(1L, cast(id % 60 as int)) + shiftleft(1L, cast((id * 7) % 59 as int)) as fp").distinct()
     found = simhash.links(fps).count()
@@ -199,13 +106,8 @@ def test_null_ids_repeats_and_clashing_columns(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, fp long")
     got = [(r.doc_id, r.component_id) for r in simhash.near_duplicates(docs).collect()]
     assert sorted(got, key=str) == sorted([(4, 4), (4, 4), (7, 7), (None, None), (None, None), (None, 4)], key=str)
-    kept = simhash.keep_representatives(docs, 5)
-    assert kept.columns == ["doc_id", "text", "fp"]
-    left = [(r.doc_id is None, r.text) for r in kept.collect()]
-    assert sorted(left, key=str) == sorted([(False, "a b c d e"), (False, None), (True, "alone")], key=str)
 
 
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(docs).count() == 0
-    assert simhash.keep_representatives(docs, 5).count() == 0

@@ -1,7 +1,6 @@
 """SimHash near-duplicates: Golay-code fuzzy hashing, join and verification.
 
-**By bits** (:func:`near_duplicates`). A fingerprint has 64 bits; two link when at most
-``MAX_BITS`` = 4 differ. It is cut into three segments of 22, 21 and 21 bits. Of four
+A fingerprint has 64 bits; two link when at most ``MAX_BITS`` = 4 differ. It is cut into three segments of 22, 21 and 21 bits. Of four
 differing bits at most two fall into the two segments with the fewest, so some pair of
 segments has (0 or 1, 0 or 1) or, failing that, one segment has none and each other one two:
 
@@ -13,25 +12,17 @@ segments has (0 or 1, 0 or 1) or, failing that, one segment has none and each ot
 
 That is about 45 keys for each *different* fingerprint, and no link is missed.
 
-**By similarity** (:func:`keep_representatives`). Four bits of 64 are far nearer than a
-similarity of 0.8 of the sets of shingles, so the stage compares the sets themselves: two
-texts link just if the Jaccard similarity of their sets of shingle hashes is at least 0.8.
-Candidates share one of ``BANDS`` = 50 keys, each made of the smallest hashes of the set
-under ``BAND_HASHES`` = 6 mixings: by calculation a pair at 0.8 shares none with a
-probability of 3e-7, and pairs at 0.2 share one in 0.3 % of cases. (Golay keys joined with a
-smallest hash would need some 290 rows a document for the same.) Within a key the first
-member is compared with all others, then the next 8, 64 and so on with what comes after
-them, as long as the members are not all connected; every pair that shares a key is
-compared or already connected, so only the keys can miss a link.
-
 Fingerprints that share a key meet in one place, where a search visits only unvisited members and
 reports the tree it walks: a group of n near copies gives at most n - 1 links per key and
 close to n comparisons per level, never all pairs. Every reported link is verified on all
 bits; the links of the trees connect exactly what all links would. Components follow from
 large-star and small-star rounds.
 
-Defined cases: null and empty texts have fingerprint zero and link like any other; fewer
-words than a shingle are one shingle; null doc_ids never name a component unless it has no
+Texts that are similar without being as near as that are the matter of
+:mod:`tillwise.llm.similar`, which starts from the same keys.
+
+Defined cases: a very long text is hashed 65,536 shingles at a time; null and empty texts
+have fingerprint zero and link like any other; fewer words than a shingle are one shingle; null doc_ids never name a component unless it has no
 other, and stay only then; rows with equal doc_id and text are one member; an empty table
 gives no rows; carried columns have neutral names, so any others may clash.
 """
@@ -50,30 +41,18 @@ from pyspark.sql import functions as F
 from tillwise import session
 from tillwise.llm import golay
 from tillwise.llm.components import components
-from tillwise.llm.tables import Batches, map_batches, named, neutral, restored, utf8
+from tillwise.llm.tables import Batches, map_batches, utf8
 
 SHINGLE_WORDS = 4
 SEED = 42
 MAX_BITS = 4
 HASHED_AT_ONCE = 65_536
 KEYED_AT_ONCE = 1_000
-COMPARED_AT_ONCE = 10_000
 
 SEGMENT_SHIFTS, SEGMENT_BITS = (0, 22, 43), (22, 21, 21)
 
 
-# By similarity: keys of a set, smallest hashes in each, shingles mixed at once.
-BANDS, BAND_HASHES = 50, 6
-SIMILARITY = 0.8
-MIXED_AT_ONCE = 512
-# First members of a key that a round compares with the rest, and how much more the next one does.
-CENTERS, CENTERS_GROWTH = 1, 8
-
-# Fixed value: odd multipliers, one for each smallest hash.
-MIXINGS = np.random.Generator(np.random.PCG64(SEED)).integers(0, 2**64, (BANDS * BAND_HASHES, 1), np.uint64) | np.uint64(1)
-
-
-def _shingle_hashes(text: bytes | None, shingle_words: int):
+def shingle_hashes(text: bytes | None, shingle_words: int):
     """Arrays of the 64-bit hashes of all shingles, big-endian bytes, a bounded number at once."""
     words = text.lower().split() if text else []
     if not words:
@@ -90,7 +69,7 @@ def _shingle_hashes(text: bytes | None, shingle_words: int):
         yield np.frombuffer(b"".join([digest(joined[a : b - 1], SEED) for a, b in spans]), ">u8")
 
 
-def _bit_counts(hashes: np.ndarray) -> np.ndarray:
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
     """How many of the hashes (big-endian) have each bit."""
     count = np.zeros(64, np.int64)
     bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1)
@@ -102,43 +81,12 @@ def _bit_counts(hashes: np.ndarray) -> np.ndarray:
 def fingerprint(text: bytes | None, shingle_words: int = SHINGLE_WORDS) -> int:
     """Bits set in more than half of the hashes of all shingles, as a signed number."""
     count, total = np.zeros(64, np.int64), 0
-    for hashes in _shingle_hashes(text, shingle_words):
-        count += _bit_counts(hashes)
+    for hashes in shingle_hashes(text, shingle_words):
+        count += bit_counts(hashes)
         total += len(hashes)
     return int(np.packbits(count * 2 > total).view(">i8")[0])
 
 
-def shingle_set(text: bytes | None, shingle_words: int) -> np.ndarray:
-    """The different shingle hashes of a text, sorted."""
-    found = [np.unique(hashes.astype(np.uint64)) for hashes in _shingle_hashes(text, shingle_words)]
-    if len(found) < 2:
-        return found[0] if found else np.empty(0, np.uint64)
-    return np.unique(np.concatenate(found))
-
-
-def set_id(hashes: np.ndarray) -> bytes:
-    """Equal for equal sets."""
-    return xxhash.xxh3_128_digest(hashes.tobytes())
-
-
-def band_keys(hashes: np.ndarray) -> np.ndarray:
-    """The join keys of a set."""
-    smallest = np.full(len(MIXINGS), 2**64 - 1, np.uint64)
-    for first in range(0, len(hashes), MIXED_AT_ONCE):
-        np.minimum(smallest, (hashes[first : first + MIXED_AT_ONCE] * MIXINGS).min(axis=1), out=smallest)
-    bands = smallest.reshape(BANDS, -1)
-    return np.array([xxhash.xxh64_intdigest(band.tobytes(), k) for k, band in enumerate(bands)], np.uint64).view(np.int64)
-
-
-def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
-    """Whether the Jaccard similarity of two sets is at least so much; empty sets are equal."""
-    small, large = sorted((len(a), len(b)))
-    if small < similarity * large:
-        return False
-    common = small + large - len(np.unique(np.concatenate([a, b])))
-    return common >= similarity * (small + large - common)
-
-
 def _described(docs: DataFrame, describe: Callable[[bytes | None], tuple], added: str) -> DataFrame:
     """doc_id, text_hash and the described columns of every document."""
     names = [column.split()[0] for column in added.split(", ")]
@@ -258,123 +206,21 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def _keyed_by_set(batches: Batches) -> Batches:
-    for batch in batches:
-        for first in range(0, len(batch), KEYED_AT_ONCE):
-            part = batch.slice(first, KEYED_AT_ONCE)
-            keys = np.frombuffer(b"".join(part.column(1).to_pylist()), "<i8")
-            rows = pa.array(np.repeat(np.arange(len(part)), BANDS))
-            yield pa.RecordBatch.from_arrays([pa.array(keys), part.column(0).take(rows)], ["key", "fp"])
-
-
-def _compared(centers: int) -> Callable[[Batches], Batches]:
-    """Pairs (a, b) of each key's first members with what comes after and has another root, and
-    the members after them, where two or more are left, as rows (key, null, b).
-
-    The rows (key, fp, root) come sorted by key and fp. Nothing but the first members and the
-    last one is held.
-    """
-
-    def compare(batches: Batches) -> Batches:
-        key, firsts, pending, place, rows = None, [], None, 0, []
-        for batch in batches:
-            for k, fp, root in zip(*(column.to_pylist() for column in batch.columns)):
-                if k != key:
-                    key, firsts, pending, place = k, [], None, 0
-                rows += [(k, other, fp) for other, other_root in firsts if other_root != root]
-                if place < centers:
-                    firsts.append((fp, root))
-                elif place == centers:
-                    pending = fp  # waits for a second one
-                else:
-                    rows += [(k, None, pending), (k, None, fp)] if pending is not None else [(k, None, fp)]
-                    pending = None
-                place += 1
-                if len(rows) >= COMPARED_AT_ONCE:
-                    yield _compared_rows(rows)
-                    rows = []
-        if rows:
-            yield _compared_rows(rows)
-
-    return compare
-
-
-def _compared_rows(rows: list[tuple]) -> pa.RecordBatch:
-    columns = [pa.array(column, kind) for column, kind in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary()))]
-    return pa.RecordBatch.from_arrays(columns, ["key", "a", "b"])
-
-
-def _sets(docs: DataFrame, wanted: DataFrame, shingle_words: int) -> DataFrame:
-    """(fp, hashes) of the wanted (fp, text_hash)."""
-
-    def compute(batches: Batches) -> Batches:
-        for batch in batches:
-            found = [shingle_set(text, shingle_words) for text in utf8(batch.column(0))]
-            columns = [pa.array([set_id(f) for f in found], pa.binary()), pa.array([f.tobytes() for f in found], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["fp", "hashes"])
-
-    texts = docs.select(named("text").alias("text"), F.xxhash64(named("text")).alias("text_hash"))
-    met = texts.join(wanted.select("text_hash").distinct(), "text_hash").dropDuplicates(["text_hash"])
-    return map_batches(met.select("text"), compute, "fp binary, hashes binary").dropDuplicates(["fp"])
-
-
-def similar_links(fps: DataFrame, docs: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
-    """Links (a, b), a > b, of sets at least so similar, that connect what all such links would.
-
-    ``fps`` has fp, its keys and text_hash, the text of one document with the set.
-    """
-
-    def verify(batches: Batches) -> Batches:
-        for batch in batches:
-            sides = [[np.frombuffer(h, np.uint64) for h in batch.column(k).to_pylist()] for k in (2, 3)]
-            near = pa.array([similar(a, b, similarity) for a, b in zip(*sides)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([c.filter(near) for c in batch.columns[:2]], ["a", "b"])
-
-    met = map_batches(fps.select("fp", "keys"), _keyed_by_set, "key long, fp binary")
-    centers, sets, found = CENTERS, None, None
-    while True:
-        rows = met.repartition("key").sortWithinPartitions("key", "fp")
-        rows = rows.select("key", "fp", "root" if "root" in met.columns else F.col("fp").alias("root"))
-        compared = session.stored(map_batches(rows, _compared(centers), "key long, a binary, b binary"), "similar-compared")
-        pairs = session.stored(compared.filter("a is not null").select("a", "b").distinct(), "similar-pairs")
-        if sets is None:
-            # Whoever shares a key with another one is in the pairs of the first round.
-            ids = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
-            sets = session.stored(_sets(docs, fps.select("fp", "text_hash").join(ids, "fp"), shingle_words), "similar-sets")
-        whole = pairs.join(sets.select(F.col("fp").alias("b"), F.col("hashes").alias("of_b")), "b")
-        whole = whole.join(sets.select(F.col("fp").alias("a"), F.col("hashes").alias("of_a")), "a")
-        near = map_batches(whole.select("a", "b", "of_a", "of_b"), verify, "a binary, b binary")
-        near = near.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        found = session.stored(near if found is None else found.union(near), "similar-links")
-        left = compared.filter("a is null").select("key", F.col("b").alias("fp"))
-        if left.isEmpty():
-            return found
-        roots = session.stored(components(found), "similar-roots").withColumnRenamed("node", "fp")
-        left = left.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-        left = session.stored(left, "similar-left")
-        apart = left.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
-        met = left.join(apart.select("key"), "key").select("key", "fp", "root")
-        centers *= CENTERS_GROWTH
-
-
 def _grouped(members: DataFrame, link: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Members with ``component``: the smallest member (last, doc_id, text_hash) it is connected with.
 
-    ``last`` puts null ids last. Members have doc_id, text_hash, copies, fp and perhaps
-    ``keys``, which go with fp.
+    ``last`` puts null ids last. Members have doc_id, text_hash, copies and fp.
     """
     members = session.stored(members, "members")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")).alias("first")
-    keyed_by = [F.min(c).alias(c) for c in members.columns if c == "keys"]
-    by_fp = session.stored(members.groupBy("fp").agg(*keyed_by, first), "fingerprints")
-    given = by_fp.withColumn("text_hash", F.col("first.text_hash")).drop("first")
-    roots = session.stored(components(link(given)), "components").withColumnRenamed("node", "fp")
+    by_fp = session.stored(members.groupBy("fp").agg(first), "fingerprints")
+    roots = session.stored(components(link(by_fp.select("fp"))), "components").withColumnRenamed("node", "fp")
     linked = by_fp.join(roots, "fp")
     smallest = linked.groupBy("root").agg(F.min("first").alias("component"))
     of_linked = linked.join(smallest, "root").select("fp", "component")
     alone = by_fp.join(roots, "fp", "left_anti").select("fp", F.col("first").alias("component"))
     groups = session.stored(of_linked.union(alone), "fingerprint-groups")
-    return members.drop("keys").join(groups, "fp")
+    return members.join(groups, "fp")
 
 
 def _counted(described: DataFrame) -> DataFrame:
@@ -387,7 +233,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> Data
     described = _described(docs, lambda text: (fingerprint(text, shingle_words),), "fp long")
     each = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))
     return (
-        _grouped(_counted(described), lambda fps: links(fps.select("fp")))
+        _grouped(_counted(described), links)
         .withColumn("copy", each)
         .select(
             "doc_id",
@@ -395,35 +241,3 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> Data
             F.col("component.doc_id").alias("component_id"),
         )
     )
-
-
-def similar_members(docs: DataFrame, shingle_words: int, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, text_hash, fp, copies, component) of every different row, grouped by similarity."""
-    def describe(text: bytes | None) -> tuple:
-        hashes = shingle_set(text, shingle_words)
-        return set_id(hashes), band_keys(hashes).astype("<i8").tobytes()
-
-    described = _described(docs, describe, "fp binary, keys binary")
-    return _grouped(_counted(described), lambda fps: similar_links(fps, docs, shingle_words, similarity))
-
-
-def keep_representatives(docs: DataFrame, shingle_words: int, similarity: float = SIMILARITY) -> DataFrame:
-    """One document of each group of similar ones, the one with the smallest id, with all its columns.
-
-    Should the row that stays be repeated, one of the repeats stays.
-    """
-    members = similar_members(docs, shingle_words, similarity)
-    is_first = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash") == F.col("component")
-    stays = session.stored(members.filter(is_first).select("doc_id", "text_hash", "copies"), "representatives")
-    columns = docs.columns
-    given = neutral(docs, columns).withColumn("text_hash", F.xxhash64(named(f"c{columns.index('text')}")))
-    doc_id = F.col(f"c{columns.index('doc_id')}")
-    kept = given.join(
-        stays.withColumnRenamed("text_hash", "stays_hash").withColumnRenamed("doc_id", "stays_id"),
-        doc_id.eqNullSafe(F.col("stays_id")) & (F.col("text_hash") == F.col("stays_hash")),
-    )
-    single = kept.filter("copies = 1")
-    if stays.filter("copies > 1").isEmpty():
-        return single.select(*restored(columns))
-    repeated = kept.filter("copies > 1").dropDuplicates(["stays_id", "stays_hash"])
-    return single.union(repeated).select(*restored(columns))
