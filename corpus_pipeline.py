@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tillwise import session
-from tillwise.llm import decontamination, language, line_dedup, mixing, simhash
+from tillwise.llm import decontamination, language, line_dedup, mixing, similar
 
 # Near duplicates of the pipeline compare shingles of five words.
 SHINGLE_WORDS = 5
@@ -27,8 +27,8 @@ def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    return simhash.keep_representatives(docs, SHINGLE_WORDS)
+    """One document of each group of near duplicates: SimHash and Golay keys, then the exact join."""
+    return similar.keep_representatives(docs, SHINGLE_WORDS)
 
 
 def remove_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
