@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from checks import oracle
 from tillwise import schema, session
 from tillwise.operators import cascade, paging, quality, statistics, stock, users
+from tillwise.operators.taken_ids import TakenIds
 from tillwise.plans import reports, sql_surface
 from tillwise.sources import mapping, staging
 from tillwise.sources.mapping import SourceTables, load_tables
 from tillwise.sources.tables import RetailTables, append_rows, read_tables, write_table
+from tillwise.sources.versions import VersionedTables
 from tillwise.streaming.ledger import SalesLedger
 from tillwise.streaming.live_stats import current_stats, start_live_stats
 
@@ -130,6 +132,47 @@ def _purchase_rejects(spark: SparkSession, folder: str) -> DataFrame:
     return _reasons_as_text(quality.violations(_checked_purchases(spark, folder)))
 
 
+def _purchase_rejects_indexed(spark: SparkSession, folder: str) -> DataFrame:
+    """The same by an index of ids in two generations; the purchases themselves are not read again."""
+    tables, work = load_tables(spark, folder), session.new_folder(spark, "taken-ids")
+    numbers = [
+        part.select(F.col("purchase_id").try_cast("bigint").alias("number")) for part in _before_and_after(tables.purchase)
+    ]
+    index = TakenIds.build(numbers[0], work, 1)
+    index.append(numbers[1], 2)
+    candidates = mapping.purchase_candidates(SourceTables(spark, folder))
+    checked = quality.check_purchases(
+        candidates, tables, F.lit(AS_OF).cast("date"), ID_DIGITS, lambda wanted: index.taken(wanted, 2)
+    )
+    return _reasons_as_text(quality.violations(checked))
+
+
+def _versioned_stats(spark: SparkSession, folder: str) -> DataFrame:
+    """The stored statistics in SQL before and after a refresh, by readers of both versions."""
+    before, batch = _before_and_after(load_tables(spark, folder).purchase)
+    store = VersionedTables(spark, session.new_folder(spark, "versions"))
+    opened = [store.load(RetailTables({"purchase": before}))]
+    opened.append(store.append_purchases(opened[0], batch))
+    views = []
+    for version in opened:
+        version.table(statistics.STORED).createOrReplaceTempView(statistics.STORED)
+        found = sql_surface.run(spark, f"SELECT * FROM {statistics.STORED}")
+        views.append(found.withColumn("version", F.lit(version.number)))
+    return _union(views)
+
+
+def _update_conflicts(tables: RetailTables) -> DataFrame:
+    """Stores given keys that clash: twice renamed, given twice, or taken."""
+    stores = tables.store.select(*STORE, "year_opened")
+    renamed = stores.filter("year_opened < 2000").select(
+        *STORE, F.floor(F.col("store_id") / 2).cast("int").alias("new_store_id"), F.col("store_location").alias("new_store_location")
+    )
+    twice = stores.filter("year_opened = 1995").select(
+        *STORE, (F.col("store_id") + 5000).cast("int").alias("new_store_id"), F.col("store_location").alias("new_store_location")
+    )
+    return cascade.update_conflicts(tables, "store", renamed.union(twice))
+
+
 def _without_old_stores(tables: RetailTables) -> RetailTables:
     return cascade.delete(tables, "store", tables.store.filter("year_opened < 1995").select(*STORE))
 
@@ -324,6 +367,8 @@ _QUERIES: dict[str, Query] = {
     "orphans": _on_tables(_orphans),
     "reference_audit": _on_tables(_reference_audit),
     "purchase_rejects": _purchase_rejects,
+    "purchase_rejects_indexed": _purchase_rejects_indexed,
+    "cascade_update_conflicts": _on_tables(_update_conflicts),
     "cascade_delete": _on_tables(lambda tables: _without_old_stores(tables).purchase.select("purchase_id", *STORE)),
     "cascade_delete_counts": _on_tables(_cascade_delete_counts),
     "cascade_update": _on_tables(_cascade_update),
@@ -338,6 +383,7 @@ _QUERIES: dict[str, Query] = {
     "stats_after_batch": _on_tables(_stats_after_batch),
     "average_step_rounded": _on_tables(lambda tables: statistics.step_rounded_average(tables.purchase)),
     "stored_stats": _stored_stats,
+    "versioned_stats": _versioned_stats,
     "purchase_append": _purchase_append,
     "stats_stream": _stats_stream,
     "stream_admitted": _stream_admitted,
@@ -366,6 +412,12 @@ _QUERIES: dict[str, Query] = {
         """
         SELECT purchase_id, sale_price(purchased_product_price_usd, discount_percent) AS sale_price FROM purchase"""
     ),
+    "sql_get_sale_price": _sql(
+        """
+        SELECT purchase_id, product_id, get_sale_price(purchase_id, product_id, store_id, customer_id) AS sale_price,
+               get_sale_price(purchase_id, product_id, store_id, customer_id + 1) AS of_another
+        FROM purchase WHERE store_id = 1 AND txn_date < DATE '1993-01-01'"""
+    ),
     "sql_logins": _sql("SELECT username, secret, authenticate(username, secret) AS result FROM attempt"),
     "sql_sales_view": _sql(
         """

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from tillwise import schema
@@ -166,6 +167,19 @@ def test_cascade_update(spark, table):
     assert quality.table_orphans(moved, "purchase").count() == 0
 
 
+def test_cascade_update_refuses_conflicts(spark, table):
+    columns = "store_id int, store_location string, new_store_id int, new_store_location string"
+    twice = spark.createDataFrame([(1, "A", 5, "AA"), (1, "A", 6, "AA")], columns)
+    with pytest.raises(cascade.KeyConflict, match="renamed twice"):
+        cascade.update(small_tables(table), "store", twice)
+    taken = spark.createDataFrame([(1, "A", 2, "A")], columns)
+    with pytest.raises(cascade.KeyConflict, match="taken"):
+        cascade.update(small_tables(table), "store", taken)
+    # The same row twice is one renaming.
+    same = spark.createDataFrame([(1, "A", 5, "AA")] * 2, columns)
+    assert cascade.update(small_tables(table), "store", same).store.count() == 3
+
+
 def test_user_rules(spark, table):
     taken = table("user_info", [("ann", "A", "B", "saltsalt", None, 0)])
     columns = "username string, secret string, is_admin int, first_name string, last_name string, is_store_manager string, phone_number string, employee_type string"

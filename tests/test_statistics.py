@@ -104,10 +104,17 @@ def test_negative_averages_round_away_from_zero(table):
 
 def test_an_outlier_does_not_enter_the_stepwise_fold(table):
     sales = purchases(table, [10, 20, 2_000_000, None, -3])
-    assert average(step_rounded_average(sales)) == {1: (2, "15.00")}
+    assert average(step_rounded_average(sales)) == {1: (5, "15.00")}
     assert sorted(str(r.discount_percent) for r in discount_outliers(sales).collect()) == ["-3", "2000000", "None"]
 
 
+def test_a_store_of_outliers_has_no_stepwise_average_and_a_wide_average_is_null(table):
+    assert {r.store_id: (r.num_purchases, r.avg_discount) for r in step_rounded_average(purchases(table, [-5, 300])).collect()} == {1: (2, None)}
+    assert average(step_rounded_average(purchases(table, [-5, 10, 20]))) == {1: (3, "13.33")}
+    row = finish(parts(purchases(table, [2000, 10]))).first()
+    assert (row.num_purchases, row.avg_discount) == (2, None)
+
+
 def test_large_sales_are_summed(spark):
     sales = spark.sql("SELECT 1L AS store_id, CAST(9999999999.99 AS DECIMAL(12,2)) AS purchased_product_price_usd, 0 AS discount_percent")
     assert sales.agg(total(F.col("purchased_product_price_usd"))).first()[0] == Decimal("9999999999.99")

@@ -48,24 +48,24 @@ AFTER_BOTH = (
 
 def test_batches_update_stock_and_statistics(spark, ledger):
     assert state(ledger) == ({"1": 5, "2": 5}, {1: ("10.00", 1, "0.00")}, [], 1)
-    ledger.apply_batch(batch(spark, *FIRST), 0)
+    ledger.apply_batch(batch(spark, *FIRST), 0, "one")
     assert state(ledger)[:2] == ({"1": 2, "2": 5}, {1: ("280.00", 4, "7.50")})
-    ledger.apply_batch(batch(spark, *SECOND), 1)
+    ledger.apply_batch(batch(spark, *SECOND), 1, "one")
     assert state(ledger) == AFTER_BOTH
 
 
 def test_replays_change_nothing(spark, ledger):
-    ledger.apply_batch(batch(spark, *FIRST), 0)
-    ledger.apply_batch(batch(spark, *FIRST), 0)
-    ledger.apply_batch(batch(spark, *SECOND), 1)
-    ledger.apply_batch(batch(spark, *SECOND), 1)
+    ledger.apply_batch(batch(spark, *FIRST), 0, "one")
+    ledger.apply_batch(batch(spark, *FIRST), 0, "one")
+    ledger.apply_batch(batch(spark, *SECOND), 1, "one")
+    ledger.apply_batch(batch(spark, *SECOND), 1, "one")
     assert state(ledger) == AFTER_BOTH
 
 
 def test_a_batch_leaves_no_intermediates(spark, ledger):
     shared = session.shared_folder(spark)
     before = {name for name, *_ in session.listing(spark, shared)} if os.path.isdir(shared) else set()
-    ledger.apply_batch(batch(spark, *FIRST), 0)
+    ledger.apply_batch(batch(spark, *FIRST), 0, "one")
     assert {name for name, *_ in session.listing(spark, shared)} <= before
     assert state(ledger)[3] == 4
 
@@ -88,7 +88,7 @@ def test_a_new_checkpoint_loses_nothing(spark, ledger, tmp_path):
 
 
 def test_an_overlong_id_is_refused_and_does_not_stop_the_stream(spark, ledger):
-    ledger.apply_batch(batch(spark, {"purchase_id": "30", "customer_id": "9" * 25}, {"purchase_id": "31"}), 0)
+    ledger.apply_batch(batch(spark, {"purchase_id": "30", "customer_id": "9" * 25}, {"purchase_id": "31"}), 0, "one")
     assert state(ledger)[2:] == ([("30", ("customer_id is unknown",))], 2)
 
 
@@ -97,14 +97,14 @@ def test_compaction_by_itself(spark, ledger, monkeypatch):
 
     monkeypatch.setattr(module, "COMPACT_AFTER", 2)
     for number in range(5):
-        ledger.apply_batch(batch(spark, {"purchase_id": str(50 + number)}), number)
+        ledger.apply_batch(batch(spark, {"purchase_id": str(50 + number)}), number, "one")
     assert ledger.last_commit()["base"] == 3 and ledger.last_commit()["batch_id"] == 4
     assert len(spark.read.parquet(f"{ledger.folder}/commits/*").inputFiles()) == 2
     assert state(ledger)[0] == {"1": 0, "2": 5} and ledger.purchases().count() == 6
 
 
 def test_a_batch_that_fails_before_its_commit_leaves_no_trace(spark, ledger, monkeypatch):
-    ledger.apply_batch(batch(spark, *FIRST), 0)
+    ledger.apply_batch(batch(spark, *FIRST), 0, "one")
     before = state(ledger)
 
     def fail(*_):
@@ -113,17 +113,17 @@ def test_a_batch_that_fails_before_its_commit_leaves_no_trace(spark, ledger, mon
     with monkeypatch.context() as patch:
         patch.setattr(SalesLedger, "_commit", fail)
         with pytest.raises(RuntimeError):
-            ledger.apply_batch(batch(spark, *SECOND), 1)
+            ledger.apply_batch(batch(spark, *SECOND), 1, "one")
     assert state(ledger) == before
-    ledger.apply_batch(batch(spark, *SECOND), 1)
+    ledger.apply_batch(batch(spark, *SECOND), 1, "one")
     assert state(ledger) == AFTER_BOTH
 
 
 def test_compaction_keeps_the_state(spark, ledger):
-    ledger.apply_batch(batch(spark, *FIRST), 0)
+    ledger.apply_batch(batch(spark, *FIRST), 0, "one")
     ledger.compact()
     ledger.compact()
-    ledger.apply_batch(batch(spark, *SECOND), 1)
+    ledger.apply_batch(batch(spark, *SECOND), 1, "one")
     assert state(ledger) == AFTER_BOTH
     ledger.compact()
     assert state(ledger) == AFTER_BOTH
@@ -141,7 +141,7 @@ def test_step_rounded_averages_follow_the_batches(spark, table, tmp_path):
             d = int(change["discount_percent"]) * 100
             expected = ((expected * expected_n + d) * 2 + expected_n + 1) // (2 * (expected_n + 1))
             expected_n += 1
-        ledger.apply_batch(batch(spark, *entered), number)
+        ledger.apply_batch(batch(spark, *entered), number, "one")
         row = ledger.step_rounded_averages().first()
         assert (row.store_id, row.num_purchases, int(row.avg_discount * 100)) == (1, expected_n, expected)
 

@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillwise import schema
+from tillwise import schema, session
 from tillwise.sources.tables import RetailTables
 
 NEW = "new_"
+SHOWN_CONFLICTS = 5
+
+
+class KeyConflict(Exception):
+    """Keys that cannot be renamed together."""
 
 
 def _affected(tables: RetailTables, parent: str) -> list[tuple[str, list[str]]]:
@@ -28,9 +33,15 @@ def delete(tables: RetailTables, parent: str, removed: DataFrame) -> RetailTable
 def update(tables: RetailTables, parent: str, renamed: DataFrame) -> RetailTables:
     """Tables with keys of ``parent`` replaced everywhere.
 
-    ``renamed`` has the key columns, unique, and each new value as ``new_<column>``; see
-    :func:`update_conflicts`.
+    ``renamed`` has the key columns and each new value as ``new_<column>``. Where
+    :func:`update_conflicts` finds any conflict nothing is renamed: a ``KeyConflict`` names
+    the first ones.
     """
+    key = schema.KEYS[parent]
+    renamed = session.stored(renamed.select(*key, *[NEW + c for c in key]).distinct(), "renamed-keys")
+    conflicts = update_conflicts(tables, parent, renamed).take(SHOWN_CONFLICTS)
+    if conflicts:
+        raise KeyConflict("; ".join(f"{row.asDict()}" for row in conflicts))
     replaced = {}
     for name, columns in _affected(tables, parent):
         table = tables[name]

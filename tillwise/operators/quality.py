@@ -6,7 +6,7 @@ quarantine them.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -130,18 +130,23 @@ def _number_rules(name: str, above: tuple[str, int] | None = None) -> list[tuple
 
 
 def check_purchases(
-    candidates: DataFrame, tables: RetailTables, as_of: Column | None = None, id_digits: int = ID_DIGITS
+    candidates: DataFrame,
+    tables: RetailTables,
+    as_of: Column | None = None,
+    id_digits: int = ID_DIGITS,
+    taken: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Candidate purchases, all columns as entered text, with the rules each breaks.
 
     ``as_of`` is the last valid transaction date, today by default; ``id_digits`` the width
-    of purchase and product ids. Rows that break no rule on their own are then compared with
+    of purchase and product ids. ``taken`` returns which of the numbers it is given (``number``) are
+    ids of purchases, by an index; without it the ids of all purchases are read. Rows that break no rule on their own are then compared with
     each other: identical copies count once, and different rows with one id are all refused,
     as a batch has no arrival order. The result of the first step is read three times, so
     it is stored.
     """
     today = F.current_date() if as_of is None else as_of
-    checked = session.stored(_check_each_purchase(candidates, tables, today, id_digits), "checked-purchases")
+    checked = session.stored(_check_each_purchase(candidates, tables, today, id_digits, taken), "checked-purchases")
     unique = passing(checked).distinct().withColumn("purchase_no", as_number(F.trim("purchase_id")))
     repeated = unique.groupBy("purchase_no").agg((F.count("*") > 1).alias("is_repeated"))
     compared = unique.join(repeated, "purchase_no").withColumn(
@@ -150,7 +155,13 @@ def check_purchases(
     return violations(checked).unionByName(compared.select(*checked.columns))
 
 
-def _check_each_purchase(candidates: DataFrame, tables: RetailTables, today: Column, id_digits: int) -> DataFrame:
+def _check_each_purchase(
+    candidates: DataFrame,
+    tables: RetailTables,
+    today: Column,
+    id_digits: int,
+    taken: Callable[[DataFrame], DataFrame] | None,
+) -> DataFrame:
     """Each table of known keys is first reduced to the keys the candidates name.
 
     The candidates are stored, so Catalyst knows their size: a small batch is broadcast to
@@ -170,8 +181,12 @@ def _check_each_purchase(candidates: DataFrame, tables: RetailTables, today: Col
     entered = session.stored(rows, "entered-purchases")
     store_no = F.col("store_id").cast("bigint").alias("store_no")
     stores = tables.store.select(store_no, F.col("store_location").alias("known_location"))
+    if taken is None:
+        ids = tables.purchase.select(as_number(F.col("purchase_id")).alias("purchase_no"))
+    else:
+        ids = taken(entered.select(F.col("purchase_no").alias("number"))).select(F.col("number").alias("purchase_no"))
     known = {
-        "is_taken": tables.purchase.select(as_number(F.col("purchase_id")).alias("purchase_no")),
+        "is_taken": ids,
         "is_customer": tables.customer.select(F.col("customer_id").cast("bigint").alias("customer_no")),
         "is_stocked": tables.inventory.select(
             as_number(F.col("product_id")).alias("product_no"), store_no, F.col("store_location").alias("location")

@@ -41,13 +41,17 @@ def merge(*batches: DataFrame) -> DataFrame:
 
 
 def finish(merged: DataFrame) -> DataFrame:
-    """The reported columns, with the exact average of the discounts that are known."""
+    """The reported columns, with the exact average of the discounts that are known.
+
+    An average that does not fit the declared column (discounts far outside the declared
+    range, see :func:`discount_outliers`) is NULL.
+    """
     average = exact_average(F.col("discount_total") * 100, F.col("discount_count"), 2)
     return merged.select(
         "store_id",
         "total_sales",
         "num_purchases",
-        average.cast("decimal(5,2)").alias("avg_discount"),
+        average.try_cast("decimal(5,2)").alias("avg_discount"),
         "min_price",
         "max_price",
     )
@@ -79,16 +83,16 @@ def read_stored(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def discount_outliers(purchase: DataFrame) -> DataFrame:
-    """Sales without a discount in the declared range; a stepwise average leaves them out."""
+    """Sales without a discount in the declared range; they count, but a stepwise average leaves them out."""
     return purchase.filter(~F.coalesce(F.col("discount_percent").between(*schema.DISCOUNT_RANGE), F.lit(False)))
 
 
 def step_rounded_average(purchase: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     """Average discount when it is rounded to cents after every single sale.
 
-    ``stored`` holds ``store_id, num_purchases, avg_discount`` from before. Sales with a
-    discount in the declared range count, in the order (txn_date, numeric purchase id);
-    :func:`discount_outliers` has the others.
+    ``stored`` holds ``store_id, num_purchases, avg_discount`` from before. All sales count, in
+    the order (txn_date, numeric purchase id); those of :func:`discount_outliers` leave the
+    average as it is, and a store that has only such sales has none.
 
     In hundredths of a percent, sale number ``n + 1`` moves the average ``a`` to
     ``a + (d - a) / (n + 1)``, rounded. Both lie in the declared range, so once ``n + 1``
@@ -97,8 +101,9 @@ def step_rounded_average(purchase: DataFrame, stored: DataFrame | None = None) -
     The first sales are found in slices of a store first, so that no task ranks all sales
     of a store and each slice passes on no more than the bound.
     """
-    sales = purchase.filter(F.col("store_id").isNotNull() & F.col("discount_percent").between(*schema.DISCOUNT_RANGE))
-    discount = F.col("discount_percent").cast("bigint") * 100
+    sales = purchase.filter(F.col("store_id").isNotNull())
+    in_range = F.col("discount_percent").between(*schema.DISCOUNT_RANGE)
+    discount = F.when(in_range, F.col("discount_percent").cast("bigint") * 100)
     low, high = schema.DISCOUNT_RANGE
     moving = 2 * 100 * (high - low)
     added = sales.groupBy("store_id").agg(F.count("*").alias("added"))
@@ -128,9 +133,10 @@ def step_rounded_average(purchase: DataFrame, stored: DataFrame | None = None) -
     )
     folded = F.aggregate(
         "sales",
-        F.struct(F.coalesce("a0", F.lit(0)).cast("bigint").alias("a"), F.col("n0").alias("n")),
+        F.struct(F.col("a0").alias("a"), F.col("n0").alias("n")),
         lambda state, sale: F.struct(
-            divided(state["a"] * state["n"] + sale["d"], state["n"] + 1).alias("a"), (state["n"] + 1).alias("n")
+            F.coalesce(divided(state["a"] * state["n"] + sale["d"], state["n"] + 1), state["a"], sale["d"]).alias("a"),
+            (state["n"] + 1).alias("n"),
         ),
         lambda state: state["a"],
     )

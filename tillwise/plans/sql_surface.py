@@ -50,11 +50,16 @@ FUNCTIONS = [
 
 
 def register(spark: SparkSession, tables: RetailTables) -> None:
-    """Create the views and functions in the session; existing ones are replaced."""
+    """Create the views and functions in the session; existing ones are replaced.
+
+    A derived result that ``tables`` has as a stored table (``mv_store_sales_stats`` of a
+    version) is read as stored, not computed again.
+    """
     for name in tables.names():
         tables[name].createOrReplaceTempView(name)
     for name, report in DERIVED.items():
-        report(tables).createOrReplaceTempView(name)
+        if name not in tables:
+            report(tables).createOrReplaceTempView(name)
     for definition in FUNCTIONS:
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {definition}")
 

@@ -96,3 +96,28 @@ def remove(spark: SparkSession, folder: str) -> None:
     """Delete a folder that this library has written."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()).exists(found)
+
+
+def create_file(spark: SparkSession, path: str, text: str) -> bool:
+    """A small file that appears whole or not at all; False where there is one already.
+
+    The text is written beside the path and renamed, which file systems refuse for a name
+    that is taken.
+    """
+    jvm = spark._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    draft = jvm.org.apache.hadoop.fs.Path(target.getParent(), f"_draft-{uuid.uuid4().hex}")
+    files.mkdirs(target.getParent())
+    stream = files.create(draft, False)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    if not files.exists(target) and files.rename(draft, target):
+        return True
+    files.delete(draft, False)
+    return False
