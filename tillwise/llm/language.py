@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillwise import session
-from tillwise.llm.tables import Batches, ddl, map_batches, named, neutral, restored
+from tillwise.llm.tables import Batches, ddl, map_batches, named, neutral, restored, values
 
 SAMPLE_DOCS = 128
 SAMPLE_CHARS_PER_DOC = 2048
@@ -180,7 +180,7 @@ def identify(docs: DataFrame, models: list[tuple[str, int, bytes, bytes]], carry
         costs = WordCosts(shared.value)
         for batch in batches:
             found, scores = [], []
-            for text in batch.column(text_at).to_pylist():
+            for text in values(batch.column(text_at)):
                 letters, *cost = costs.of_text(text)
                 if letters == 0 or not names:
                     found.append(UNDETERMINED)

@@ -49,7 +49,7 @@ BUCKET_BITS = 18
 BUCKETS = 1 << BUCKET_BITS
 # First members of a hash that a round compares with the rest, and how many more the next one does.
 CENTERS, CENTERS_GROWTH = 1, 8
-EMITTED_AT_ONCE, REMEMBERED_SETS = 50_000, 200_000
+EMITTED_AT_ONCE, REMEMBERED_SETS = 50_000, 20_000
 
 
 def shingle_set(text: bytes | None, shingle_words: int) -> np.ndarray:

@@ -30,9 +30,19 @@ def ddl(df: DataFrame, added: str) -> str:
     return ", ".join([*own, added])
 
 
-def utf8(column: pa.Array) -> list[bytes | None]:
+# Rows of a batch that are Python objects at a time.
+ROWS_AT_ONCE = 256
+
+
+def values(column: pa.Array) -> Iterator:
+    """The values of a column, some hundred at a time as Python objects."""
+    for first in range(0, len(column), ROWS_AT_ONCE):
+        yield from column.slice(first, ROWS_AT_ONCE).to_pylist()
+
+
+def utf8(column: pa.Array) -> Iterator[bytes | None]:
     """Texts as UTF-8 bytes, without decoding them."""
-    return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
+    return values(column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()))
 
 
 def map_batches(df: DataFrame, work: Callable[[Batches], Batches], schema: str) -> DataFrame:
