@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillwise import session
-from tillwise.llm.tables import Batches, kept_between_tasks, map_batches, named, utf8
+from tillwise.llm.tables import Batches, kept_between_tasks, map_batches, named, utf8, values
 
 MIN_COUNT, LONGEST, TOP = 100, 5, 2_000
 PER_SCORE = 1_000
@@ -49,7 +49,7 @@ HEAD = 1 << 18
 TILE = 1_024
 # Pairs in a tile from which on it is counted in a dense array.
 CROWDED = TILE * TILE // 32
-COUNTED_AT_ONCE, ENCODED_AT_ONCE, PAIRED_AT_ONCE = 400_000, 1 << 16, 1 << 19
+COUNTED_AT_ONCE, ENCODED_AT_ONCE, PAIRED_AT_ONCE = 200_000, 1 << 13, 1 << 19
 
 UNDETERMINED = "und"
 SEPARATORS = b".,;:!?\x0a\x0b\x0c\x0d"
@@ -75,18 +75,20 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
     def count(batches: Batches) -> Batches:
         found: defaultdict[str, Counter[bytes]] = defaultdict(Counter)
+        held = 0
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1))):
+            for lang, text in zip(values(batch.column(0)), utf8(batch.column(1))):
                 words = tokens(text)
                 own = found[lang]
-                breaks = own[BREAK]
+                breaks, before = own[BREAK], len(own)
                 own.update(words)
                 own[BREAK] = breaks + len(words) - words.count(BREAK)
-                if len(own) >= COUNTED_AT_ONCE:
-                    yield _counted(lang, own)
-                    own.clear()
-        for lang, own in found.items():
-            yield _counted(lang, own)
+                held += len(own) - before
+                if held >= COUNTED_AT_ONCE:
+                    yield from (_counted(lang, own) for lang, own in found.items())
+                    found.clear()
+                    held = 0
+        yield from (_counted(lang, own) for lang, own in found.items())
 
     counted = map_batches(_given(docs), count, "lang string, word string, n long")
     return counted.groupBy("lang", "word").agg(F.sum("n").alias("n"))
@@ -124,7 +126,7 @@ class Words(dict):
 
 
 def encode(docs: DataFrame, words: DataFrame, n_words: int) -> DataFrame:
-    """(key, ids): the documents as ids, some ten thousand words a row, stored."""
+    """(key, ids): the documents as ids, some thousand words a row, stored."""
     head = words.filter(F.col("id") < HEAD).orderBy("id").select("lang", "word").toArrow()
     rows = list(zip(head.column("lang").to_pylist(), head.column("word").cast(pa.binary()).to_pylist()))
     shared = docs.sparkSession.sparkContext.broadcast(rows)
@@ -133,7 +135,7 @@ def encode(docs: DataFrame, words: DataFrame, n_words: int) -> DataFrame:
     def work(batches: Batches) -> Batches:
         known, held, unknown, size = kept_between_tasks("phrase-words", shared.value, Words), [], {}, 0
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1))):
+            for lang, text in zip(values(batch.column(0)), utf8(batch.column(1))):
                 words, own = tokens(text), known.get(lang, {})
                 if is_whole:
                     ids = np.array([own.get(word, GAP) for word in words], np.int64)
@@ -194,7 +196,7 @@ def _filled(encoded: DataFrame, found: DataFrame, fill) -> DataFrame:
     def work(batches: Batches) -> Batches:
         for batch in batches:
             new = []
-            for places, ids, old in zip(batch.column(0), batch.column(1), batch.column(batch.num_columns - 1).to_pylist()):
+            for places, ids, old in zip(batch.column(0), batch.column(1), values(batch.column(batch.num_columns - 1))):
                 sides = [np.array(side.as_py() or [], np.int64) for side in (places, ids)]
                 new.append(fill(np.frombuffer(old, np.int64).copy(), *sides).tobytes())
             yield pa.RecordBatch.from_arrays([*batch.columns[2:-1], pa.array(new, pa.binary())], names)
@@ -267,7 +269,7 @@ def count_pairs(encoded: DataFrame, shared: Broadcast[tuple[int, list[Level]]],
                 yield pa.RecordBatch.from_arrays([pa.array(side, pa.int64()) for side in sides], ["first", "last", "n"])
 
         for batch in batches:
-            for row in zip(*(column.to_pylist() for column in batch.columns)):
+            for row in zip(*(values(column) for column in batch.columns)):
                 words, phrases = np.frombuffer(row[0], np.int64), np.frombuffer(row[-1], np.int64)
                 for level in levels:
                     phrases, _, _ = next_phrases(phrases, words, n_words, level)
@@ -293,7 +295,7 @@ def _fill_level(
     def work(batches: Batches) -> Batches:
         n_words, levels = shared.value
         for batch in batches:
-            for row in zip(*(column.to_pylist() for column in batch.columns)):
+            for row in zip(*(values(column) for column in batch.columns)):
                 words, phrases = np.frombuffer(row[1], np.int64), np.frombuffer(row[-1], np.int64)
                 for level in levels:
                     phrases, at, code = next_phrases(phrases, words, n_words, level)
