@@ -18,6 +18,7 @@ from tillwise.sources.tables import RetailTables, append_rows, read_tables, writ
 from tillwise.sources.versions import VersionedTables
 from tillwise.streaming.ledger import SalesLedger
 from tillwise.streaming.live_stats import current_stats, start_live_stats
+from tillwise.streaming.rounded_stats import current_averages, start_rounded_stats
 
 # The training-data operators and their pipeline are a part of their own, which may be absent.
 try:
@@ -248,6 +249,17 @@ def _stats_stream(spark: SparkSession, folder: str) -> DataFrame:
     return current_stats(spark.read.parquet(f"{work}/updates"))
 
 
+def _rounded_stats_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """The averages kept in keyed state over three runs of one stream."""
+    purchase = load_tables(spark, folder).purchase
+    work = session.new_folder(spark, "rounded-stats")
+    for part in range(ARRIVALS):
+        purchase.filter(F.pmod(F.col("customer_id"), F.lit(ARRIVALS)) == part).write.mode("append").parquet(f"{work}/arrivals")
+        arrivals = spark.readStream.schema(purchase.schema).parquet(f"{work}/arrivals")
+        start_rounded_stats(arrivals, f"{work}/updates", f"{work}/checkpoint").awaitTermination()
+    return current_averages(spark.read.parquet(f"{work}/updates"))
+
+
 _ledgers: dict[tuple, SalesLedger] = {}
 
 
@@ -386,6 +398,7 @@ _QUERIES: dict[str, Query] = {
     "versioned_stats": _versioned_stats,
     "purchase_append": _purchase_append,
     "stats_stream": _stats_stream,
+    "rounded_stats_stream": _rounded_stats_stream,
     "stream_admitted": _stream_admitted,
     "stream_refused": _stream_refused,
     "stream_inventory": lambda spark, folder: _ledger(spark, folder).inventory().select(*ITEM, "qty"),

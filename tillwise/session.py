@@ -121,3 +121,17 @@ def create_file(spark: SparkSession, path: str, text: str) -> bool:
         return True
     files.delete(draft, False)
     return False
+
+
+@contextmanager
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A runtime setting for the length of a block."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
