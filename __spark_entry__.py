@@ -81,6 +81,12 @@ def _listed_items(tables: RetailTables) -> DataFrame:
     return tables.inventory.filter(F.col("product_id").cast("bigint") % 7 != 0)
 
 
+def _deep_page(spark: SparkSession, folder: str) -> DataFrame:
+    """A page far behind, by an index that holds no more than a page."""
+    items = reports.purchasable_items(load_tables(spark, folder))
+    return paging.PageIndex.build(items, ITEM, session.new_folder(spark, "pages")).page(501)
+
+
 def _known_items(tables: RetailTables) -> DataFrame:
     return reports.known_keys(tables.purchase.select("purchase_id", *ITEM), _listed_items(tables), ITEM)
 
@@ -359,6 +365,7 @@ _QUERIES: dict[str, Query] = {
     "next_ids": _on_tables(reports.next_ids),
     "purchasable_items": _on_tables(reports.purchasable_items),
     "purchasable_items_page": _on_tables(lambda tables: paging.page(reports.purchasable_items(tables), ITEM, 3)),
+    "purchasable_items_deep_page": _deep_page,
     "sale_prices_after": _on_tables(
         lambda tables: paging.page_after(reports.sale_prices(tables), ["purchase_id"], {"purchase_id": "5"})
     ),

@@ -160,3 +160,23 @@ def test_sql_surface(spark, tables):
     assert spark.sql("SELECT * FROM mv_store_sales_stats WHERE store_id = 1").first().num_purchases == 3
     double_quoted = spark.sql('SELECT count(*) FROM store WHERE store_id = 1 AND store_location = "A"')
     assert double_quoted.first()[0] == 1
+
+
+def test_page_index_reads_the_rows_of_a_page(spark, tmp_path):
+    rows = spark.range(5_003).selectExpr("id % 700 AS a", "id AS b", "'x' AS c").repartition(5)
+    index = paging.PageIndex.build(rows, ["a", "b"], str(tmp_path / "pages"), ranges=6)
+    expected = sorted((k % 700, k) for k in range(5_003))
+    assert index.page_count() == 501
+    for number in (1, 2, 37, 250, 500, 501, 502, 90_000):
+        found = index.page(number)
+        assert found.columns == ["a", "b", "c"]
+        assert [(r.a, r.b) for r in found.collect()] == expected[(number - 1) * 10 : number * 10]
+    # A page over the end of a range.
+    fences = {r.page_range: r.before for r in spark.read.parquet(f"{tmp_path}/pages/fences").collect()}
+    assert len(fences) > 1
+    edge = sorted(fences.values())[1]
+    assert [(r.a, r.b) for r in index.page(2, edge - 1).collect()] == expected[edge - 1 : 2 * (edge - 1)]
+    plan = index.page(250)._jdf.queryExecution().executedPlan().toString()
+    assert "page_place" in plan.split("PushedFilters: [")[1].split("]")[0] and "page_range" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    nothing = paging.PageIndex.build(rows.limit(0), ["a"], str(tmp_path / "none"))
+    assert nothing.page_count() == 0
