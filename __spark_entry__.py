@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from checks import oracle
 from tillwise import schema, session
 from tillwise.operators import cascade, paging, quality, statistics, stock, users
+from tillwise.operators.retraction import StoreStats
 from tillwise.operators.taken_ids import TakenIds
 from tillwise.plans import reports, sql_surface
 from tillwise.sources import mapping, staging
@@ -168,6 +169,23 @@ def _versioned_stats(spark: SparkSession, folder: str) -> DataFrame:
     return _union(views)
 
 
+def _stats_after_cascade(tables: RetailTables) -> DataFrame:
+    """Statistics after young customers and old stores are gone and other stores are renamed.
+
+    Of the sales only those of the deleted customers are read again.
+    """
+    stats = StoreStats.of(tables.purchase)
+    gone = tables.customer.filter("age < 20").select("customer_id")
+    old = tables.store.filter("year_opened < 1995")
+    renamed = tables.store.filter("year_opened BETWEEN 1995 AND 1999").select(
+        *STORE,
+        F.floor(F.col("store_id") / 2).cast("int").alias("new_store_id"),
+        F.concat("store_location", F.lit(" new")).alias("new_store_location"),
+    )
+    left = stats.minus(StoreStats.of(tables.purchase.join(gone, "customer_id", "left_semi")))
+    return left.without_stores(old).with_stores_renamed(renamed).finish()
+
+
 def _update_conflicts(tables: RetailTables) -> DataFrame:
     """Stores given keys that clash: twice renamed, given twice, or taken."""
     stores = tables.store.select(*STORE, "year_opened")
@@ -387,6 +405,7 @@ _QUERIES: dict[str, Query] = {
     "reference_audit": _on_tables(_reference_audit),
     "purchase_rejects": _purchase_rejects,
     "purchase_rejects_indexed": _purchase_rejects_indexed,
+    "stats_after_cascade": _on_tables(_stats_after_cascade),
     "cascade_update_conflicts": _on_tables(_update_conflicts),
     "cascade_delete": _on_tables(lambda tables: _without_old_stores(tables).purchase.select("purchase_id", *STORE)),
     "cascade_delete_counts": _on_tables(_cascade_delete_counts),
