@@ -41,7 +41,8 @@ _loaded: dict[tuple, RetailTables | DataFrame] = {}
 # Several tables are made from the order lines at a time.
 _lines_lock = threading.Lock()
 
-# An order line's number leaves room for so many lines with one order and line number.
+# An order line's number leaves room for so many lines with one order and line number, or the next
+# power of ten that holds the most of them.
 REPEATS = 1000
 LINE_ORDER = [
     "l_partkey",
@@ -105,13 +106,19 @@ def _lines(source: SourceTables) -> DataFrame:
     the order in which they are read.
     """
     place = F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy(*LINE_ORDER))
-    numbered = source("lineitem").withColumn(
-        "line_no", (F.col("l_orderkey") * 10 + F.col("l_linenumber")) * REPEATS + place - 1
+    lines = source("lineitem")
+    most = lines.groupBy("l_orderkey", "l_linenumber").count().agg(F.max("count")).first()[0] or 1
+    room = max(REPEATS, 10 ** len(str(most - 1)))
+    numbered = lines.withColumns(
+        {
+            "line_no": (F.col("l_orderkey") * 10 + F.col("l_linenumber")) * room + place - 1,
+            "line_room": F.lit(room).cast("bigint"),
+        }
     )
     orders = source("orders").select("o_orderkey", "o_custkey", "o_orderdate")
     ordered = numbered.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     return _add_store(ordered, source, "l_suppkey").select(
-        "l_orderkey", "l_linenumber", *LINE_ORDER, "line_no", "o_custkey", "o_orderdate", "store_id", "store_location"
+        "l_orderkey", "l_linenumber", *LINE_ORDER, "line_no", "line_room", "o_custkey", "o_orderdate", "store_id", "store_location"
     )
 
 
@@ -195,9 +202,9 @@ def purchase_candidates(source: SourceTables) -> DataFrame:
     Lines with odd numbers come with ids already taken, others with new ids, two lines to
     an id where lines share order and line number. Some orders have overlong ids.
     """
-    order, repeat = F.col("l_orderkey") % 50, F.col("line_no") % REPEATS
+    order, repeat = F.col("l_orderkey") % 50, F.col("line_no") % F.col("line_room")
     first = F.col("line_no") - repeat
-    new = F.when(F.col("l_linenumber") % 2 == 0, first + REPEATS // 2 + F.floor(repeat / 2)).otherwise(first)
+    new = F.when(F.col("l_linenumber") % 2 == 0, first + F.floor(F.col("line_room") / 2) + F.floor(repeat / 2)).otherwise(first)
 
     def unless(broken: int, value: Column) -> Column:
         return F.when(order == broken, F.lit(OVERLONG)).otherwise(value.cast("bigint").cast("string"))
