@@ -328,6 +328,14 @@ def _loaded_users(source: SourceTables) -> RetailTables:
     return users.add_users(mapping.repeated_requests(source), mapping.names_in_debt(source), mapping.SALT_KEY)
 
 
+def _users_any_case(source: SourceTables) -> DataFrame:
+    """The load of names in either case, where a name counts in any."""
+    asked = mapping.repeated_requests(source)
+    capital = F.when(F.col("arrival") % 3 == 0, F.upper("username")).otherwise(F.initcap("username"))
+    requests = asked.withColumn("username", capital)
+    return users.public_users(users.add_users(requests, mapping.names_in_debt(source), mapping.SALT_KEY, "UTF8_LCASE").user_info)
+
+
 def _digests_as_text(user_info: DataFrame) -> DataFrame:
     return user_info.select("username", "salt", F.hex("password_hash").alias("password_hash"))
 
@@ -432,6 +440,7 @@ _QUERIES: dict[str, Query] = {
     "stream_stats": lambda spark, folder: _ledger(spark, folder).stats(),
     # Users.
     "user_load": _on_source(lambda source: users.public_users(_loaded_users(source).user_info)),
+    "user_load_any_case": _on_source(_users_any_case),
     "user_load_clients": _on_source(lambda source: _loaded_users(source).client),
     "user_load_admins": _on_source(lambda source: _loaded_users(source).admin),
     "user_digest": _on_tables(lambda tables: _digests_as_text(tables.user_info)),

@@ -71,3 +71,16 @@ def test_a_digest_held_twice_is_refused(spark):
 
 def test_public_columns(spark):
     assert users.public_users(add(spark, REQUESTS).user_info).columns == ["username", "first_name", "last_name", "is_admin"]
+
+
+def test_names_in_any_case_under_a_collation(spark):
+    rows = [(2, "Bob", "b", 0, "B", "B", 0, "1", None), (1, "bob", "a", 0, "A", "A", 0, "1", None), (3, "ANN", "c", 0, "C", "C", 0, "1", None)]
+    present = spark.createDataFrame([("Ann",)], "username string")
+    requests = spark.createDataFrame(rows, REQUEST)
+    assert {r.username for r in users.add_users(requests, present, "key").user_info.collect()} == {"Bob", "bob", "ANN"}
+    added = users.add_users(requests, present, "key", "UTF8_LCASE").user_info
+    assert [(r.username, r.first_name) for r in added.collect()] == [("bob", "A")]
+    asked = spark.createDataFrame([("BOB", "a"), ("bob", "A"), ("bob", "a")], "username string, secret string")
+    for collation, expected in ((None, [0, 0, 1]), ("UTF8_LCASE", [1, 0, 1])):
+        results = {(r.username, r.secret): r.result for r in users.check_digests(asked, added, collation).collect()}
+        assert [results[pair] for pair in [("BOB", "a"), ("bob", "A"), ("bob", "a")]] == expected

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillwise import schema
@@ -13,15 +13,25 @@ from tillwise.sources.tables import RetailTables
 REFUSED, CLIENT, ADMIN = 0, 1, 2
 
 
-def add_users(requests: DataFrame, user_info: DataFrame, salt_key: str) -> RetailTables:
+NAME_KEY = "name_key"
+
+
+def name_key(collation: str | None) -> Column:
+    """The user name as it is compared: byte by byte, or under a collation (``UTF8_LCASE``)."""
+    name = F.col("username") if collation is None else F.collate("username", collation)
+    return name.alias(NAME_KEY)
+
+
+def add_users(requests: DataFrame, user_info: DataFrame, salt_key: str, collation: str | None = None) -> RetailTables:
     """Rows to append to ``user_info``, ``client`` and ``admin``.
 
     Of several requests for one name the earliest ``arrival`` wins; names already present
-    are skipped.
+    are skipped. Under a collation ``Bob`` and ``bob`` are one name, spelled as the first asked.
     """
-    details = [c for c in requests.columns if c not in ("username", "arrival")]
-    first = requests.groupBy("username").agg(F.min_by(F.struct(*details), "arrival").alias("request"))
-    new = first.select("username", "request.*").join(user_info, "username", "left_anti")
+    details = [c for c in requests.columns if c != "arrival"]
+    keyed = requests.select(name_key(collation), "arrival", F.struct(*details).alias("details"))
+    first = keyed.groupBy(NAME_KEY).agg(F.min_by("details", "arrival").alias("request"))
+    new = first.join(user_info.select(name_key(collation)), NAME_KEY, "left_anti").select("request.*")
     salted = new.withColumn("salt", salt(F.col("username"), salt_key))
     digest = digest_bytes(salted_digest(F.col("salt"), F.col("secret")))
     is_admin = F.coalesce(F.col("is_admin") == 1, F.lit(False))
@@ -34,17 +44,19 @@ def add_users(requests: DataFrame, user_info: DataFrame, salt_key: str) -> Retai
     )
 
 
-def check_digests(attempts: DataFrame, user_info: DataFrame) -> DataFrame:
+def check_digests(attempts: DataFrame, user_info: DataFrame, collation: str | None = None) -> DataFrame:
     """``username, secret`` attempts with ``result``: 0 refused, 1 client, 2 administrator.
 
-    The digest made with the named user's salt must be stored for exactly one user.
+    The digest made with the named user's salt must be stored for exactly one user. Names are
+    compared as in :func:`add_users`; the secret counts as it is.
     """
-    salts = user_info.select("username", "salt", "is_admin")
+    salts = user_info.select(name_key(collation), "salt", "is_admin")
     stored = user_info.groupBy("password_hash").agg(F.count("*").alias("holders"))
     digest = digest_bytes(salted_digest(F.col("salt"), F.col("secret")))
     accepted = F.when(F.col("is_admin") == 1, ADMIN).otherwise(CLIENT)
     return (
-        attempts.join(salts, "username", "left")
+        attempts.withColumn(NAME_KEY, name_key(collation))
+        .join(salts, NAME_KEY, "left")
         .withColumn("password_hash", digest)
         .join(stored, "password_hash", "left")
         .select(*attempts.columns, F.when(F.col("holders") == 1, accepted).otherwise(REFUSED).alias("result"))
