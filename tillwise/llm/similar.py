@@ -15,7 +15,7 @@ one document of each group that links connect stays.
    much can still be shared behind the common hash, rule out further pairs.
 3. **Rounds.** Sets that share a hash meet sorted in one place, where the first is compared
    with all others; whoever is then connected needs no comparison with each other. Where
-   some are not, the next 8, 64 and so on are compared with those after them. A pair is
+   some are not, the next 64, 4,096 and so on are compared with those after them. A pair is
    compared once, and never inside a group.
 
 No step guesses: every pair at 0.8 or more is compared or already connected.
@@ -48,7 +48,7 @@ SIMILARITY = Fraction(4, 5)
 BUCKET_BITS = 18
 BUCKETS = 1 << BUCKET_BITS
 # First members of a hash that a round compares with the rest, and how many more the next one does.
-CENTERS, CENTERS_GROWTH = 1, 8
+CENTERS, CENTERS_GROWTH = 1, 64
 EMITTED_AT_ONCE, REMEMBERED_SETS = 50_000, 20_000
 
 
@@ -263,37 +263,48 @@ class Links:
 
     def __init__(self, docs: DataFrame, by_set: DataFrame, shingle_words: int):
         self.docs, self.by_set, self.shingle_words = docs, by_set, shingle_words
-        self.sets, self.found, self.tested = None, None, None
+        self.found, self.tested, self._roots = None, None, None
 
     def roots(self) -> DataFrame:
-        return session.stored(components(self.found), "similar-roots")
+        """(node, root) of what the links so far connect, made once for them."""
+        if self._roots is None:
+            with session.cleared(self.docs.sparkSession, "component-edges"):
+                self._roots = session.stored(components(self.found), "similar-roots")
+        return self._roots
 
     def verify(self, pairs: DataFrame) -> None:
         """Compare the whole sets of pairs that are neither connected nor compared yet."""
         pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
         if self.found is not None:
-            roots = self.roots()
             for side in ("a", "b"):
-                of = roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
+                of = self.roots().select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
                 pairs = pairs.join(of, side, "left")
             apart = F.coalesce("root_a", "a") != F.coalesce("root_b", "b")
             pairs = pairs.filter(apart).select("a", "b").join(self.tested, ["a", "b"], "left_anti")
         pairs = whole = session.stored(pairs, "similar-pairs")
-        ids = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        wanted = session.stored(self.by_set.join(ids, "node").select("text_hash").distinct(), "similar-wanted")
-        sets = session.stored(_sets(self.docs, wanted, self.shingle_words), "similar-sets")
-        for side in ("a", "b"):
-            whole = whole.join(sets.select(F.col("node").alias(side), F.col("hashes").alias(f"of_{side}")), side)
-        common = F.size(F.array_intersect("of_a", "of_b"))
-        union = F.size("of_a") + F.size("of_b") - common
-        p, q = SIMILARITY.numerator, SIMILARITY.denominator
-        near = whole.filter(common * q >= union * p).select("a", "b")
-        self.found = session.stored(near if self.found is None else self.found.union(near), "similar-links")
+        if self.found is not None and pairs.isEmpty():
+            return
+        with session.cleared(self.docs.sparkSession, "similar-wanted", "similar-sets"):
+            ids = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+            wanted = session.stored(self.by_set.join(ids, "node").select("text_hash").distinct(), "similar-wanted")
+            sets = session.stored(_sets(self.docs, wanted, self.shingle_words), "similar-sets")
+            for side in ("a", "b"):
+                whole = whole.join(sets.select(F.col("node").alias(side), F.col("hashes").alias(f"of_{side}")), side)
+            common = F.size(F.array_intersect("of_a", "of_b"))
+            union = F.size("of_a") + F.size("of_b") - common
+            p, q = SIMILARITY.numerator, SIMILARITY.denominator
+            near = session.stored(whole.filter(common * q >= union * p).select("a", "b"), "similar-links")
         self.tested = pairs if self.tested is None else self.tested.union(pairs)
+        if self.found is None:
+            self.found = near
+        elif not near.isEmpty():
+            # What is connected goes on as links to roots.
+            stars = self.roots().filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+            self.found, self._roots = stars.union(near), None
 
 
-def similar_links(docs: DataFrame, by_set: DataFrame, counts: np.ndarray, shingle_words: int) -> DataFrame:
-    """Links that connect what all links of similar sets would.
+def similar_roots(docs: DataFrame, by_set: DataFrame, counts: np.ndarray, shingle_words: int) -> DataFrame:
+    """(node, root) of every set that is similar to another one.
 
     ``by_set`` has node, fp, size and the text_hash of one document with the set.
     """
@@ -312,15 +323,17 @@ def similar_links(docs: DataFrame, by_set: DataFrame, counts: np.ndarray, shingl
         roots = [F.col("root.s1").alias("r1"), F.col("root.s2").alias("r2")] if "root" in met.columns else []
         rows = met.repartition("key").sortWithinPartitions(*order).select(*order, *roots)
         schema = "key long, s1 long, s2 long, size long, place long, o1 long, o2 long"
-        out = session.stored(map_batches(rows, compared(centers), schema), "similar-compared")
-        gathered.verify(out.filter("o1 is not null").select(node("s1", "s2").alias("a"), node("o1", "o2").alias("b")))
-        left = out.filter("o1 is null").drop("o1", "o2").withColumn("node", node("s1", "s2"))
-        if left.isEmpty():
-            return gathered.found
-        left = left.join(gathered.roots(), "node", "left").withColumn("root", F.coalesce("root", "node"))
-        left = session.stored(left, "similar-left")
+        with session.cleared(docs.sparkSession, "similar-compared"):
+            out = session.stored(map_batches(rows, compared(centers), schema), "similar-compared")
+            gathered.verify(out.filter("o1 is not null").select(node("s1", "s2").alias("a"), node("o1", "o2").alias("b")))
+            left = out.filter("o1 is null").drop("o1", "o2").withColumn("node", node("s1", "s2"))
+            left = left.join(gathered.roots(), "node", "left").withColumn("root", F.coalesce("root", "node"))
+            left = session.stored(left, "similar-left")
         apart = left.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
-        met = left.join(apart.select("key"), "key")
+        apart = session.stored(apart.select("key"), "similar-apart")
+        if apart.isEmpty():
+            return gathered.roots()
+        met = left.join(apart, "key")
         centers *= CENTERS_GROWTH
 
 
@@ -337,8 +350,7 @@ def similar_members(docs: DataFrame, shingle_words: int) -> DataFrame:
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")).alias("first")
     by_set = members.groupBy("s1", "s2", "fp", "size").agg(first)
     by_set = session.stored(by_set.select(node("s1", "s2").alias("node"), "fp", "size", "first"), "similar-by-set")
-    found = similar_links(docs, by_set.withColumn("text_hash", F.col("first.text_hash")), counts, shingle_words)
-    roots = session.stored(components(found), "similar-roots")
+    roots = similar_roots(docs, by_set.withColumn("text_hash", F.col("first.text_hash")), counts, shingle_words)
     rooted = by_set.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component"))
     groups = rooted.select("node", "root").join(smallest, "root").select("node.s1", "node.s2", "component")
