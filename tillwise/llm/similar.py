@@ -15,7 +15,7 @@ one document of each group that links connect stays.
    much can still be shared behind the common hash, rule out further pairs.
 3. **Rounds.** Sets that share a hash meet sorted in one place, where the first is compared
    with all others; whoever is then connected needs no comparison with each other. Where
-   some are not, the next 64, 4,096 and so on are compared with those after them. A pair is
+   some are not, the next 16, 256 and so on are compared with those after them. A pair is
    compared once, and never inside a group.
 
 No step guesses: every pair at 0.8 or more is compared or already connected.
@@ -48,7 +48,7 @@ SIMILARITY = Fraction(4, 5)
 BUCKET_BITS = 18
 BUCKETS = 1 << BUCKET_BITS
 # First members of a hash that a round compares with the rest, and how many more the next one does.
-CENTERS, CENTERS_GROWTH = 1, 64
+CENTERS, CENTERS_GROWTH = 1, 16
 EMITTED_AT_ONCE, REMEMBERED_SETS = 50_000, 20_000
 
 
