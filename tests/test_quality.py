@@ -167,6 +167,22 @@ def test_cascade_update(spark, table):
     assert quality.table_orphans(moved, "purchase").count() == 0
 
 
+def test_cascade_update_merges_into_a_key_that_stays(spark, table):
+    columns = "store_id int, store_location string, new_store_id int, new_store_location string"
+    tables = small_tables(table)
+    taken = spark.createDataFrame([(1, "A", 2, "A")], columns)
+    years = {(r.store_id, r.store_location): r.year_opened for r in tables.store.collect()}
+    merged = cascade.update(tables, "store", taken, merge=True)
+    assert {(r.store_id, r.store_location): r.year_opened for r in merged.store.collect()} == {
+        key: year for key, year in years.items() if key != (1, "A")
+    }
+    assert merged.purchase.count() == tables.purchase.count() and merged.purchase.filter("store_id = 1 AND store_location = 'A'").count() == 0
+    assert quality.table_orphans(merged, "purchase").count() == 0
+    twice = spark.createDataFrame([(1, "A", 2, "A"), (1, "A", 6, "AA")], columns)
+    with pytest.raises(cascade.KeyConflict, match="renamed twice"):
+        cascade.update(tables, "store", twice, merge=True)
+
+
 def test_cascade_update_refuses_conflicts(spark, table):
     columns = "store_id int, store_location string, new_store_id int, new_store_location string"
     twice = spark.createDataFrame([(1, "A", 5, "AA"), (1, "A", 6, "AA")], columns)

@@ -10,6 +10,7 @@ from tillwise.sources.tables import RetailTables
 
 NEW = "new_"
 SHOWN_CONFLICTS = 5
+TAKEN = "new key is taken"
 
 
 class KeyConflict(Exception):
@@ -30,18 +31,24 @@ def delete(tables: RetailTables, parent: str, removed: DataFrame) -> RetailTable
     return tables.replacing(**kept)
 
 
-def update(tables: RetailTables, parent: str, renamed: DataFrame) -> RetailTables:
+def update(tables: RetailTables, parent: str, renamed: DataFrame, merge: bool = False) -> RetailTables:
     """Tables with keys of ``parent`` replaced everywhere.
 
     ``renamed`` has the key columns and each new value as ``new_<column>``. Where
     :func:`update_conflicts` finds any conflict nothing is renamed: a ``KeyConflict`` names
-    the first ones.
+    the first ones. With ``merge`` a new key may be that of a row which keeps its own: the rows
+    that refer to either then refer to that one, which stays as it is, and the renamed row of
+    ``parent`` goes.
     """
     key = schema.KEYS[parent]
     renamed = session.stored(renamed.select(*key, *[NEW + c for c in key]).distinct(), "renamed-keys")
-    conflicts = update_conflicts(tables, parent, renamed).take(SHOWN_CONFLICTS)
-    if conflicts:
-        raise KeyConflict("; ".join(f"{row.asDict()}" for row in conflicts))
+    conflicts = update_conflicts(tables, parent, renamed)
+    refused = (conflicts.filter(F.col("reason") != TAKEN) if merge else conflicts).take(SHOWN_CONFLICTS)
+    if refused:
+        raise KeyConflict("; ".join(f"{row.asDict()}" for row in refused))
+    if merge:
+        merged = session.stored(conflicts.filter(F.col("reason") == TAKEN).select(*key), "merged-keys")
+        tables = tables.replacing(**{parent: tables[parent].join(merged, key, "left_anti")})
     replaced = {}
     for name, columns in _affected(tables, parent):
         table = tables[name]
@@ -65,7 +72,7 @@ def update_conflicts(tables: RetailTables, parent: str, renamed: DataFrame) -> D
     found = [
         ("key is renamed twice", renamed.join(repeated, key, "left_semi")),
         ("new key is given twice", renamed.join(shared, new, "left_semi")),
-        ("new key is taken", renamed.join(taken, new, "left_semi")),
+        (TAKEN, renamed.join(taken, new, "left_semi")),
     ]
     conflicts = [rows.select(*key, *new, F.lit(reason).alias("reason")) for reason, rows in found]
     return conflicts[0].unionByName(conflicts[1]).unionByName(conflicts[2])
