@@ -16,3 +16,14 @@ def test_more_lines_of_a_pair_than_usual_keep_numbers_of_their_own(spark, tmp_pa
     assert tuple(found) == (1_002, 1_002, 10_000)
     candidates = mapping.purchase_candidates(mapping.SourceTables(spark, str(tmp_path)))
     assert candidates.count() == 1_002
+
+
+def test_lines_are_shuffled_once(spark):
+    plan = mapping._lines(mapping.SourceTables(spark, SMALL))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 1 and "count(" not in plan
+
+
+def test_lines_take_the_place_among_those_with_one_order_and_number(spark):
+    rows = mapping.SourceTables(spark, SMALL).lines()
+    again = rows.groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n"), F.max(F.col("line_no") % 1000).alias("last"))
+    assert again.filter("n <> last + 1").count() == 0 and rows.count() == spark.read.parquet(f"{SMALL}/lineitem.parquet").count()

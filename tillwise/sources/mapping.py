@@ -72,7 +72,8 @@ class SourceTables:
         key = ("lines", self.spark.sparkContext.applicationId, self.folder, session.listing(self.spark, self.folder))
         with _lines_lock:
             if key not in _loaded:
-                _loaded[key] = session.stored(_lines(self), "order-lines")
+                lines = session.stored(_lines(self), "order-lines")
+                _loaded[key] = _numbered(lines, lines.agg(F.max("place")).first()[0] or 1)
         return _loaded[key]
 
 
@@ -100,26 +101,31 @@ def _add_store(rows: DataFrame, source: SourceTables, supplier_key: str) -> Data
 
 
 def _lines(source: SourceTables) -> DataFrame:
-    """Every order line; ``line_no`` is order, line number and place among lines that share both.
+    """Every order line with its order, store and ``place`` among lines that share order and line number.
 
-    Lines that agree in all columns are interchangeable, so the number does not depend on
-    the order in which they are read.
+    Lines that agree in all columns are interchangeable, so the place does not depend on
+    the order in which they are read. The lines are shuffled once, by order: the window on
+    order and line number and the join with the orders both keep to that partitioning.
     """
     place = F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy(*LINE_ORDER))
-    lines = source("lineitem")
-    most = lines.groupBy("l_orderkey", "l_linenumber").count().agg(F.max("count")).first()[0] or 1
+    by_order = source("lineitem").filter(F.col("l_orderkey").isNotNull()).repartition("l_orderkey")
+    placed = by_order.withColumn("place", place)
+    orders = source("orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    ordered = placed.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    return _add_store(ordered, source, "l_suppkey").select(
+        "l_orderkey", "l_linenumber", *LINE_ORDER, "place", "o_custkey", "o_orderdate", "store_id", "store_location"
+    )
+
+
+def _numbered(lines: DataFrame, most: int) -> DataFrame:
+    """Lines with ``line_no``: order, line number and place, of which there are ``most`` at most."""
     room = max(REPEATS, 10 ** len(str(most - 1)))
-    numbered = lines.withColumns(
+    return lines.withColumns(
         {
-            "line_no": (F.col("l_orderkey") * 10 + F.col("l_linenumber")) * room + place - 1,
+            "line_no": (F.col("l_orderkey") * 10 + F.col("l_linenumber")) * room + F.col("place") - 1,
             "line_room": F.lit(room).cast("bigint"),
         }
-    )
-    orders = source("orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    ordered = numbered.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    return _add_store(ordered, source, "l_suppkey").select(
-        "l_orderkey", "l_linenumber", *LINE_ORDER, "line_no", "line_room", "o_custkey", "o_orderdate", "store_id", "store_location"
-    )
+    ).drop("place")
 
 
 def _store(source: SourceTables) -> DataFrame:
