@@ -162,6 +162,15 @@ def test_sql_surface(spark, tables):
     assert double_quoted.first()[0] == 1
 
 
+def test_sql_surface_builds_the_tables_of_a_query_only(spark, tables):
+    def refuse():
+        raise AssertionError("a table that the query does not name")
+
+    some = RetailTables({**{name: refuse for name in tables.names()}, "store": tables.store})
+    sql_surface.register(spark, some, ["store", "store_directory"])
+    assert spark.sql("SELECT store_count(1), store_count(9) FROM store LIMIT 1").first()[:] == (2, 0)
+
+
 def test_page_index_reads_the_rows_of_a_page(spark, tmp_path):
     rows = spark.range(5_003).selectExpr("id % 700 AS a", "id AS b", "'x' AS c").repartition(5)
     index = paging.PageIndex.build(rows, ["a", "b"], str(tmp_path / "pages"), ranges=6)
