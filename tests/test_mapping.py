@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from tests.conftest import SMALL
+from tillwise import session
 from tillwise.sources import mapping
 
 
@@ -27,3 +28,21 @@ def test_lines_take_the_place_among_those_with_one_order_and_number(spark):
     rows = mapping.SourceTables(spark, SMALL).lines()
     again = rows.groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n"), F.max(F.col("line_no") % 1000).alias("last"))
     assert again.filter("n <> last + 1").count() == 0 and rows.count() == spark.read.parquet(f"{SMALL}/lineitem.parquet").count()
+
+
+def test_flat_rows_are_dealt_by_store_once(spark):
+    tables = mapping.load_tables(spark, SMALL)
+    limit = "spark.sql.autoBroadcastJoinThreshold"
+    with session.setting(spark, limit, "-1"), mapping._kept_partitions(spark):
+        plan = mapping.flat_rows(tables)._jdf.queryExecution().executedPlan().toString()
+    joins_with_stock_visits_and_traffic = plan[: plan.index("Inner", plan.index("FullOuter"))]
+    assert "hashpartitioning(product_id" not in joins_with_stock_visits_and_traffic
+    assert joins_with_stock_visits_and_traffic.count("REPARTITION_BY_COL") == 1
+
+
+def test_flat_rows_of_hot_stores_are_the_same(spark):
+    tables = mapping.load_tables(spark, SMALL)
+    some, none = mapping.flat_rows(tables, 600), mapping.flat_rows(tables)
+    sizes = [r["n"] for r in tables.purchase.groupBy("store_id", "store_location").agg(F.count("*").alias("n")).collect()]
+    assert min(sizes) <= 600 < max(sizes)
+    assert some.count() == none.count() and some.exceptAll(none).isEmpty() and none.exceptAll(some).isEmpty()

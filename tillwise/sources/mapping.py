@@ -17,6 +17,7 @@ from tillwise.functions.digests import digest_bytes, salt, salted_digest
 from tillwise.sources import staging
 from tillwise.sources.tables import RetailTables, read_tables, write_table
 
+STORE = ["store_id", "store_location"]
 # Fixed values of the mapping.
 CATEGORIES = {
     "STANDARD": "Clothing",
@@ -253,29 +254,59 @@ def stock_changes(source: SourceTables) -> DataFrame:
     )
 
 
-def flat_rows(tables: RetailTables) -> DataFrame:
+# A store with more purchases than this is joined by item and customer.
+HOT_STORE = 1_000_000
+
+
+def flat_rows(tables: RetailTables, hot_store: int = HOT_STORE) -> DataFrame:
     """Purchases with all attributes beside them, as in a flat sales file.
 
     A row carries the days of foot traffic whose day of month is the purchase number modulo
     31, where its store has such days; days without a purchase have rows of their own.
+
+    Stock, visits and traffic of a purchase belong to its store, so the purchases are shuffled once,
+    by store, for all three joins (under :func:`_kept_partitions`). Stores with more than
+    ``hot_store`` purchases are joined by the whole keys instead, which spread over many tasks.
     """
+    purchase, popularity = tables.purchase, tables.popularity
+    sizes = purchase.groupBy(*STORE).agg(F.count("*").alias("n"))
+    hot = session.stored(sizes.filter(F.col("n") > hot_store).select(*STORE), "hot-stores")
+    if hot.isEmpty():
+        return _flat(tables, purchase, popularity, True)
+    others = _flat(tables, purchase.join(hot, STORE, "left_anti"), popularity.join(hot, STORE, "left_anti"), True)
+    return others.unionByName(
+        _flat(tables, purchase.join(hot, STORE, "left_semi"), popularity.join(hot, STORE, "left_semi"), False)
+    )
+
+
+def _flat(tables: RetailTables, purchase: DataFrame, popularity: DataFrame, by_store: bool) -> DataFrame:
+    """Flat rows of some stores: their purchases and traffic, dealt by store or by the whole keys."""
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        return rows.repartition(*STORE) if by_store else rows
+
     day = F.dayofmonth("visit_date").alias("visit_day")
-    traffic = tables.popularity.select("store_id", "store_location", "visit_date", "foot_traffic", day)
-    purchases = tables.purchase.withColumn("visit_day", (F.col("purchase_id").cast("bigint") % 31).cast("int"))
-    item, store = ["product_id", "store_id", "store_location"], ["store_id", "store_location"]
+    traffic = popularity.select(*STORE, "visit_date", "foot_traffic", day)
+    purchases = purchase.withColumn("visit_day", (F.col("purchase_id").cast("bigint") % 31).cast("int"))
     joined = (
-        purchases.join(tables.product, "product_id")
+        dealt(purchases)
+        .join(tables.product, "product_id")
         .join(tables.customer, "customer_id")
-        .join(tables.inventory, item, "left")
-        .join(tables.customer_visits, ["customer_id", *store], "left")
-        .join(traffic, [*store, "visit_day"], "full")
-        .join(tables.store, store)
+        .join(dealt(tables.inventory), ["product_id", *STORE], "left")
+        .join(dealt(tables.customer_visits), ["customer_id", *STORE], "left")
+        .join(dealt(traffic), [*STORE, "visit_day"], "full")
+        .join(tables.store, STORE)
         .withColumn("purchase_date", F.col("txn_date"))
         .withColumn("is_favorite", F.col("is_favorite").cast("int"))
     )
     return joined.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.STAGING.fields])
 
 
+def _kept_partitions(spark: SparkSession):
+    """Rows that are dealt by a part of a join's key stay where they are."""
+    return session.setting(spark, "spark.sql.requireAllClusterKeysForCoPartition", "false")
+
+
 def user_requests(source: SourceTables) -> DataFrame:
     """One sign-up request per customer; every tenth is an administrator."""
     key = F.col("c_custkey")
@@ -434,7 +465,8 @@ def load_staging(spark: SparkSession, folder: str, mysql_coerce: bool = False) -
     key = ("staging", mysql_coerce, spark.sparkContext.applicationId, folder, session.listing(spark, folder))
     if key not in _loaded:
         target = session.new_folder(spark, "staging")
-        staging.write_flat(flat_rows(load_tables(spark, folder)), f"{target}/csv")
+        with _kept_partitions(spark):
+            staging.write_flat(flat_rows(load_tables(spark, folder)), f"{target}/csv", "gzip")
         read = staging.read_staging(spark, f"{target}/csv", mysql_coerce=mysql_coerce)
         _loaded[key] = staging.store_staging(read, f"{target}/typed")
         session.remove(spark, f"{target}/csv")

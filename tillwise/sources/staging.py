@@ -95,11 +95,11 @@ def store_staging(staging: DataFrame, folder: str) -> DataFrame:
     return staging.sparkSession.read.schema(staging.schema).parquet(folder)
 
 
-def write_flat(staging: DataFrame, path: str) -> None:
-    """Write staging rows in the flat layout."""
+def write_flat(staging: DataFrame, path: str, compression: str = "none") -> None:
+    """Write staging rows in the flat layout; readers take packed files by their names."""
     staging.select(*schema.STAGING.names).write.mode("overwrite").option("header", True).option(
         "nullValue", NULL_MARK
-    ).csv(path)
+    ).csv(path, compression=compression)
 
 
 def normalise(staging: DataFrame) -> RetailTables:
