@@ -289,9 +289,7 @@ def _flat(tables: RetailTables, purchase: DataFrame, popularity: DataFrame, by_s
     traffic = popularity.select(*STORE, "visit_date", "foot_traffic", day)
     purchases = purchase.withColumn("visit_day", (F.col("purchase_id").cast("bigint") % 31).cast("int"))
     joined = (
-        dealt(purchases)
-        .join(tables.product, "product_id")
-        .join(tables.customer, "customer_id")
+        dealt(purchases.join(tables.product, "product_id").join(tables.customer, "customer_id"))
         .join(dealt(tables.inventory), ["product_id", *STORE], "left")
         .join(dealt(tables.customer_visits), ["customer_id", *STORE], "left")
         .join(dealt(traffic), [*STORE, "visit_day"], "full")
