@@ -6,7 +6,7 @@ from collections import Counter
 
 import pytest
 
-from tillwise.llm import licenses
+from tillwise.llm import licenses, registry
 
 APACHE, MIT, GPL = licenses.TEMPLATES["Apache-2.0"][0], licenses.TEMPLATES["MIT"][0], licenses.TEMPLATES["GPL-3.0"][0]
 FILES = [
@@ -102,3 +102,21 @@ def test_null_ids_repeats_empty(spark):
     got = sorted((r.doc_id or 0, r.license or "", r.origin) for r in licenses.scan(docs).collect())
     assert got == [(0, "", "none"), (0, "MIT", "own"), (0, "MIT", "own"), (3, "", "none")]
     assert licenses.scan(docs.limit(0)).count() == 0
+
+
+def test_documents_inherit_from_a_text_that_is_mostly_a_license(spark, tmp_path):
+    rows = [
+        (1, "Some words.\n" + MIT, "en", "a"),
+        (2, "nothing of the kind", "en", "a"),
+        (3, "nothing of the kind", "fr", "a"),
+        (4, "word " * 200 + "\n" + GPL, "en", "b"),
+        (5, None, "en", "b"),
+        (6, APACHE + "\n" + "word " * 200, "en", "a"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.license, r.origin) for r in registry._licenses(spark, str(tmp_path)).collect()}
+    assert got == {
+        1: ("MIT", "own"), 2: ("MIT", "inherited"), 3: (None, "none"),
+        4: ("GPL-3.0", "own"), 5: (None, "none"), 6: ("Apache-2.0", "own"),
+    }

@@ -77,6 +77,13 @@ def _directory(path: Column) -> Column:
     return F.regexp_replace(path, "/?[^/]*$", "")
 
 
+def is_mostly_statements(text: Column) -> Column:
+    """Whether lines with a cue are half of the text or more, as in a license file."""
+    lines = F.filter(F.split(text, "\n", -1), lambda line: line.rlike(CUE))
+    share = F.length(F.array_join(lines, "")) * 2 >= F.length(text)
+    return F.coalesce(F.when(text.rlike(CUE), share), F.lit(False))
+
+
 def _statements(docs: DataFrame) -> DataFrame:
     """Different (doc_id, path, text_hash, statement) of all documents."""
     name = F.regexp_extract("path", "[^/]*$", 0)

@@ -37,8 +37,13 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def _licenses(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents as files: the source and the language are their directories."""
-    path = F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))
+    """Documents as files: the source and the language are their directories.
+
+    Texts that are mostly license statements are the license files of their directory.
+    """
+    number = F.col("doc_id").cast("string")
+    name = F.when(licenses.is_mostly_statements(F.col("text")), F.concat_ws(".", F.lit("LICENSE"), number)).otherwise(number)
+    path = F.concat_ws("/", "source", "lang", name)
     return licenses.scan(_table(spark, folder, "documents").select("doc_id", path.alias("path"), "text"))
 
 
