@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tillwise.llm import neural_scores as neural
@@ -136,3 +137,85 @@ def test_pieces_keep_words_whole(monkeypatch):
     monkeypatch.setattr(neural, "PIECE_BYTES", 7)
     text = "ab cdefghijklmnop  q r ÉÉÉÉÉÉ x" * 3
     assert [w for words in neural.pieces(text.encode()) for w in words] == text.encode().lower().split()
+
+
+@pytest.mark.parametrize("kind", [pa.string(), pa.large_string()])
+def test_words_in_a_row_are_those_of_the_texts(monkeypatch, kind):
+    monkeypatch.setattr(neural, "PIECE_BYTES", 60)
+    monkeypatch.setattr(neural, "BYTES_AT_ONCE", 100)
+    every_sign = "A" + "".join(f"{chr(k)}b" for k in range(128))
+    texts = [None, "", "x Y  z", " \t\n\x0b\x0c\r ", every_sign, " long ÉA" * 40, None, "x", "LONG" * 50, "", "a b", None, "", " A"] * 3
+    column = pa.array(["cut off", *texts], kind)[1:]
+    found = [[] for _ in texts]
+    wholes = []
+    for words in neural.words_of(column):
+        distinct = words.distinct.to_pylist()
+        assert len(set(distinct)) == len(distinct)
+        for row, own, is_whole in words.texts():
+            found[row] += [distinct[k] for k in words.codes[own]]
+            assert (words.rows()[own] == row).all()
+            wholes += [row] * is_whole
+    assert found == [(text or "").encode().lower().split() for text in texts]
+    assert wholes == list(range(len(texts)))
+
+
+def test_a_word_is_looked_up_once_for_many_texts(monkeypatch):
+    looked_up = []
+    vocabulary = neural.Vocabulary([(b"a", 2), (b"b", 1)], np.ones(neural.CLASSES, np.int64), np.ones(neural.CLASSES, np.int64))
+    places = neural.Places(vocabulary)
+    monkeypatch.setattr(neural.Places, "of", lambda self, words, of=neural.Places.of: looked_up.append(len(words)) or of(self, words))
+    column = pa.array(["a b other " * 50] * 1000)
+    at = np.concatenate([places.of(words.distinct)[words.codes] for words in neural.words_of(column)])
+    assert at.tolist() == [0, 1, 2 + neural.spelling(b"other")] * 50_000
+    assert sum(looked_up) == 3
+
+
+def a_stream(rng, sizes):
+    stream = neural.Stream()
+    for row, size in enumerate(sizes):
+        stream.add(row, neural.STARTS, rng.integers(0, neural.CLASSES, size).astype(np.int32), True)
+    return stream.taken()
+
+
+def test_a_step_is_that_of_each_token_and_place():
+    rng = np.random.default_rng(3)
+    noise_of = rng.random(neural.CLASSES) + 0.1
+    noise_of /= noise_of.sum()
+    log_noise = np.log(noise_of * neural.NOISE).astype(np.float32)
+    for sizes in ([2000], [5, 0, 40, 1, 900, 30]):
+        classes, at, owners = a_stream(rng, sizes)
+        assert np.bincount(owners).tolist() == [size + 1 for size in sizes]
+        at, drawn = at[7:907], rng.integers(0, neural.CLASSES, neural.NOISE)
+        model = neural.Model.first(noise_of)
+        model.places[:] = rng.random(model.places.shape)
+        first, seen = neural.Model(model.flat.astype(np.float64)), neural.Model(np.zeros(model.flat.size, np.float32))
+        model.train(classes, at, drawn, log_noise, seen)
+
+        slopes = neural.Model(np.zeros(first.flat.size))
+        for place in at:
+            context = classes[place - 1 - np.arange(neural.CONTEXT)]
+            query = (first.given[context] * first.places).sum(axis=0)
+            of_query = 0
+            for k, is_data in [(classes[place], 1), *((k, 0) for k in drawn)]:
+                of = 1 / (1 + np.exp(-(first.predicted[k] @ query + first.bias[k] - log_noise[k]))) - is_data
+                slopes.predicted[k] += of * query
+                slopes.bias[k] += of
+                of_query = of_query + of * first.predicted[k]
+            for j, k in enumerate(context):
+                slopes.given[k] += first.places[j] * of_query
+                slopes.places[j] += first.given[k] * of_query
+        assert np.sqrt(seen.flat) == pytest.approx(np.abs(slopes.flat), rel=1e-3, abs=1e-3)
+        moved = first.flat - neural.RATE * slopes.flat / np.sqrt(slopes.flat**2 + 1e-6)
+        assert model.flat == pytest.approx(moved, abs=2e-3)
+
+
+@pytest.mark.parametrize("scale", [0.1, 30.0])
+def test_probabilities_are_normalised_however_large_the_weights(scale):
+    rng = np.random.default_rng(4)
+    classes, at, _ = a_stream(rng, [0, 3, 1500, 7, 0, 0, 400])
+    model = neural.Model((rng.normal(0, scale, neural.Model.size())).astype(np.float32))
+    exact = neural.Model(model.flat.astype(np.float64))
+    contexts = classes[at[:, None] - np.arange(1, neural.CONTEXT + 1)]
+    weights = (exact.given[contexts] * exact.places).sum(axis=1) @ exact.predicted.T + exact.bias
+    expected = weights[np.arange(len(at)), classes[at]] - np.logaddexp.reduce(weights, axis=1)
+    assert model.log_probabilities(classes, at) == pytest.approx(expected, rel=1e-4, abs=1e-3)

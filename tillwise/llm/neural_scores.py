@@ -28,11 +28,12 @@ memory than its own bytes; an empty table gives no rows; other columns are ignor
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,12 +46,13 @@ HEAD = 1 << 18
 FREQUENT, SPELLINGS = 351, 96
 DIMENSIONS, CONTEXT = 16, 4
 ROUNDS, BATCH, NOISE, RATE = 4, 1_024, 64, 0.1
-SCORED_AT_ONCE = 256
-# Exponents up to this one, and sums over the classes, are single-precision numbers.
-LARGEST_EXPONENT = 80.0
+SCORED_AT_ONCE = 128
+# Powers of two with exponents up to this one, and sums over the classes, are single-precision numbers.
+LARGEST_EXPONENT = 112.0
 SEED = 11
 
-PIECE_BYTES = 1 << 20
+# Longer texts are read in pieces of this size, others together up to so many bytes.
+PIECE_BYTES, BYTES_AT_ONCE = 1 << 20, 1 << 23
 # Different words a task counts, and tokens it gathers, before it passes them on.
 COUNTED_AT_ONCE, GATHERED_TOKENS = 400_000, 1 << 16
 COUNT_STEPS = 8
@@ -82,34 +84,99 @@ def pieces(text: bytes | None) -> Iterator[list[bytes]]:
         start = stop
 
 
+class Words:
+    """Words of texts, or of a piece of one, in a row: the distinct ones, and which each word is."""
+
+    def __init__(self, words: pa.Array, first: int, ends: list[int], is_last: bool):
+        encoded = words.dictionary_encode()
+        self.distinct, self.codes = encoded.dictionary, encoded.indices.to_numpy()
+        # The row of the first text, where the words of each end, and whether the last is whole.
+        self.first, self.ends, self.is_last = first, ends, is_last
+
+    def texts(self) -> Iterator[tuple[int, slice, bool]]:
+        """(row, its words, whether the text ends here)."""
+        start = 0
+        for k, stop in enumerate(self.ends):
+            yield self.first + k, slice(start, stop), self.is_last or k + 1 < len(self.ends)
+            start = stop
+
+    def rows(self) -> np.ndarray:
+        """The row of every word."""
+        return self.first + np.repeat(np.arange(len(self.ends)), np.diff(self.ends, prepend=0))
+
+
+def words_of(column: pa.Array) -> Iterator[Words]:
+    """The words of all texts of a column, some megabytes at a time."""
+    is_large = pa.types.is_large_string(column.type)
+    column = column.cast(pa.large_binary() if is_large else pa.binary())
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    before, long_ones = np.cumsum(sizes) - sizes, np.append(np.flatnonzero(sizes > PIECE_BYTES), len(sizes))
+    first = 0
+    while first < len(sizes):
+        if sizes[first] > PIECE_BYTES:
+            for words in pieces(next(utf8(column.slice(first, 1)))):
+                yield Words(pa.array(words, pa.binary()), first, [len(words)], False)
+            yield Words(pa.array([], pa.binary()), first, [0], True)
+            first += 1
+            continue
+        stop = min(np.searchsorted(before, before[first] + BYTES_AT_ONCE), long_ones[np.searchsorted(long_ones, first)])
+        texts = column.slice(first, stop - first).view(pa.large_string() if is_large else pa.string())
+        parts = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, pa.scalar("", texts.type))))
+        # Whitespace at the start or end of a text leaves an empty part.
+        words = parts.flatten()
+        is_word = np.append(0, np.cumsum(pc.binary_length(words).to_numpy() > 0))
+        ends = is_word[np.cumsum(pc.list_value_length(parts).to_numpy())].tolist()
+        yield Words(words.filter(pc.greater(pc.binary_length(words), 0)).cast(pa.binary()), first, ends, True)
+        first = stop
+
+
 def spelling(word: bytes) -> int:
     """The class of a word without one of its own."""
-    return 1 + FREQUENT + (word[0] * 31 + word[-1] * 7 + word[(len(word) - 1) // 2 - 1 if len(word) > 2 else 0] + len(word) * 3) % SPELLINGS
+    return int(spellings(pa.array([word], pa.binary()))[0])
+
+
+def spellings(words: pa.Array) -> np.ndarray:
+    """The classes of words without ones of their own, by their first, last and a middle letter and their lengths."""
+    _, bounds, data = words.buffers()
+    bounds = np.frombuffer(bounds, np.int32)[words.offset :][: len(words) + 1]
+    letters, starts, sizes = np.frombuffer(data, np.uint8), bounds[:-1], np.diff(bounds)
+    first, last, middle = (letters[at].astype(np.int32) for at in (starts, bounds[1:] - 1, starts + np.maximum((sizes - 1) // 2 - 1, 0)))
+    return 1 + FREQUENT + (first * 31 + last * 7 + middle + sizes * 3) % SPELLINGS
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word, n) of all tokens of the texts; the end counts once a document."""
 
     def count(batches: Batches) -> Batches:
-        found: Counter[bytes] = Counter()
+        found, added, ends = _summed([]), [], 0
         for batch in batches:
-            for text in utf8(batch.column(0)):
-                for words in pieces(text):
-                    found.update(words)
-                found[END] += 1
+            ends += len(batch)
+            for words in words_of(batch.column(0)):
+                n = np.bincount(words.codes, minlength=len(words.distinct))
+                added.append(pa.table([words.distinct, n], COUNTED))
+                if sum(map(len, added)) >= COUNTED_AT_ONCE:
+                    found, added = _summed([found, *added]), []
                 if len(found) >= COUNTED_AT_ONCE:
-                    yield _counted(found)
-                    found.clear()
-        if found:
-            yield _counted(found)
+                    yield from _counted(found)
+                    found = _summed([])
+        if ends:
+            yield from _counted(_summed([found, *added, pa.table([[END], [ends]], COUNTED)]))
 
     counted = map_batches(docs.select(named("text").alias("text")), count, "word string, n long")
     return counted.groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _counted(found: Counter[bytes]) -> pa.RecordBatch:
-    words = pa.array(found.keys(), pa.binary()).cast(pa.string())
-    return pa.RecordBatch.from_arrays([words, pa.array(found.values(), pa.int64())], ["word", "n"])
+COUNTED = pa.schema([("word", pa.binary()), ("n", pa.int64())])
+
+
+def _summed(parts: list[pa.Table]) -> pa.Table:
+    """One row for each word."""
+    together = pa.concat_tables([COUNTED.empty_table(), *parts])
+    return together.group_by("word", use_threads=False).aggregate([("n", "sum")]).select(["word", "n_sum"]).rename_columns(["word", "n"])
+
+
+def _counted(found: pa.Table) -> list[pa.RecordBatch]:
+    return found.set_column(0, "word", found.column("word").cast(pa.string())).to_batches()
 
 
 class Vocabulary:
@@ -146,11 +213,13 @@ def learn_vocabulary(counts: DataFrame) -> Vocabulary:
     found = own_words.filter(step >= least).select("word", "n").toArrow()
     words = list(zip(found.column("word").cast(pa.binary()).to_pylist(), found.column("n").to_pylist()))
     words.sort(key=lambda row: (-row[1], row[0]))
-    own = {word: place + 1 for place, (word, _) in enumerate(words[:FREQUENT])} | {END: 0}
+    own = [END, *(word for word, _ in words[:FREQUENT])]
 
     def classified(batches: Batches) -> Batches:
         for batch in batches:
-            of = [own[word] if word in own else spelling(word) for word in utf8(batch.column(0))]
+            words = batch.column(0).cast(pa.binary())
+            place = pc.fill_null(pc.index_in(words, value_set=pa.array(own, pa.binary())), -1).to_numpy()
+            of = np.where(place < 0, spellings(words), place)
             yield pa.RecordBatch.from_arrays([pa.array(of, pa.int32()), batch.column(1)], ["class", "n"])
 
     sizes = map_batches(counts, classified, "class int, n long").groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("words"))
@@ -161,21 +230,21 @@ def learn_vocabulary(counts: DataFrame) -> Vocabulary:
 
 
 class Places(dict):
-    """Word -> its place among the frequent words, or behind them the class of its spelling."""
+    """Word -> its place among the frequent words; behind them come the classes, for other words."""
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__((word, place) for place, (word, _) in enumerate(vocabulary.words))
         self.head = len(vocabulary.words)
-        classes = [place + 1 if place < FREQUENT else spelling(word) for place, (word, _) in enumerate(vocabulary.words)]
-        self.classes = np.array(classes + list(range(CLASSES)), np.int32)
+        others = spellings(pa.array([word for word, _ in vocabulary.words[FREQUENT:]], pa.binary()))
+        self.classes = np.concatenate([np.arange(1, min(self.head, FREQUENT) + 1), others, np.arange(CLASSES)]).astype(np.int32)
         counts = np.array([n for _, n in vocabulary.words] + [0] * CLASSES, np.float64)
         self.log_counts = np.log10(counts + 1)
 
-    def __missing__(self, word: bytes) -> int:
-        return self.head + spelling(word)
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+    def of(self, words: pa.Array) -> np.ndarray:
+        at = np.fromiter(map(self.get, words.to_numpy(zero_copy_only=False), repeat(-1)), np.int64, len(words))
+        beyond = np.flatnonzero(at < 0)
+        at[beyond] = self.head + spellings(words.take(pa.array(beyond)))
+        return at
 
 
 class Model:
@@ -202,68 +271,91 @@ class Model:
         model.bias[:] = np.log(noise)
         return model
 
-    def by_place(self) -> list[np.ndarray]:
-        """What a class adds to the query from each place before a token."""
-        return [self.given * weights for weights in self.places]
-
-    @staticmethod
-    def query(by_place: list[np.ndarray], contexts: np.ndarray) -> np.ndarray:
-        query = by_place[0].take(contexts[:, 0], axis=0)
+    def query(self, vectors: np.ndarray) -> np.ndarray:
+        """What is predicted behind each ``CONTEXT`` of the vectors in a row, but the last ones."""
+        n = len(vectors) - CONTEXT
+        query = vectors[CONTEXT - 1 :][:n] * self.places[0]
         for k in range(1, CONTEXT):
-            query += by_place[k].take(contexts[:, k], axis=0)
+            query += vectors[CONTEXT - 1 - k :][:n] * self.places[k]
         return query
 
-    def log_probabilities(self, contexts: np.ndarray, targets: np.ndarray) -> np.ndarray:
-        """Natural logarithms of the normalised probabilities of the target classes."""
-        by_place, ones = self.by_place(), np.ones(CLASSES, np.float32)
-        # The bias is one more dimension, in which every query is 1.
-        predicted = np.append(self.predicted, self.bias[:, None], axis=1).T.copy()
-        weights, found = np.empty((SCORED_AT_ONCE, CLASSES), np.float32), np.empty(len(targets))
-        for first in range(0, len(targets), SCORED_AT_ONCE):
-            part = slice(first, first + SCORED_AT_ONCE)
-            query = self.query(by_place, contexts[part])
-            n = len(query)
-            here = np.matmul(np.append(query, ones[:n, None], axis=1), predicted, out=weights[:n])
-            own = here[np.arange(n), targets[part]].astype(np.float64)
-            if here.max() > LARGEST_EXPONENT:
-                most = here.max(axis=1)
-                here -= most[:, None]
-                own -= most
-            np.exp(here, out=here)
-            found[part] = own - np.log((here @ ones).astype(np.float64))
-        return found
-
-    def train(self, contexts: np.ndarray, targets: np.ndarray, noise: np.ndarray, log_noise: np.ndarray, seen: Model) -> None:
-        """One noise-contrastive step; ``seen`` adds up the squared slopes of every parameter."""
-        query = self.query(self.by_place(), contexts)
-        own = self.predicted[targets]
-        log_data = (query * own).sum(axis=1) + self.bias[targets] - log_noise[targets]
-        log_noises = query @ self.predicted[noise].T + (self.bias - log_noise)[noise]
-        of_data = _logistic(log_data) - 1
-        of_noise = _logistic(log_noises)
-
-        of_query = of_data[:, None] * own + of_noise @ self.predicted[noise]
+    def log_probabilities(self, stream: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Natural logarithms of the normalised probabilities of the classes at these places of a stream."""
+        ones = np.ones(CLASSES, np.float32)
+        # The bias is one more dimension, in which every query is 1. Weights are powers of two, which take half the time.
+        predicted = np.append(self.predicted, self.bias[:, None], axis=1) * np.float32(1 / math.log(2))
+        columns, reach = predicted.T.copy(), _longest(predicted)
+        weights, found = np.empty((SCORED_AT_ONCE, CLASSES), np.float32), np.empty(len(at))
+        for first in range(0, len(at), BATCH):
+            here = at[first : first + BATCH]
+            part = stream[here[0] - CONTEXT : here[-1] + 1]
+            query = self.query(self.given.take(part, axis=0)).take(here - here[0], axis=0)
+            query = np.append(query, ones[:1].repeat(len(here))[:, None], axis=1)
+            targets = stream[here]
+            own, sums, most = (np.zeros(len(here), np.float32) for _ in range(3))
+            is_near = _longest(query) * reach <= LARGEST_EXPONENT
+            for start in range(0, len(here), SCORED_AT_ONCE):
+                rows = slice(start, start + SCORED_AT_ONCE)
+                some = np.matmul(query[rows], columns, out=weights[: len(query[rows])])
+                own[rows] = some[np.arange(len(some)), targets[rows]]
+                if not is_near and some.max() > LARGEST_EXPONENT:
+                    most[rows] = some.max(axis=1)
+                    some -= most[rows, None]
+                np.matmul(np.exp2(some, out=some), ones, out=sums[rows])
+            found[first : first + BATCH] = own.astype(np.float64) - most - np.log2(sums.astype(np.float64))
+        return found * math.log(2)
+
+    def train(self, stream: np.ndarray, at: np.ndarray, noise: np.ndarray, log_noise: np.ndarray, seen: Model) -> None:
+        """One noise-contrastive step over these places of a stream; ``seen`` adds up the squared slopes of every parameter."""
+        part, at = stream[at[0] - CONTEXT : at[-1] + 1], at - at[0]
+        n, targets = len(part) - CONTEXT, part[CONTEXT:].take(at)
+        # Starts of texts stand between the tokens; nothing is predicted there.
+        query = self.query(self.given.take(part, axis=0)).take(at, axis=0)
+        own, drawn = self.predicted.take(targets, axis=0), self.predicted[noise]
+        of_data = _logistic((query * own).sum(axis=1) + self.bias[targets] - log_noise[targets])
+        of_data -= 1
+        of_noise = query @ drawn.T
+        of_noise += (self.bias - log_noise)[noise]
+        _logistic(of_noise)
+
+        of_query = of_noise @ drawn
+        of_query += of_data[:, None] * own
         slopes = Model(np.zeros(self.flat.size, np.float32))
-        slopes.predicted[:] = _added(targets, of_data[:, None] * query, CLASSES)
-        slopes.predicted += _added(noise, of_noise.T @ query, CLASSES)
+        slopes.predicted[:] = _added(_cells(targets), of_data[:, None] * query, CLASSES)
+        slopes.predicted += _added(_cells(noise), of_noise.T @ query, CLASSES)
         slopes.bias[:] = np.bincount(targets, of_data, CLASSES) + np.bincount(noise, of_noise.sum(axis=0), CLASSES)
+        spread, cells = np.zeros((n, DIMENSIONS)), _cells(part)
+        spread[at] = of_query
         for k in range(CONTEXT):
-            of_class = _added(contexts[:, k], of_query, CLASSES + 1)
+            before = slice(CONTEXT - 1 - k, CONTEXT - 1 - k + n)
+            of_class = _added(cells[before], spread, CLASSES + 1)
             slopes.places[k] = (self.given * of_class).sum(axis=0)
             slopes.given += self.places[k] * of_class
         seen.flat += slopes.flat**2
         self.flat -= RATE * slopes.flat / np.sqrt(seen.flat + 1e-6)
 
 
+def _longest(rows: np.ndarray) -> float:
+    """The length of the longest row."""
+    return math.sqrt(np.einsum("ij,ij->i", rows, rows).max())
+
+
 def _logistic(x: np.ndarray) -> np.ndarray:
+    """In place."""
     with np.errstate(over="ignore"):
-        return 1 / (1 + np.exp(-x))
+        np.exp(np.negative(x, out=x), out=x)
+        x += 1
+        return np.reciprocal(x, out=x)
+
+
+def _cells(rows: np.ndarray) -> np.ndarray:
+    """Where the dimensions of the rows are in a matrix without lines."""
+    return rows[:, None] * DIMENSIONS + np.arange(DIMENSIONS)
 
 
-def _added(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+def _added(cells: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     """Sums of the values by row."""
-    flat = (rows[:, None] * DIMENSIONS + np.arange(DIMENSIONS)).ravel()
-    return np.bincount(flat, values.ravel(), n * DIMENSIONS).reshape(n, DIMENSIONS)
+    return np.bincount(cells.ravel(), values.ravel(), n * DIMENSIONS).reshape(n, DIMENSIONS)
 
 
 class Stream:
@@ -272,23 +364,23 @@ class Stream:
     def __init__(self):
         self.parts, self.owners, self.tokens = [], [], 0
 
-    def add(self, owner: int, before: np.ndarray, classes: np.ndarray) -> np.ndarray:
-        """Add tokens of a text after the classes before them; returns the last ones."""
-        part = np.concatenate([before, classes])
+    def add(self, owner: int, before: np.ndarray, classes: np.ndarray, is_whole: bool) -> np.ndarray:
+        """Add tokens of a text after the classes before them, and its end; returns what is before the next ones."""
+        part = np.concatenate([before, classes, ENDS[: int(is_whole)]])
         self.parts.append(part)
-        self.owners.append((owner, len(classes)))
-        self.tokens += len(classes)
-        return part[-CONTEXT:]
+        self.owners.append((owner, len(part) - CONTEXT))
+        self.tokens += len(part) - CONTEXT
+        return STARTS if is_whole else part[-CONTEXT:]
 
     def taken(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(contexts, targets, owners) of every token."""
+        """(classes, places of the tokens among them, owners of the tokens)."""
         stream = np.concatenate(self.parts)
         is_token = np.ones(len(stream), bool)
         starts = np.cumsum([0, *(len(part) for part in self.parts[:-1])])
         is_token[(starts[:, None] + np.arange(CONTEXT)).ravel()] = False
         at = np.flatnonzero(is_token)
         owners = np.repeat(*(np.array(side) for side in zip(*self.owners)))
-        return stream[at[:, None] - np.arange(1, CONTEXT + 1)], stream[at], owners
+        return stream, at, owners
 
 
 STARTS = np.full(CONTEXT, START, np.int32)
@@ -308,21 +400,21 @@ def _trained(docs: DataFrame, shared: Broadcast[Vocabulary], model: Model) -> Mo
         own, seen, stream, trained = Model(start.copy()), Model(np.zeros(start.size, np.float32)), Stream(), 0
 
         def go(stream: Stream) -> None:
-            contexts, targets, _ = stream.taken()
-            for first in range(0, len(targets), BATCH):
+            classes, at, _ = stream.taken()
+            for first in range(0, len(at), BATCH):
                 drawn = np.minimum(np.searchsorted(sums, rng.random(NOISE) * sums[-1]), CLASSES - 1)
-                own.train(contexts[first : first + BATCH], targets[first : first + BATCH], drawn, log_noise, seen)
+                own.train(classes, at[first : first + BATCH], drawn, log_noise, seen)
 
+        before = STARTS
         for batch in batches:
-            for text in utf8(batch.column(0)):
-                before = STARTS
-                for words in pieces(text):
-                    before = stream.add(0, before, places.classes[places.of(words)])
-                stream.add(0, before, ENDS)
-                if stream.tokens >= GATHERED_TOKENS:
-                    go(stream)
-                    trained += stream.tokens
-                    stream = Stream()
+            for words in words_of(batch.column(0)):
+                classes = places.classes[places.of(words.distinct)][words.codes]
+                for _, own_words, is_whole in words.texts():
+                    before = stream.add(0, before, classes[own_words], is_whole)
+                    if is_whole and stream.tokens >= GATHERED_TOKENS:
+                        go(stream)
+                        trained += stream.tokens
+                        stream = Stream()
         if stream.tokens:
             go(stream)
             trained += stream.tokens
@@ -354,6 +446,16 @@ def train(docs: DataFrame, shared: Broadcast[Vocabulary]) -> Model:
     return model
 
 
+TAIL = pa.schema([("row", pa.int64()), ("tail", pa.binary()), ("times", pa.int32())])
+
+
+def _by_row(rows: np.ndarray, codes: np.ndarray, is_counted: np.ndarray, distinct: pa.Array) -> pa.Table:
+    """The counted words of each row and how often they are there, in the order of the rows."""
+    pairs, times = np.unique(rows[is_counted] * len(distinct) + codes[is_counted], return_counts=True)
+    row, code = np.divmod(pairs, max(len(distinct), 1))
+    return pa.table([row, distinct.take(pa.array(code)), times.astype(np.int32)], TAIL)
+
+
 SCORED = "n_tokens long, n_known long, base_score double, score double, tail array<string>, times array<int>"
 
 
@@ -371,35 +473,35 @@ def _scored(docs: DataFrame, shared: Broadcast[Vocabulary], model: Model) -> Dat
         for batch in batches:
             n = len(batch)
             tokens, hits, base, score = (np.zeros(n) for _ in range(4))
-            tails, stream = [], Stream()
+            tails, stream, before = [], Stream(), STARTS
 
             def go(stream: Stream) -> None:
-                contexts, targets, owners = stream.taken()
-                logs = own.log_probabilities(contexts, targets) / math.log(10) + per_class[targets]
+                classes, at, owners = stream.taken()
+                logs = own.log_probabilities(classes, at) / math.log(10) + per_class[classes[at]]
                 score[:] += np.bincount(owners, logs, n)
 
-            for row, text in enumerate(utf8(batch.column(1))):
-                before, tail = STARTS, Counter()
-                for words in pieces(text):
-                    at = places.of(words)
-                    classes, logs = places.classes[at], places.log_counts[at]
-                    beyond = np.flatnonzero(at >= places.head)
-                    tail.update([words[k] for k in beyond.tolist()])
-                    tokens[row] += len(words)
-                    hits[row] += len(words) - len(beyond)
-                    base[row] += logs.sum()
-                    score[row] += logs[classes > FREQUENT].sum()
-                    before = stream.add(row, before, classes)
-                stream.add(row, before, ENDS)
-                tokens[row] += 1
-                hits[row] += known
-                base[row] += log_ends
-                tails.append(tail)
-                if stream.tokens >= GATHERED_TOKENS:
-                    go(stream)
-                    stream = Stream()
+            for words in words_of(batch.column(1)):
+                at, rows, codes = places.of(words.distinct), words.rows(), words.codes
+                classes, logs, is_beyond = places.classes[at], places.log_counts[at], at >= places.head
+                tokens += np.bincount(rows, minlength=n)
+                hits += np.bincount(rows, ~is_beyond[codes], n)
+                base += np.bincount(rows, logs[codes], n)
+                score += np.bincount(rows, np.where(classes > FREQUENT, logs, 0.0)[codes], n)
+                tails.append(_by_row(rows, codes, is_beyond[codes], words.distinct))
+                of_words = classes[codes]
+                for row, own_words, is_whole in words.texts():
+                    before = stream.add(row, before, of_words[own_words], is_whole)
+                    if is_whole and stream.tokens >= GATHERED_TOKENS:
+                        go(stream)
+                        stream = Stream()
             if stream.tokens:
                 go(stream)
+            tokens += 1
+            hits += known
+            base += log_ends
+            tail = pa.concat_tables([TAIL.empty_table(), *tails]).combine_chunks()
+            bounds = pa.array(np.searchsorted(tail.column("row").to_numpy(), np.arange(n + 1)), pa.int32())
+            tail_words, times = (pa.concat_arrays(tail.column(name).chunks) for name in ("tail", "times"))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
@@ -407,8 +509,8 @@ def _scored(docs: DataFrame, shared: Broadcast[Vocabulary], model: Model) -> Dat
                     pa.array(hits.astype(np.int64)),
                     pa.array(base - tokens * per_token),
                     pa.array(score),
-                    pa.array([list(tail) for tail in tails], pa.list_(pa.binary())).cast(pa.list_(pa.string())),
-                    pa.array([list(tail.values()) for tail in tails], pa.list_(pa.int32())),
+                    pa.ListArray.from_arrays(bounds, tail_words.cast(pa.string())),
+                    pa.ListArray.from_arrays(bounds, times),
                 ],
                 ["c0", "n_tokens", "n_known", "base_score", "score", "tail", "times"],
             )
