@@ -101,3 +101,24 @@ def test_products_beyond_64_bits(spark):
     totals = spark.createDataFrame([("en", 7 * 10**15 + 1)], "lang string, n long")
     (row,) = phrases.scored(tables, totals).collect()
     assert row.score == 1000 * row.a * row.n // (row.l * row.r) == 1000 * 2 * 10**12 * (7 * 10**15 + 1) // (12 * 10**24)
+
+
+def test_rows_with_many_words_are_read_and_passed_on_few_at_a_time(spark, monkeypatch):
+    names = ["spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize"]
+    before, seen, blocks, encode, stored = [spark.conf.get(name) for name in names], [], {}, phrases.encode, phrases.session.stored
+
+    def stored_in(df, purpose, block_bytes=None):
+        blocks[purpose] = block_bytes
+        return stored(df, purpose, block_bytes)
+
+    def encoded(docs, words, n_words):
+        seen.extend(int(spark.conf.get(name)) for name in names)
+        return encode(docs, words, n_words)
+
+    monkeypatch.setattr(phrases, "encode", encoded)
+    monkeypatch.setattr(phrases.session, "stored", stored_in)
+    docs = spark.createDataFrame([(k, "one two. one two", "en") for k in range(200)], "doc_id long, text string, lang string")
+    assert [tuple(row)[:3] for row in phrases.collocations(docs).collect()] == [("en", 1, "one two")]
+    assert len(seen) == 2 and max(seen) <= phrases.ROWS_AT_ONCE
+    assert blocks["phrase-documents"] == phrases.BLOCK_BYTES
+    assert [spark.conf.get(name) for name in names] == before

@@ -33,15 +33,16 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from contextlib import ExitStack
 
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tillwise import session
-from tillwise.llm.tables import Batches, kept_between_tasks, map_batches, named, utf8, values
+from tillwise.llm.tables import ROWS_AT_ONCE, Batches, kept_between_tasks, map_batches, named, utf8, values
 
 MIN_COUNT, LONGEST, TOP = 100, 5, 2_000
 PER_SCORE = 1_000
@@ -50,6 +51,8 @@ TILE = 1_024
 # Pairs in a tile from which on it is counted in a dense array.
 CROWDED = TILE * TILE // 32
 COUNTED_AT_ONCE, ENCODED_AT_ONCE, PAIRED_AT_ONCE = 200_000, 1 << 13, 1 << 19
+# Row groups of the documents as ids: a task holds one of its column's parts whole, on the heap and outside it.
+BLOCK_BYTES = 8 << 20
 
 UNDETERMINED = "und"
 SEPARATORS = b".,;:!?\x0a\x0b\x0c\x0d"
@@ -158,7 +161,7 @@ def encode(docs: DataFrame, words: DataFrame, n_words: int) -> DataFrame:
 
     schema = "ids binary, unknown array<struct<lang:string,word:string>>"
     encoded = map_batches(_given(docs), work, schema).withColumn("key", F.monotonically_increasing_id())
-    encoded = session.stored(encoded, "phrase-documents")
+    encoded = session.stored(encoded, "phrase-documents", BLOCK_BYTES)
     if is_whole:
         return encoded.select("key", "ids")
     asked = encoded.select("key", F.posexplode("unknown").alias("place", "of")).select("key", "place", "of.*")
@@ -202,7 +205,7 @@ def _filled(encoded: DataFrame, found: DataFrame, fill) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[2:-1], pa.array(new, pa.binary())], names)
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in encoded.schema)
-    return session.stored(map_batches(given, work, kinds), f"phrase-{names[-1]}")
+    return session.stored(map_batches(given, work, kinds), f"phrase-{names[-1]}", BLOCK_BYTES)
 
 
 # The largest products, of three counts, have some 35 digits.
@@ -307,7 +310,7 @@ def _fill_level(
                 )
 
     schema = "key long, ids binary, phrases binary, unknown array<struct<place:long,first:long,last:long>>"
-    known = session.stored(map_batches(encoded, work, schema), "phrase-asked")
+    known = session.stored(map_batches(encoded, work, schema), "phrase-asked", BLOCK_BYTES)
     asked = known.select("key", F.explode("unknown").alias("of")).select("key", "of.*")
     found = asked.join(table.filter(F.col("id") >= HEAD).select("first", "last", "id"), ["first", "last"])
     return _filled(known.select("key", "ids", "phrases"), found.select("key", "place", "id"), _fill_phrases)
@@ -365,13 +368,27 @@ def scored(tables: list[DataFrame], totals: DataFrame) -> DataFrame:
     return left_over.select("lang", "phrase", "a", "cut.l", "cut.r", "n", "cut.score")
 
 
+def _few_rows_at_once(spark: SparkSession) -> ExitStack:
+    """Some hundred rows in a batch, for rows with thousands of words: a batch of the usual number of rows is
+    64 MB and more of each task's memory, held by the reader, outside the heap on its way to Python, and there.
+    """
+    settings = ExitStack()
+    for name in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize"):
+        settings.enter_context(session.setting(spark, name, str(ROWS_AT_ONCE)))
+    return settings
+
+
 def collocations(docs: DataFrame, longest: int = LONGEST, top: int = TOP) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the ``top`` candidates of each language."""
-    counts = session.stored(word_counts(docs).filter((F.col("n") >= MIN_COUNT) | (F.col("word") == BREAK.decode())), "phrase-words")
-    is_total = F.col("word") == BREAK.decode()
-    totals = counts.filter(is_total).select("lang", "n")
-    words = ranked(counts.filter(~is_total), F.desc("n"), F.col("lang"), F.col("word"))
-    found = scored(frequent_phrases(docs, words, longest), totals)
+    with _few_rows_at_once(docs.sparkSession):
+        counts = session.stored(
+            word_counts(docs).filter((F.col("n") >= MIN_COUNT) | (F.col("word") == BREAK.decode())), "phrase-words"
+        )
+        is_total = F.col("word") == BREAK.decode()
+        totals = counts.filter(is_total).select("lang", "n")
+        words = ranked(counts.filter(~is_total), F.desc("n"), F.col("lang"), F.col("word"))
+        tables = frequent_phrases(docs, words, longest)
+    found = scored(tables, totals)
     by_score = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     best = found.withColumn("rank", F.row_number().over(by_score)).filter(F.col("rank") <= top)
     return best.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
