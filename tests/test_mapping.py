@@ -46,3 +46,17 @@ def test_flat_rows_of_hot_stores_are_the_same(spark):
     sizes = [r["n"] for r in tables.purchase.groupBy("store_id", "store_location").agg(F.count("*").alias("n")).collect()]
     assert min(sizes) <= 600 < max(sizes)
     assert some.count() == none.count() and some.exceptAll(none).isEmpty() and none.exceptAll(some).isEmpty()
+
+
+def test_flat_rows_in_shares_of_stores_are_the_same(spark):
+    tables = mapping.load_tables(spark, SMALL)
+    purchase = tables.purchase.withColumn("store_location", F.when(F.col("customer_id") % 50 != 1, F.col("store_location")))
+    tables = tables.replacing(purchase=purchase)
+    shares = list(mapping.store_shares(tables, 1_500))
+    sizes = [share.purchase.count() for share in shares]
+    assert len(shares) == -(-tables.purchase.count() // 1_500) > 2 and max(sizes) < sum(sizes) == tables.purchase.count()
+    parts, whole = [mapping.flat_rows(share) for share in shares], mapping.flat_rows(tables)
+    some = parts[0]
+    for part in parts[1:]:
+        some = some.unionByName(part)
+    assert some.count() == whole.count() > 0 and some.exceptAll(whole).isEmpty() and whole.exceptAll(some).isEmpty()

@@ -7,6 +7,7 @@ traffic. Every table is derived with joins and aggregates from the given parquet
 from __future__ import annotations
 
 import threading
+from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -73,7 +74,8 @@ class SourceTables:
         key = ("lines", self.spark.sparkContext.applicationId, self.folder, session.listing(self.spark, self.folder))
         with _lines_lock:
             if key not in _loaded:
-                lines = session.stored(_lines(self), "order-lines")
+                with session.freed_shuffles(self.spark):
+                    lines = session.stored(_lines(self), "order-lines")
                 _loaded[key] = _numbered(lines, lines.agg(F.max("place")).first()[0] or 1)
         return _loaded[key]
 
@@ -279,6 +281,23 @@ def flat_rows(tables: RetailTables, hot_store: int = HOT_STORE) -> DataFrame:
     )
 
 
+# Tables with the key of a store, and purchases of which the flat rows are made at a time.
+OF_STORES = ["purchase", "inventory", "customer_visits", "popularity"]
+SHARE_ROWS = 32_000_000
+
+
+def store_shares(tables: RetailTables, share_rows: int = SHARE_ROWS) -> Iterator[RetailTables]:
+    """The tables cut by store into shares of some ``share_rows`` purchases.
+
+    Stock, visits and traffic are joined by store, so the flat rows of all shares are those of the
+    whole tables, and the files that one share shuffles can go before the next one is made.
+    """
+    shares = max(1, -(-tables.purchase.count() // share_rows))
+    share = F.pmod(F.xxhash64(F.col("store_id").cast("bigint"), F.col("store_location")), F.lit(shares))
+    for k in range(shares):
+        yield tables if shares == 1 else tables.replacing(**{name: tables[name].filter(share == k) for name in OF_STORES})
+
+
 def _flat(tables: RetailTables, purchase: DataFrame, popularity: DataFrame, by_store: bool) -> DataFrame:
     """Flat rows of some stores: their purchases and traffic, dealt by store or by the whole keys."""
 
@@ -459,13 +478,18 @@ def load_all(spark: SparkSession, folder: str, at_once: int = 4) -> RetailTables
 
 
 def load_staging(spark: SparkSession, folder: str, mysql_coerce: bool = False) -> DataFrame:
-    """The flat file made from the mapped tables, written, read back and stored typed, once."""
+    """The flat file made from the mapped tables, written, read back and stored typed, once.
+
+    It is made in shares of the stores; a share's text goes once it is stored typed.
+    """
     key = ("staging", mysql_coerce, spark.sparkContext.applicationId, folder, session.listing(spark, folder))
     if key not in _loaded:
         target = session.new_folder(spark, "staging")
-        with _kept_partitions(spark):
-            staging.write_flat(flat_rows(load_tables(spark, folder)), f"{target}/csv", "gzip")
-        read = staging.read_staging(spark, f"{target}/csv", mysql_coerce=mysql_coerce)
-        _loaded[key] = staging.store_staging(read, f"{target}/typed")
-        session.remove(spark, f"{target}/csv")
+        with _kept_partitions(spark), session.freed_shuffles(spark):
+            for k, share in enumerate(store_shares(load_tables(spark, folder))):
+                staging.write_flat(flat_rows(share), f"{target}/csv/{k}", "gzip")
+                read = staging.read_staging(spark, f"{target}/csv/{k}", mysql_coerce=mysql_coerce)
+                typed = staging.store_staging(read, f"{target}/typed/{k}")
+                session.remove(spark, f"{target}/csv/{k}")
+        _loaded[key] = spark.read.schema(typed.schema).parquet(f"{target}/typed/*")
     return _loaded[key]
