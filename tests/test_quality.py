@@ -219,3 +219,29 @@ def test_user_rules(spark, table):
     }
     logins = spark.createDataFrame([("ann", "pw"), ("zoe", "pw")], "username string, secret string")
     assert reasons_by(quality.check_logins(logins, taken), "username") == {"ann": [], "zoe": ["username is unknown"]}
+
+
+def test_candidates_in_shares_are_found_to_be_the_same(spark, table, monkeypatch):
+    text = "purchase_id string, product_id string, store_id string, customer_id string, payment_method string, " + (
+        "discount_percent string, txn_date string, store_location string, purchased_product_price_usd string"
+    )
+    good = ("1", "1", "1", "Cash", "5", "2023-05-05", "A", "10")
+    rows = [(str(k), *good) for k in range(1, 41)] + [("8", *good), (" 9 ", *good), (None, *good), ("x", *good), ("x", *good)]
+    rows += [("10", "1", "1", "1", "Cash", "6", "2023-05-05", "A", "10"), ("7", "1", "3", "9", "Cash", "5", "2023-05-05", "A", "10")]
+    candidates, tables, folders = spark.createDataFrame(rows, text), small_tables(table), []
+    new_folder = quality.session.new_folder
+    monkeypatch.setattr(quality.session, "new_folder", lambda s, p: folders.append((p, new_folder(s, p))) or folders[-1][1])
+    today = F.lit(AS_OF).cast("date")
+
+    def found(share_rows, taken=None):
+        checked = quality.check_purchases(candidates, tables, today, 7, taken, share_rows).collect()
+        return sorted([(*row[:-1], tuple(row[-1])) for row in checked], key=str)
+
+    whole = found(1_000)
+    folders.clear()
+    assert found(10) == whole and len(whole) == 46
+    by_index = lambda wanted: wanted.filter("number = 7").distinct()
+    assert found(10, by_index) == whole
+    at = dict(folders)
+    assert len(quality.session.listing(spark, at["checked-purchases"])) == 8
+    assert not quality.session.exists(spark, at["entered-purchases"])
